@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.functions.hosts import inspect_host
-from urlrisk.functions.planning import computed_once
+from urlrisk.functions.planning import computed_stage
 from urlrisk.sources.suffixes import MAX_RULE_ROWS, SuffixRules, builtin_rules
 
 MAX_URL_LENGTH = 8192  # fixed value: longer URLs are rejected
@@ -358,4 +358,4 @@ def canonicalize_urls(
     }
     always = {"raw", "is_valid", "error_message"}
     fields = [(source[f] if f in always else F.when(c("_valid"), source[f])).alias(f) for f in PARSED_FIELDS]
-    return df.select(*[k for k in keep if k != out], computed_once(F.struct(*fields)).alias(out))
+    return computed_stage(df, [k for k in keep if k != out], {out: F.struct(*fields)})
