@@ -83,6 +83,7 @@ def tag_denylist(df: DataFrame, denylist: DataFrame, parsed: str = "parsed") ->
 def scan_urls(
     df: DataFrame,
     url_col: str = "url",
+    parsed: str | None = None,
     user_lists: DataFrame | None = None,
     denylist: DataFrame | None = None,
     allowlist: Sequence[str] | DataFrame | None = None,
@@ -101,17 +102,21 @@ def scan_urls(
 ) -> DataFrame:
     """Scan a table of URLs; input columns are kept and the result columns are added.
 
-    ``df`` needs ``owner_key_hash`` (or ``user_key``, which is hashed) when ``user_lists`` is given. ``scorer``
-    takes the rows with a ``features`` struct and adds ``model_probability``; ``contributions`` names a map
-    column it may add. ``allowlist=None`` means the default domains, an empty sequence means none.
+    ``df`` needs ``owner_key_hash`` (or ``user_key``, which is hashed) when ``user_lists`` is given. ``parsed``
+    names a struct that :func:`canonicalize_urls` already made. ``scorer`` takes the rows with a ``features``
+    struct and adds ``model_probability``; ``contributions`` names a map column it may add. ``allowlist=None``
+    means the default domains, an empty sequence means none.
 
     Rows that a list decides have a null ``features`` struct: null inputs end the feature expressions at once,
     so they cost nothing even though the plan is one projection without branches.
     """
     if user_lists is not None and "owner_key_hash" not in df.columns:
         df = df.withColumn("owner_key_hash", hash_key(F.col("user_key")))
-    inputs = df.columns
-    df = canonicalize_urls(df, url_col, "parsed", suffix_rules=suffix_rules)
+    inputs = [k for k in df.columns if k != parsed]
+    if parsed is None:
+        df = canonicalize_urls(df, url_col, "parsed", suffix_rules=suffix_rules)
+    elif parsed != "parsed":
+        df = df.withColumnRenamed(parsed, "parsed")
     p = F.col("parsed")
     if user_lists is not None:
         df = tag_user_lists(df, user_lists)
