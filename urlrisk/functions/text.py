@@ -36,13 +36,15 @@ def half_even(num: Column, den: Column, digits: int) -> Column:
 
 
 def entropy(col: Column) -> Column:
-    """Shannon entropy of the characters in bits, rounded to 4 digits; 0 for an empty string."""
+    """Shannon entropy of the characters in bits, rounded to 4 digits; 0 for an empty string.
+
+    Sorting the characters puts equal ones side by side, and a back-reference cuts the runs. With run lengths k
+    the entropy is log2(n) - sum(k * log2(k)) / n.
+    """
     n = F.length(col)
-    chars = F.array_distinct(F.split(col, ""))
-    occurrences = lambda c: (n - F.length(F.replace(col, c, F.lit("")))).cast("double")
-    weighted = F.aggregate(
-        F.transform(chars, occurrences), F.lit(0.0), lambda acc, k: acc + k * F.log2(k)
-    )
+    ordered = F.array_join(F.sort_array(F.split(col, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1+"), F.lit(0))  # runs of one add nothing
+    weighted = F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + F.length(run) * F.log2(F.length(run)))
     return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.abs(F.log2(n) - weighted / n), 4))
 
 

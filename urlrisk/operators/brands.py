@@ -6,6 +6,7 @@ guarded by cheap ones: aliases are only compared pair by pair when the smallest
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,18 +37,12 @@ def skeleton(text: Column) -> Column:
 
 
 def _alias_array(aliases: Sequence[Alias]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(a.ordinal).alias("ordinal"),
-                F.lit(a.brand).alias("brand"),
-                F.lit(a.domain).alias("domain"),
-                F.lit(a.alias).alias("alias"),
-                F.lit(len(a.alias)).alias("len"),
-            )
-            for a in aliases
-        ]
-    )
+    """The catalog as one literal array of structs."""
+    row = "named_struct('ordinal', {0.ordinal}, 'brand', '{0.brand}', 'domain', '{0.domain}', 'alias', '{0.alias}', 'len', {1})"
+    for a in aliases:
+        if not re.fullmatch(r"[^'\\\\]*", a.brand + a.domain + a.alias):
+            raise ValueError(f"quote or backslash in brand alias: {a}")
+    return F.expr("array(" + ", ".join(row.format(a, len(a.alias)) for a in aliases) + ")")
 
 
 def match_brands(
@@ -97,15 +92,23 @@ def match_brands(
     df = df.withColumn(
         "_cands", F.array_distinct(F.concat(c("_pairs")["t"], c("_pairs")["s"], F.array("_skel")))
     )
-    closest = lambda a: F.array_min(F.transform(c("_cands"), lambda x: F.levenshtein(x, a)))
-    df = df.withColumn("_dists", F.array(*[closest(F.lit(a.alias)) for a in aliases]))
+    nearest_of = lambda x: F.least(*[F.levenshtein(x, F.lit(a.alias)) for a in aliases], F.lit(NO_DISTANCE))
+    distance = lambda a: F.array_min(F.transform(c("_cands"), lambda x: F.levenshtein(x, a["alias"])))
+    # most names have a single spelling: that case runs as compiled code
+    df = df.withColumn(
+        "_min",
+        F.when(F.size("_cands") == 1, nearest_of(c("_sld"))).otherwise(
+            F.array_min(F.transform(c("_cands"), nearest_of))
+        ),
+    )
 
+    # distances per alias only where a hit is possible
+    df = df.withColumn("_dists", F.when(c("_min") <= 2, F.transform(catalog, distance)))
     domains = sorted({a.domain for a in aliases})
     on_brand_site = c("_dom").rlike(r"(?:^|\.)" + regex_union(domains) + r"\z")
     legit = lambda a: (c("_dom") == a["domain"]) | c("_dom").endswith(F.concat(F.lit("."), a["domain"]))
     df = df.withColumns(
         {
-            "_min": F.array_min("_dists"),
             "_free": F.when(on_brand_site, F.filter(catalog, lambda a: ~legit(a))).otherwise(catalog),
             "_stokens": F.split("_subdomain", r"[.\-_]"),
             "_ptokens": F.split(F.concat("_p", F.lit("?"), "_q"), r"[/.\-_?=&#]"),
@@ -150,9 +153,7 @@ def match_brands(
             F.try_element_at(c("_strong"), F.lit(-1))["brand"],
             F.when(c("_inpath"), F.try_element_at(F.filter(c("_free"), in_path), F.lit(1))["brand"]),
         )
-        nearest = F.element_at(
-            literal_array(a.brand for a in aliases), F.array_position(c("_dists"), c("_min")).cast("int")
-        )
+        nearest = F.element_at(F.filter(catalog, lambda a: distance(a) == c("_min")), 1)["brand"]
     else:
         matched, nearest = nothing, nothing
     result = F.struct(

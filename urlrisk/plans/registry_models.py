@@ -1 +1,206 @@
 """Registered queries on scorers, calibration and robustness."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from urlrisk.functions.perturb import STRATEGIES
+from urlrisk.operators import calibrate, ensemble, robustness
+from urlrisk.operators.features import extract_features
+from urlrisk.plans import oracle as o
+from urlrisk.plans import scorers
+from urlrisk.plans.registry import _BASE, K, KEYS, corpus, parsed_corpus, register
+from urlrisk.plans.registry_data import _SCORED, scored_corpus
+
+# --- calibration and ensembles -----------------------------------------------------------------------------
+
+# isotonic regression by its max-min formula: the fit at i is the largest, over starts j <= i, of the smallest,
+# over ends k >= i, mean of the block j..k
+_ISO = f"""{_SCORED}, lev AS (SELECT score, pos, pos + neg AS n, row_number() OVER (ORDER BY score) AS i,
+    sum(pos) OVER (ORDER BY score) AS cp, sum(pos + neg) OVER (ORDER BY score) AS cn FROM cnt WHERE model = 'a'),
+low AS (SELECT a.i AS j, x.i, min((k.cp - a.cp + a.pos) / (k.cn - a.cn + a.n)) AS m FROM lev a JOIN lev x ON a.i <= x.i JOIN lev k ON k.i >= x.i GROUP BY ALL),
+iso AS (SELECT i, max(m) AS fit FROM low GROUP BY i)"""
+
+
+@register("isotonic_fit", f"{_ISO}\nSELECT score, n, round(fit, 6) AS calibrated FROM lev JOIN iso USING (i)")
+def isotonic_fit(spark, folder):
+    rows = scored_corpus(spark, folder).filter("model = 'a'")
+    fitted = calibrate.fit_isotonic(rows)
+    levels = rows.groupBy("score").agg(F.count("*").alias("n"))
+    return fitted.apply(levels).select("score", "n", F.round("calibrated", 6).alias("calibrated"))
+
+
+@register("calibration_comparison")
+def calibration_comparison(spark, folder):
+    rows = scored_corpus(spark, folder).filter("model = 'b'")
+    return calibrate.compare_calibration(rows, calibrate.fit_isotonic(rows))
+
+
+_PAIRS = f"""{_BASE}, pairs AS (SELECT label, (35 * label + CAST('0x' || substr(sha256(url), 1, 6) AS BIGINT) % 66) / 100.0::DOUBLE AS p1,
+    (10 * label + CAST('0x' || substr(sha256(url), 7, 6) AS BIGINT) % 91) / 100.0::DOUBLE AS p2 FROM corpus)"""
+
+
+def score_pairs(spark, folder):
+    rows = scored_corpus(spark, folder).groupBy(*KEYS, "label").agg(
+        F.max(F.when(F.col("model") == "a", F.col("score"))).alias("p1"),
+        F.max(F.when(F.col("model") == "b", F.col("score"))).alias("p2"),
+    )
+    return rows
+
+
+@register(
+    "blend_search",
+    f"""{_PAIRS}, w AS (SELECT i * 0.05::DOUBLE AS weight FROM (SELECT unnest(range(0, 21)) AS i)),
+mix AS (SELECT weight, weight * p1 + (1.0::DOUBLE - weight) * p2 AS s, sum(label) AS pos, sum(1 - label) AS neg FROM pairs CROSS JOIN w GROUP BY ALL),
+cm AS (SELECT weight, pos, sum(pos) OVER (PARTITION BY weight ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY weight ORDER BY s DESC) AS fp FROM mix)
+SELECT round(weight, 2) AS weight, round(sum(pos * (tp / (tp + fp))) / sum(pos), 6) AS average_precision FROM cm GROUP BY weight""",
+)
+def blend_search(spark, folder):
+    out = ensemble.blend_scores(score_pairs(spark, folder))
+    return out.select(F.round("weight", 2).alias("weight"), F.round("average_precision", 6).alias("average_precision"))
+
+
+@register(
+    "ensemble_scores",
+    f"""{_PAIRS}
+SELECT label, p1, p2, round((0.3 * p1 + 0.9 * p2) / 1.2, 6) AS blended, round(1 / (1 + exp(-(2.5 * p1 + 1.5 * p2 - 2.0))), 6) AS stacked, count(*) AS n
+FROM pairs GROUP BY ALL""",
+)
+def ensemble_scores(spark, folder):
+    pairs = score_pairs(spark, folder).groupBy("label", "p1", "p2").agg(F.count("*").alias("n"))
+    blend, stack = ensemble.Ensemble(0.3, 0.9), ensemble.Ensemble(2.5, 1.5, -2.0, "stack")
+    return pairs.select(
+        "label",
+        "p1",
+        "p2",
+        F.round(blend.combine(F.col("p1"), F.col("p2")), 6).alias("blended"),
+        F.round(stack.combine(F.col("p1"), F.col("p2")), 6).alias("stacked"),
+        "n",
+    )
+
+
+@register("stacking_fit")
+def stacking_fit(spark, folder):
+    return ensemble.fit_stacking(score_pairs(spark, folder)).table(spark)
+
+
+# --- scorers ------------------------------------------------------------------------------------------------
+
+
+@register(
+    "class_weights",
+    f"""{_BASE}, c AS (SELECT label, count(*) AS n FROM corpus GROUP BY label)
+SELECT label, n, round((SELECT sum(n) FROM c) / (2.0 * n), 6) AS balanced_weight,
+  round(CASE WHEN label = 1 THEN (SELECT n FROM c WHERE label = 0) / n ELSE 1.0 END, 6) AS positive_weight FROM c""",
+)
+def class_weights(spark, folder):
+    return scorers.class_weights(corpus(spark, folder))
+
+
+@register("text_scorer")
+def text_scorer(spark, folder):
+    """Character n-gram scorer fitted on the corpus and applied to it."""
+    rows = parsed_corpus(spark, folder).filter("parsed.is_valid").select(*KEYS, "label", F.col("parsed.canonical").alias("url"))
+    model = scorers.fit_text_scorer(rows)
+    return model.score(rows, "url", "p_text").select(*KEYS, "label", F.round("p_text", 4).alias("p_text"))
+
+
+@register("linear_contributions")
+def linear_contributions(spark, folder):
+    """Contributions of a linear scorer over the features: the five largest per URL."""
+    rows = extract_features(parsed_corpus(spark, folder)).filter(F.col("features").isNotNull())
+    model = scorers.fit_linear_scorer(rows)
+    scored = model.score(rows)
+    top = F.slice(
+        F.array_sort(
+            F.map_entries("contributions"),
+            lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).otherwise(0),
+        ),
+        1,
+        5,
+    )
+    out = scored.select(*KEYS, F.posexplode(top).alias("place", "_c"))
+    return out.select(*KEYS, "place", F.col("_c.key").alias("feature"), F.round("_c.value", 3).alias("contribution"))
+
+
+# --- robustness ---------------------------------------------------------------------------------------------
+
+_HEX = (
+    "array_to_string(list_transform(string_split(path, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9]$') "
+    "THEN '%' || lower(hex(c)) ELSE c END), '')"
+)
+_SPLITS = [("paypal", "pay-pal"), ("microsoft", "micro-soft"), ("netflix", "net-flix"), ("facebook", "face-book"),
+           ("appleid", "apple-id"), ("signin", "sign-in"), ("login", "log-in")]
+_WORDS = " ".join(f"WHEN contains(lower(url), '{a}') THEN regexp_replace(url, '{a}', '{b}', 'gi')" for a, b in _SPLITS)
+_CHAIN = "CASE " + _WORDS + " ELSE url || '?client=auth-service-login' END"
+_SQL_STRATEGIES = {
+    "subdomain_stuffing": "CASE WHEN auth = '' THEN url ELSE head || 'secure-auth-update.signin.' || auth || rest END",
+    "brand_in_path": "CASE WHEN contains(url, '?') THEN url || '&target=paypal_verification_portal' ELSE rtrim(url, '/') || '/paypal-security-verification/signin.php' END",
+    "url_extension": "CASE WHEN contains(url, '?') THEN regexp_replace(url, '\\?', '.html?') ELSE url || '.php' END",
+    "hex_encoding": f"CASE WHEN path IN ('', '/') THEN url || '/%6c%6f%67%69%6e' ELSE head || auth || {_HEX} || substr(rest, length(path) + 1) END",
+    "compound_split": _CHAIN,
+    "benign_padding": "CASE WHEN contains(url, '?') THEN url || '&ref=support-secure-login' ELSE rtrim(url, '/') || '/support-secure-login' END",
+}
+_HOMOGLYPH = (
+    "CASE WHEN auth = '' THEN url ELSE head || regexp_replace(auth, '[aceijopsxyACEIJOPSXY]', "
+    "translate(lower(regexp_extract(auth, '[aceijopsxyACEIJOPSXY]')), 'aceijopsxy', 'асеіјорѕху')) || rest END"
+)
+_VARIANTS = """base AS (SELECT page_id, tpl, url, regexp_extract(url, '^((?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//)', 1) AS head FROM corpus WHERE label = 1),
+base2 AS (SELECT *, CASE WHEN head = '' THEN '' ELSE regexp_extract(substr(url, length(head) + 1), '^([^/?#]*)', 1) END AS auth FROM base),
+base3 AS (SELECT *, substr(url, length(head) + length(auth) + 1) AS rest FROM base2),
+base4 AS (SELECT *, regexp_extract(rest, '^([^?#]*)', 1) AS path FROM base3)"""
+
+
+def _variants(strategies) -> str:
+    return " UNION ALL ".join(f"SELECT page_id, tpl, '{k}' AS strategy, url AS original, {v} AS url FROM base4" for k, v in strategies.items())
+
+
+@register(
+    "perturbed_urls",
+    f"""{_BASE}, {_VARIANTS}, v AS ({_variants({**_SQL_STRATEGIES, 'homoglyph': _HOMOGLYPH})})
+SELECT page_id, tpl, strategy, url AS perturbed FROM v""",
+)
+def perturbed_urls(spark, folder):
+    rows = corpus(spark, folder).filter("label = 1").select(*KEYS, "url")
+    return robustness.perturb_urls(rows).drop("url")
+
+
+_ROBUST = f"""{_BASE}, {_VARIANTS}, var AS ({_variants({'clean': 'url', **_SQL_STRATEGIES})}),
+{o.scan('var', 'page_id, tpl, strategy')},
+clean AS (SELECT page_id, tpl, verdict IN ('malicious', 'suspicious') AS hit FROM scan WHERE strategy = 'clean'),
+res AS (SELECT s.strategy, CASE WHEN s.verdict = 'unknown' THEN c.hit ELSE s.verdict IN ('malicious', 'suspicious') END AS hit
+        FROM scan s JOIN clean c ON c.page_id = s.page_id AND c.tpl = s.tpl),
+per AS (SELECT strategy, count(*) AS sample_count, sum(CAST(hit AS INTEGER)) AS perturbed_detected FROM res GROUP BY strategy)"""
+
+
+def _counts(spark, folder, names):
+    rows = corpus(spark, folder).filter("label = 1").select("url")
+    return robustness.robustness_by_strategy(rows, strategies={k: STRATEGIES[k] for k in names})
+
+
+@register(
+    "robustness_report",
+    f"""{_ROBUST}, cd AS (SELECT perturbed_detected AS clean_detected FROM per WHERE strategy = 'clean')
+SELECT strategy, sample_count, clean_detected, perturbed_detected, round(clean_detected / sample_count, 4) AS clean_recall,
+  round(perturbed_detected / sample_count, 4) AS perturbed_recall, round(greatest((clean_detected - perturbed_detected) / sample_count, 0), 4) AS recall_drop
+FROM per CROSS JOIN cd WHERE strategy <> 'clean'""",
+)
+def robustness_report(spark, folder):
+    return robustness.robustness_report(_counts(spark, folder, _SQL_STRATEGIES))
+
+
+@register(
+    "robustness_summary",
+    f"""{_ROBUST}, t AS (SELECT sum(sample_count) FILTER (strategy = 'clean') AS total_samples,
+  sum(perturbed_detected) FILTER (strategy = 'clean') / sum(sample_count) FILTER (strategy = 'clean') AS c,
+  sum(perturbed_detected) FILTER (strategy <> 'clean') / sum(sample_count) FILTER (strategy <> 'clean') AS p FROM per)
+SELECT total_samples, round(c, 4) AS overall_clean_recall, round(p, 4) AS overall_perturbed_recall, round(greatest(c - p, 0), 4) AS overall_recall_drop FROM t""",
+)
+def robustness_summary(spark, folder):
+    return robustness.robustness_summary(_counts(spark, folder, _SQL_STRATEGIES))
+
+
+@register("robustness_homoglyph")
+def robustness_homoglyph(spark, folder):
+    """Look-alike letters need IDNA for the new hosts, which SQL lacks."""
+    return robustness.robustness_report(_counts(spark, folder, ["homoglyph"]))

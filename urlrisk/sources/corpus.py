@@ -55,6 +55,12 @@ TEMPLATES = (
 FIRST_DAY, N_DAYS = "2026-01-01", 270  # fixed values
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a source with fewer splits than cores (one small file); larger sources stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def url_corpus(pages: DataFrame) -> DataFrame:
     """``page_id, tpl, label, source, url, first_seen`` for every page and template."""
     text = lambda t: F.replace(
@@ -64,6 +70,7 @@ def url_corpus(pages: DataFrame) -> DataFrame:
         *[F.struct(F.lit(i).alias("tpl"), F.lit(label).alias("label"), text(t).alias("url")) for i, label, t in TEMPLATES]
     )
     day = F.date_add(F.to_date(F.lit(FIRST_DAY)), (F.col("page_id") % N_DAYS).cast("int"))
+    pages = spread(pages.select("page_id", "url"))
     rows = pages.select("page_id", day.alias("first_seen"), F.explode(shapes).alias("_s"))
     source = F.when(F.col("_s.label") == 1, "malicious").otherwise("benign")
     return rows.select("page_id", "_s.tpl", "_s.label", source.alias("source"), "_s.url", "first_seen")
