@@ -43,14 +43,14 @@ def robustness_by_strategy(
     ``parsed`` struct and adds a boolean ``detected``.
     """
     active = STRATEGIES if strategies is None else strategies
-    base = canonicalize_urls(df.select(F.col(url_col).alias("url")), "url", "_clean")
+    base = canonicalize_urls(df.select(F.col(url_col).alias("url")), "url", "_rob_clean")
     pairs = [F.struct(F.lit(name).alias("strategy"), fn(F.col("url")).alias("perturbed")) for name, fn in active.items()]
     none = F.struct(F.lit(CLEAN).alias("strategy"), F.lit(None).cast("string").alias("perturbed"))
-    rows = base.select("url", "_clean", F.explode(F.array(none, *pairs)).alias("_v")).select("url", "_clean", "_v.*")
-    rows = canonicalize_urls(rows, "perturbed", "_changed")
-    use_changed = (F.col("strategy") != CLEAN) & F.col("_changed.is_valid")
+    rows = base.select("url", "_rob_clean", F.explode(F.array(none, *pairs)).alias("_v")).select("url", "_rob_clean", "_v.*")
+    rows = canonicalize_urls(rows, "perturbed", "_rob_changed")
+    use_changed = (F.col("strategy") != CLEAN) & F.col("_rob_changed.is_valid")
     rows = computed_stage(
-        rows, ["strategy", "url"], {"parsed": F.when(use_changed, F.col("_changed")).otherwise(F.col("_clean"))}
+        rows, ["strategy", "url"], {"parsed": F.when(use_changed, F.col("_rob_changed")).otherwise(F.col("_rob_clean"))}
     )
     return detect(rows).groupBy("strategy").agg(
         F.count("*").alias("sample_count"), F.sum(F.col("detected").cast("long")).alias("n_detected")

@@ -316,4 +316,4 @@ def scan_lookup(spark, folder):
 
 
 # more queries are registered by these modules
-from urlrisk.plans import registry_data, registry_models  # noqa: E402,F401
+from urlrisk.plans import registry_data, registry_models, registry_monitor  # noqa: E402,F401

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urlrisk.functions.perturb import STRATEGIES
-from urlrisk.operators import calibrate, ensemble, robustness
+from urlrisk.operators import calibrate, dataset, ensemble, robustness
+from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.operators.features import extract_features
+from urlrisk.operators.ordering import cut_lineage
 from urlrisk.plans import oracle as o
 from urlrisk.plans import scorers
-from urlrisk.plans.registry import _BASE, K, KEYS, corpus, parsed_corpus, register
-from urlrisk.plans.registry_data import _SCORED, scored_corpus
+from urlrisk.plans.registry import _BASE, KEYS, corpus, parsed_corpus, register
+from urlrisk.plans.registry_data import _SCORED, dataset_table as split_source, scored_corpus
 
 # --- calibration and ensembles -----------------------------------------------------------------------------
 
@@ -97,6 +99,16 @@ def class_weights(spark, folder):
     return scorers.class_weights(corpus(spark, folder))
 
 
+@register("tree_scorer")
+def tree_scorer(spark, folder):
+    """Boosted trees fitted on the train split (few rounds) and applied to the test split."""
+    rows = dataset.assign_splits(split_source(spark, folder))
+    rows = cut_lineage(extract_features(canonicalize_urls(rows, "url")).drop("parsed"))
+    model = scorers.fit_tree_scorer(rows.filter("split = 'train'"), rows.filter("split = 'val'"), rounds=5, depth=4)
+    scored = model.score(rows.filter("split = 'test'"))
+    return scored.select("url_sha256", "label", F.round("model_probability", 4).alias("model_probability"))
+
+
 @register("text_scorer")
 def text_scorer(spark, folder):
     """Character n-gram scorer fitted on the corpus and applied to it."""
@@ -141,10 +153,15 @@ _SQL_STRATEGIES = {
     "compound_split": _CHAIN,
     "benign_padding": "CASE WHEN contains(url, '?') THEN url || '&ref=support-secure-login' ELSE rtrim(url, '/') || '/support-secure-login' END",
 }
-_HOMOGLYPH = (
-    "CASE WHEN auth = '' THEN url ELSE head || regexp_replace(auth, '[aceijopsxyACEIJOPSXY]', "
-    "translate(lower(regexp_extract(auth, '[aceijopsxyACEIJOPSXY]')), 'aceijopsxy', 'асеіјорѕху')) || rest END"
-)
+_LETTERS = "[aceijopsxyACEIJOPSXY]"
+
+
+def _swap(text: str) -> str:
+    letter = f"translate(lower(regexp_extract({text}, '{_LETTERS}')), 'aceijopsxy', 'асеіјорѕху')"
+    return f"regexp_replace({text}, '{_LETTERS}', {letter})"
+
+
+_HOMOGLYPH = f"CASE WHEN auth = '' THEN {_swap('path')} ELSE head || {_swap('auth')} || rest END"
 _VARIANTS = """base AS (SELECT page_id, tpl, url, regexp_extract(url, '^((?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//)', 1) AS head FROM corpus WHERE label = 1),
 base2 AS (SELECT *, CASE WHEN head = '' THEN '' ELSE regexp_extract(substr(url, length(head) + 1), '^([^/?#]*)', 1) END AS auth FROM base),
 base3 AS (SELECT *, substr(url, length(head) + length(auth) + 1) AS rest FROM base2),
