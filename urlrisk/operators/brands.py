@@ -93,7 +93,10 @@ def match_brands(
         "_cands", F.array_distinct(F.concat(c("_pairs")["t"], c("_pairs")["s"], F.array("_skel")))
     )
     nearest_of = lambda x: F.least(*[F.levenshtein(x, F.lit(a.alias)) for a in aliases], F.lit(NO_DISTANCE))
-    distance = lambda a: F.array_min(F.transform(c("_cands"), lambda x: F.levenshtein(x, a["alias"])))
+    # bounded: a distance above two never makes a hit
+    distance = lambda a: F.array_min(
+        F.filter(F.transform(c("_cands"), lambda x: F.levenshtein(x, a["alias"], 2)), lambda d: d >= 0)
+    )
     # most names have a single spelling: that case runs as compiled code
     df = df.withColumn(
         "_min",
@@ -102,42 +105,44 @@ def match_brands(
         ),
     )
 
-    # distances per alias only where a hit is possible
-    df = df.withColumn("_dists", F.when(c("_min") <= 2, F.transform(catalog, distance)))
     domains = sorted({a.domain for a in aliases})
-    on_brand_site = c("_dom").rlike(r"(?:^|\.)" + regex_union(domains) + r"\z")
     legit = lambda a: (c("_dom") == a["domain"]) | c("_dom").endswith(F.concat(F.lit("."), a["domain"]))
     df = df.withColumns(
         {
-            "_free": F.when(on_brand_site, F.filter(catalog, lambda a: ~legit(a))).otherwise(catalog),
+            "_onsite": c("_dom").rlike(r"(?:^|\.)" + regex_union(domains) + r"\z"),
             "_stokens": F.split("_subdomain", r"[.\-_]"),
             "_ptokens": F.split(F.concat("_p", F.lit("?"), "_q"), r"[/.\-_?=&#]"),
             "_named": c("_skel").rlike(regex_union(a.alias for a in aliases)),
         }
     )
+    # aliases of brands that do not own the site; kept as an expression so that rows never carry the catalog
+    others = F.filter(catalog, lambda a: ~legit(a))
+    free = F.when(c("_onsite"), others).otherwise(catalog)
+    names = F.when(c("_onsite"), others["alias"]).otherwise(literal_array(a.alias for a in aliases))
     in_sub = lambda a: F.array_contains(c("_stokens"), a["alias"])
     in_path = lambda a: F.array_contains(c("_ptokens"), a["alias"])
 
     def typo(a: Column) -> Column:
-        d = F.element_at(c("_dists"), a["ordinal"] + 1)
         imitation = F.exists(c("_pairs"), lambda x: (x["t"] != a["alias"]) & (x["s"] == a["alias"]))
-        return imitation | ((d == 1) & (a["len"] >= 4)) | ((d == 2) & (a["len"] >= 7))
+        # shortest alias that a misspelling of this distance may stand for
+        shortest = F.element_at(F.array(F.lit(999), F.lit(4), F.lit(7)), F.coalesce(distance(a), F.lit(0)) + 1)
+        return imitation | (a["len"] >= shortest)
 
     words = literal_array(keywords)
 
     def combo(a: Column) -> Column:
-        return F.exists(
+        # the alias itself comes first: most aliases end here
+        return F.contains(c("_skel"), a["alias"]) & F.exists(
             words,
             lambda k: F.contains(c("_skel"), F.concat(a["alias"], F.lit("-"), k))
             | F.contains(c("_skel"), F.concat(a["alias"], k))
             | F.contains(c("_skel"), F.concat(k, F.lit("-"), a["alias"])),
         )
 
-    names = c("_free")["alias"]
     df = df.withColumns(
         {
-            "_typo": F.when(c("_min") > 2, False).otherwise(F.exists(c("_free"), typo)),
-            "_combo": F.when(~c("_named"), False).otherwise(F.exists(c("_free"), combo)),
+            "_typo": F.when(c("_min") > 2, False).otherwise(F.exists(free, typo)),
+            "_combo": F.when(~c("_named"), False).otherwise(F.exists(free, combo)),
             "_insub": F.arrays_overlap(c("_stokens"), names),
             "_inpath": F.arrays_overlap(c("_ptokens"), names),
         }
@@ -145,15 +150,16 @@ def match_brands(
     nothing = F.lit(None).cast("string")
     if details:
         strong = F.filter(
-            c("_free"),
+            free,
             lambda a: (c("_typo") & typo(a)) | (c("_combo") & combo(a)) | (c("_insub") & in_sub(a)),
         )
         df = df.withColumn("_strong", F.when(c("_typo") | c("_combo") | c("_insub"), strong))
         matched = F.coalesce(
             F.try_element_at(c("_strong"), F.lit(-1))["brand"],
-            F.when(c("_inpath"), F.try_element_at(F.filter(c("_free"), in_path), F.lit(1))["brand"]),
+            F.when(c("_inpath"), F.try_element_at(F.filter(free, in_path), F.lit(1))["brand"]),
         )
-        nearest = F.element_at(F.filter(catalog, lambda a: distance(a) == c("_min")), 1)["brand"]
+        is_nearest = lambda a: F.exists(c("_cands"), lambda x: F.levenshtein(x, a["alias"]) == c("_min"))
+        nearest = F.element_at(F.filter(catalog, is_nearest), 1)["brand"]
     else:
         matched, nearest = nothing, nothing
     result = F.struct(

@@ -68,7 +68,8 @@ def extract_features(
         p["query"].alias("_fq"),
         p["subdomain"].alias("_fsub"),
     )
-    in_url = F.filter(literal_array(KEYWORDS), lambda k: F.contains(F.lower(c("_u")), k))
+    df = df.withColumns({"_ul": F.lower("_u"), "_pl": F.lower("_fp"), "_sl": F.lower("_fsub")})
+    in_url = F.filter(literal_array(KEYWORDS), lambda k: F.contains(c("_ul"), k))
     df = df.withColumns(
         {
             "_len": F.greatest(F.length("_u"), F.lit(1)),
@@ -132,8 +133,8 @@ def extract_features(
         "combosquat_detected": flag(brand["combosquat_detected"]),
         "min_brand_edit_distance": F.least(brand["min_edit_distance"], F.lit(MAX_BRAND_DISTANCE)),
         "suspicious_keyword_count": F.size("_kw"),
-        "keyword_in_path": flag(F.exists("_kw", lambda k: F.contains(F.lower(c("_fp")), k))),
-        "keyword_in_subdomain": flag(F.exists("_kw", lambda k: F.contains(F.lower(c("_fsub")), k))),
+        "keyword_in_path": flag(F.exists("_kw", lambda k: F.contains(c("_pl"), k))),
+        "keyword_in_subdomain": flag(F.exists("_kw", lambda k: F.contains(c("_sl"), k))),
         "pct_encoded_ratio": half_even(
             3 * F.when(F.contains(c("_u"), F.lit("%")), F.regexp_count("_u", F.lit("%[0-9a-fA-F]{2}"))).otherwise(0), n, 4
         ),

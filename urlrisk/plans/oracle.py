@@ -49,7 +49,8 @@ SPECIAL = [
     # the same hosts after subdomain stuffing
     ("secure-auth-update.signin.pаypal.com", None, "secure-auth-update.signin.pаypal.com",
      "secure-auth-update.signin.xn--pypal-4ve.com", 1, 0, 1, None, 0),
-    ("secure-auth-update.signin.[2001:db8::1]:8080", "Malformed URL: Invalid IPv6 URL", None, None, 0, 0, 0, None, 0),
+    ("secure-auth-update.signin.[2001:db8::1]:8080", None, "secure-auth-update.signin.[2001:db8::1]",
+     "secure-auth-update.signin.[2001:db8::1]", 0, 0, 0, None, 0),
     ("secure-auth-update.signin.[::1", "Malformed URL: Invalid IPv6 URL", None, None, 0, 0, 0, None, 0),
     ("[::1", "Malformed URL: Invalid IPv6 URL", None, None, 0, 0, 0, None, 0),
 ]
