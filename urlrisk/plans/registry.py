@@ -28,11 +28,21 @@ KEYS = ["page_id", "tpl"]
 K = "page_id, tpl"
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, ints: str = "", doubles: str = "", dates: str = ""):
+    """Register a query. The named columns get plain types on the SQL side (and dates text on both sides), so
+    that rows compare without type conversions."""
+
     def add(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            out = fn(spark, folder)
+            return out.withColumns({d: F.col(d).cast("string") for d in dates.split()}) if dates else out
+
+        QUERIES[name] = run
+        casts = [(c, "BIGINT") for c in ints.split()] + [(c, "DOUBLE") for c in doubles.split()]
+        casts += [(c, "VARCHAR") for c in dates.split()]
         if sql is not None:
-            ORACLE[name] = sql
+            changes = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in casts)
+            ORACLE[name] = f"SELECT * REPLACE ({changes}) FROM ({sql})" if casts else sql
         return fn
 
     return add
@@ -238,6 +248,7 @@ SELECT page_id, tpl, owner, url_canonical, url_sha256, registered_domain, verdic
   CASE WHEN layer = 'invalid' THEN NULL WHEN layer = 'feed' THEN 'hit' ELSE 'miss' END AS layer_feeds,
   CASE WHEN layer = 'invalid' THEN NULL WHEN layer = 'model' THEN 'scored' ELSE 'skipped' END AS layer_ml
 FROM scan""",
+    doubles="probability",
 )
 def layered_scan(spark, folder):
     s = listed_scan(spark, folder)

@@ -43,7 +43,7 @@ def split_table(spark, folder):
     return dataset.assign_splits(dataset_table(spark, folder))
 
 
-@register("dataset_rows", f"{_DATA}\nSELECT {', '.join(REQUIRED_COLUMNS)} FROM data")
+@register("dataset_rows", f"{_DATA}\nSELECT {', '.join(REQUIRED_COLUMNS)} FROM data", dates="first_seen")
 def dataset_rows(spark, folder):
     rows = dataset_table(spark, folder)
     dataset.validate_dataset(rows)
@@ -62,17 +62,17 @@ def source_union(spark, folder):
     return both.groupBy("source", "label").agg(F.count("*").alias("n"))
 
 
-@register("time_order", f"{_DATA}\nSELECT first_seen, url_sha256, source FROM data")
+@register("time_order", f"{_DATA}\nSELECT first_seen, url_sha256, source FROM data", dates="first_seen")
 def time_order(spark, folder):
     return dataset.sort_by_time(dataset_table(spark, folder)).select("first_seen", "url_sha256", "source")
 
 
-@register("domain_first_seen", f"{_SPLIT}\nSELECT registered_domain, first_seen, n_urls FROM dom")
+@register("domain_first_seen", f"{_SPLIT}\nSELECT registered_domain, first_seen, n_urls FROM dom", dates="first_seen")
 def domain_first_seen(spark, folder):
     return dataset.domain_first_seen(dataset_table(spark, folder))
 
 
-@register("domain_splits", f"{_SPLIT}\nSELECT registered_domain, first_seen, n_urls, split FROM dsplit")
+@register("domain_splits", f"{_SPLIT}\nSELECT registered_domain, first_seen, n_urls, split FROM dsplit", dates="first_seen")
 def domain_splits(spark, folder):
     return dataset.domain_splits(dataset_table(spark, folder))
 
@@ -127,6 +127,7 @@ def split_overlap(spark, folder):
     f"""{_DATA}
 SELECT url_sha256, min(url) AS url, arg_min(url_raw, (CAST(first_seen AS VARCHAR), url_raw)) AS url_raw, min(first_seen) AS first_seen
 FROM data GROUP BY url_sha256""",
+    dates="first_seen",
 )
 def url_dedupe(spark, folder):
     return dataset.dedupe_urls(dataset_table(spark, folder)).select("url_sha256", "url", "url_raw", "first_seen")
@@ -260,6 +261,7 @@ SELECT sha256(CAST(page_id AS VARCHAR) || chr(31) || CAST(tpl AS VARCHAR)) AS id
     || replace(regexp_extract(body, '^([^/?#]*)', 1), '.', '[.]') || substr(body, length(regexp_extract(body, '^([^/?#]*)', 1)) + 1) AS url_defanged,
   registered_domain, verdict, risk_score, probability, 'batch' AS client, len(codes) AS n_reasons
 FROM auth""",
+    doubles="probability", dates="created_date",
 )
 def scan_records(spark, folder):
     rows = stored_scans(spark, folder)
@@ -272,6 +274,7 @@ def scan_records(spark, folder):
     "retention",
     """SELECT CAST(ts AS DATE) AS day, sum(CAST(ts < TIMESTAMP '2024-02-14 12:00:00' - INTERVAL 30 DAY AS INTEGER)) AS n_expired, count(*) AS n
 FROM events GROUP BY 1""",
+    ints="n_expired", dates="day",
 )
 def retention(spark, folder):
     scans = table(spark, folder, "events").select(F.col("ts").alias("created_at"))
@@ -345,6 +348,7 @@ def scored_corpus(spark, folder):
     "roc_curve",
     f"""{_SCORED}
 SELECT model, score AS threshold, ordinal, tp, fp, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(prec, 6) AS precision, CAST(kept AS INTEGER) AS kept FROM pts""",
+    ints="tp fp",
 )
 def roc_curve(spark, folder):
     points = evaluate.roc_curve(scored_corpus(spark, folder), group_cols=["model"])
@@ -377,6 +381,7 @@ SELECT model, n_pos, n_neg, roc_auc, pr_auc, average_precision, brier_score, ece
   {_precision_at(0.005)} AS precision_at_base_rate_0_5pct, {_precision_at(0.05)} AS precision_at_base_rate_5pct,
   round(t1, 4) AS threshold_at_fpr_1pct, round(t01, 4) AS threshold_at_fpr_0_1pct, realized AS realized_fpr_0_1pct
 FROM agg JOIN ecev USING (model)""",
+    ints="n_pos n_neg",
 )
 def evaluation_report(spark, folder):
     return evaluate.evaluate_predictions(scored_corpus(spark, folder), group_cols=["model"])
@@ -404,6 +409,7 @@ def leakage_alarm(spark, folder):
 SELECT m.model, b.bin, round(b.bin * 0.1, 4) AS low, round((b.bin + 1) * 0.1, 4) AS high,
   round(coalesce(conf, (b.bin * 0.1 + (b.bin + 1) * 0.1) / 2), 4) AS confidence, round(coalesce(acc, 0), 4) AS accuracy, coalesce(n, 0) AS n
 FROM (SELECT DISTINCT model FROM cnt) m CROSS JOIN (SELECT unnest(range(0, 10)) AS bin) b LEFT JOIN ecebin e ON e.model = m.model AND e.bin = b.bin""",
+    ints="n", doubles="low high",
 )
 def reliability_curve(spark, folder):
     return evaluate.reliability_curve(scored_corpus(spark, folder), group_cols=["model"])

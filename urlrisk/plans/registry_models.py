@@ -24,7 +24,7 @@ low AS (SELECT a.i AS j, x.i, min((k.cp - a.cp + a.pos) / (k.cn - a.cn + a.n)) A
 iso AS (SELECT i, max(m) AS fit FROM low GROUP BY i)"""
 
 
-@register("isotonic_fit", f"{_ISO}\nSELECT score, n, round(fit, 6) AS calibrated FROM lev JOIN iso USING (i)")
+@register("isotonic_fit", f"{_ISO}\nSELECT score, n, round(fit, 6) AS calibrated FROM lev JOIN iso USING (i)", ints="n")
 def isotonic_fit(spark, folder):
     rows = scored_corpus(spark, folder).filter("model = 'a'")
     fitted = calibrate.fit_isotonic(rows)
@@ -201,6 +201,7 @@ def _counts(spark, folder, names):
 SELECT strategy, sample_count, clean_detected, perturbed_detected, round(clean_detected / sample_count, 4) AS clean_recall,
   round(perturbed_detected / sample_count, 4) AS perturbed_recall, round(greatest((clean_detected - perturbed_detected) / sample_count, 0), 4) AS recall_drop
 FROM per CROSS JOIN cd WHERE strategy <> 'clean'""",
+    ints="clean_detected perturbed_detected",
 )
 def robustness_report(spark, folder):
     return robustness.robustness_report(_counts(spark, folder, _SQL_STRATEGIES))
@@ -212,6 +213,7 @@ def robustness_report(spark, folder):
   sum(perturbed_detected) FILTER (strategy = 'clean') / sum(sample_count) FILTER (strategy = 'clean') AS c,
   sum(perturbed_detected) FILTER (strategy <> 'clean') / sum(sample_count) FILTER (strategy <> 'clean') AS p FROM per)
 SELECT total_samples, round(c, 4) AS overall_clean_recall, round(p, 4) AS overall_perturbed_recall, round(greatest(c - p, 0), 4) AS overall_recall_drop FROM t""",
+    ints="total_samples",
 )
 def robustness_summary(spark, folder):
     return robustness.robustness_summary(_counts(spark, folder, _SQL_STRATEGIES))

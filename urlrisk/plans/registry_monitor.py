@@ -81,6 +81,7 @@ def tld_prior(spark, folder):
     f"""{_SCORED}, c AS (SELECT model, sum(CAST(score >= 0.5 AND label = 1 AS INTEGER)) AS tp, sum(CAST(score >= 0.5 AND label = 0 AS INTEGER)) AS fp,
   sum(CAST(score < 0.5 AND label = 1 AS INTEGER)) AS fn FROM scored GROUP BY model)
 SELECT *, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""",
+    ints="tp fp fn",
 )
 def f1_at_threshold(spark, folder):
     return monitor.f1_at(scored_corpus(spark, folder), 0.5, group_cols=["model"])
@@ -135,6 +136,7 @@ def error_groups(spark, folder):
     f"""{_LABELLED}, e AS (SELECT {_KIND} AS error_type, label, probability, registered_domain, url_sha256 FROM scan),
 r AS (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY CASE WHEN error_type = 'FP' THEN -probability ELSE probability END, url_sha256) AS place FROM e WHERE error_type IS NOT NULL)
 SELECT error_type, label, probability, registered_domain, url_sha256 FROM r WHERE place <= 50""",
+    doubles="probability",
 )
 def error_list(spark, folder):
     return monitor.error_list(labelled_scan(spark, folder)).drop("url_defanged")
@@ -152,6 +154,7 @@ def triage(spark, folder):
     "page_false_alarms",
     f"""WITH src AS (SELECT page_id, 0 AS tpl, url FROM pages), {o.scan('src', K)}
 SELECT count(*) AS n, sum(CAST(verdict = 'malicious' AS INTEGER)) AS n_false_alarms FROM scan""",
+    ints="n_false_alarms",
 )
 def page_false_alarms(spark, folder):
     from urlrisk.operators.detect import scan_urls
