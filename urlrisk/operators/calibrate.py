@@ -42,12 +42,11 @@ class Calibrator:
         x0, y0 = at(xs, slot), at(ys, slot)
         x1, y1 = at(xs, slot + 1), at(ys, slot + 1)
         result = (
-            F.when(F.col("_value").isNull(), F.lit(None).cast("double"))
-            .when(slot == 0, ys[0])
+            F.when(slot == 0, ys[0])
             .when(slot >= len(xs), ys[-1])
             .otherwise((y1 - y0) / (x1 - x0) * (F.col("_value") - x0) + y0)
         )
-        clipped = F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0))
+        clipped = F.when(F.col("_value").isNotNull(), F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0)))
         return df.withColumn(out, clipped).drop("_slot", "_value")
 
 

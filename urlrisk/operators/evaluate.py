@@ -24,7 +24,10 @@ THRESHOLD_DEFAULTS = {"suspicious": (0.05, 0.90, 0.35), "malicious": (0.10, 0.90
 
 
 def score_counts(df: DataFrame, label: str = "label", score: str = "score", group_cols: Sequence[str] = ()) -> DataFrame:
-    """Positives and negatives per distinct score, the score clipped to [0, 1]."""
+    """Positives and negatives per distinct score, the score clipped to [0, 1].
+
+    Every row counts: a missing score is taken as 0.
+    """
     clipped = F.least(F.greatest(F.col(score).cast("double"), F.lit(0.0)), F.lit(1.0))
     return (
         df.select(*group_cols, clipped.alias("score"), F.col(label).cast("long").alias("_y"))

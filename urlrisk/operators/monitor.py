@@ -86,8 +86,9 @@ def f1_at(df: DataFrame, threshold: float, label: str = "label", score: str = "s
 def bootstrap_auc(df: DataFrame, label: str = "label", score: str = "score", resamples: int = 1000, seed: int = 7) -> DataFrame:
     """95 % interval of ROC-AUC by Poisson bootstrap.
 
-    Resampling happens on the counts per score: a count k becomes a Poisson(k) draw, approximated for each
-    resample from a hash of (resample, score), so rows are never copied and every run gives the same interval.
+    Resampling happens on the counts per score, so rows are never copied. A count k becomes a Poisson(k) draw,
+    here a rounded normal with mean and variance k taken from a hash of (resample, score): every run gives the
+    same interval. With many scores seen only once or twice the interval is approximate.
     """
     counts = score_counts(df, label, score)
     copies = counts.select("score", "pos", "neg", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
