@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import mixing
+from urlrisk.llm import mixing, quality_rules, url_filter
 from urlrisk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +23,94 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.apply_quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    counts = "n_words word_chars n_symbols n_dup_lines n_repeat_words".split()
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
+def _quality_sql() -> str:
+    rules = quality_rules.RULES
+    tests = ", ".join(f"('{r}', {i}, {c})" for r, (_, _, cs) in rules.items() for i, c in enumerate(cs))
+    left = " ".join(f"WHEN '{r}' THEN {x[0]}" for r, x in rules.items())
+    right = " ".join(f"WHEN '{r}' THEN {x[1]}" for r, x in rules.items())
+    p = quality_rules.ALPHA / len(rules)
+    return f"""
+WITH texts AS (
+  SELECT doc_id, lang AS stratum, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, list_slice(words, i, i + 7) AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM texts WHERE len(words) >= 8)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+), covered AS (
+  SELECT doc_id, sum(least(8, i - before)) AS n
+  FROM (SELECT doc_id, i, lag(i, 1, -8) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM repeated) GROUP BY doc_id
+), counts AS (
+  SELECT t.doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM texts t LEFT JOIN covered USING (doc_id)
+), base AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+), tests(rule, nr, cutoff) AS (VALUES {tests}
+), good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1
+), held AS (SELECT * FROM base WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)
+), sums AS (
+  SELECT stratum, rule, nr, cutoff, count(*) AS n,
+    count(*) FILTER (WHERE CASE rule {left} END * 1000 > cutoff * CASE rule {right} END) AS k
+  FROM held, tests GROUP BY ALL
+), tails AS (
+  SELECT *, CASE WHEN k > n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j:
+    exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p})))) END AS tail FROM sums
+), certified AS (
+  SELECT *, bool_and(tail <= {quality_rules.DELTA} / (SELECT count(*) FROM sums))
+    OVER (PARTITION BY stratum, rule ORDER BY nr) AS ok FROM tails
+), cutoffs AS (
+  SELECT stratum, rule, min(cutoff) FILTER (WHERE rule <> 'none') AS cutoff FROM certified WHERE ok GROUP BY ALL
+), rejected AS (
+  SELECT DISTINCT doc_id FROM base b JOIN cutoffs c ON b.stratum IS NOT DISTINCT FROM c.stratum
+  WHERE CASE rule {left} END * 1000 > cutoff * CASE rule {right} END
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM base"""
+
+
+ORACLE["op5_quality_rules"] = _quality_sql()
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
+ORACLE["op7_url_filter"] = """
+WITH rest AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), rules(v, h, p) AS (VALUES """ + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES) + """
+), best AS (
+  SELECT page_id, h || p AS rule, v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC) = 1
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN best USING (page_id)"""
