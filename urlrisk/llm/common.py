@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlrisk.operators.ordering import cut_lineage
+
 #: White space as the contract has it: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -23,3 +27,9 @@ def words_of(text: Column) -> Column:
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns only."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(2**53))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, which all executors reach."""
+    cut_lineage(spark.range(0))  # sets the checkpoint folder where the session has none
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import mixing, quality_rules, url_filter
+from urlrisk.llm import mixing, quality_rules, url_filter, warc
 from urlrisk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,19 @@ WITH rest AS (
 )
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (page_id)"""
+
+
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.read_archive(spark, warc.write_archive(table(spark, folder, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op8_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY digest) AS m FROM p)"""
