@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import mixing, quality_rules, url_filter, warc
+from urlrisk.llm import html_text, mixing, quality_rules, url_filter, warc
 from urlrisk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,8 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id < m THEN m END AS refers_to
 FROM (SELECT *, max(page_id) OVER (PARTITION BY digest) AS m FROM p)"""
+
+
+@query
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, folder, "pages"))
