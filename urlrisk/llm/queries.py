@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import html_text, mixing, quality_rules, url_filter, warc
+from urlrisk.llm import decontaminate, html_text, mixing, near_dedup, quality_rules, url_filter, warc
 from urlrisk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,14 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY digest) AS m FROM p)"""
 @query
 def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, folder, "pages"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "items", (F.size("items") > 0).alias("contaminated"))
+
+
+@query
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))
