@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.llm import decontaminate, html_text, mixing, near_dedup, quality_rules, url_filter, warc
+import corpus_pipeline
+from urlrisk.llm import (
+    decontaminate,
+    html_text,
+    language,
+    mixing,
+    near_dedup,
+    personal_data,
+    quality_rules,
+    sentence_dedup,
+    url_filter,
+    warc,
+)
 from urlrisk.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +158,49 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_sentence_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return sentence_dedup.remove_repeated(table(spark, folder, "documents"))
+
+
+@query
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.digest_columns(personal_data.find_personal_data(table(spark, folder, "documents")))
+
+
+@query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents: their metadata language is the declared one, their source the host."""
+    docs = table(spark, folder, "documents")
+    return language.identify_languages(docs, docs)
+
+
+@query
+def pages_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator over all pages, with markup language, address suffix and host; trained on the documents."""
+    pages = table(spark, folder, "pages")
+    text = html_text.extract_main_text(pages)
+    host = F.regexp_extract(F.lower("url"), r"://([^/?#]*)", 1)
+    signs = pages.select(
+        F.col("page_id").alias("_id"),
+        F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1).alias("declared"),
+        host.alias("host"),
+        F.substring_index(host, ".", -1).alias("suffix"),
+    )
+    known = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
+    rows = text.join(signs, text["page_id"] == signs["_id"]).select("page_id", "text", known("declared"), known("host"), known("suffix"))
+    found = language.identify_languages(
+        rows, table(spark, folder, "documents"), id_col="page_id", declared_col="declared", suffix_col="suffix", host_col="host"
+    )
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
