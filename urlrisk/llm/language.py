@@ -10,8 +10,9 @@ The evidence of a text for each language:
 All tables of the last two come from grouped aggregations over all texts, by the language that the text alone says; the language with the largest
 posterior is the answer. Only the trigram model is fitted on a sample: about ``TRAIN`` labelled texts per language, drawn by hash of the id.
 
-A text is rejected if it has fewer than ``LEAST`` trigrams, if no language reaches a posterior of ``SURE``, or if its mean log-likelihood is below that
-of the model's own training texts by more than ``FAR`` of their standard deviations (of the mean and of a single trigram over the text's length).
+A text is rejected if it has fewer than ``LEAST`` trigrams, if no language reaches a posterior of ``SURE``, or if no language explains it: its
+mean log-likelihood per trigram is below that of each language's training texts by more than ``FAR`` (plus ``NOISE`` over the root of its number of
+trigrams). Mixed texts and texts with many tokens of other kinds stay well above that; random letters and unknown languages don't.
 
 Cases: null and empty texts are rejected with a null language. A null declaration, suffix or host says nothing. Ties go to the language that sorts first. Repeated
 rows are kept. Without labelled texts nothing can be told: all are rejected. An empty table gives an empty result; other columns are not read.
@@ -41,7 +42,8 @@ TEXT_WEIGHT = 40
 KAPPA = 20.0
 LEAST = 3
 SURE = 0.5
-FAR = 6.0
+FAR = 3.0
+NOISE = 6.0
 
 
 @dataclass
@@ -49,8 +51,6 @@ class Model:
     languages: list[str]
     logs: np.ndarray  # bucket x language
     mean: np.ndarray  # of the training texts' mean log-likelihoods
-    spread: np.ndarray  # their standard deviation
-    single: np.ndarray  # standard deviation of one trigram's
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,37 +91,30 @@ def fit(labelled: DataFrame, train: int = TRAIN) -> Model:
     for r in sums.collect():  # at most languages x buckets
         table[r["lang"], r["bucket"]] = r["n"]
     logs = np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).T.astype(np.float32)
-    model = Model(languages, np.ascontiguousarray(logs), *np.zeros((3, len(languages))))
+    model = Model(languages, np.ascontiguousarray(logs), np.zeros(len(languages)))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, which = batch["text"].tolist(), np.array([languages.index(x) for x in batch["lang"]], np.int64)
             for a, b in chunks(texts):
-                total, squares, n = likelihoods(texts[a:b], model)
-                at = np.arange(b - a)
-                size = np.maximum(n, 1)
-                mean = total[at, which[a:b]] / size
-                variance = np.maximum(squares[at, which[a:b]] / size - mean**2, 0)
-                frame = pd.DataFrame({"lang": which[a:b], "mean": mean, "variance": variance})
+                total, n = likelihoods(texts[a:b], model)
+                mean = total[np.arange(b - a), which[a:b]] / np.maximum(n, 1)
+                frame = pd.DataFrame({"lang": which[a:b], "mean": mean})
                 yield frame[n >= LEAST]
 
-    fitted = sample.mapInPandas(measure, "lang int, mean double, variance double")
-    for r in fitted.groupBy("lang").agg(F.avg("mean").alias("m"), F.stddev_pop("mean").alias("s"), F.avg("variance").alias("v")).collect():
-        model.mean[r["lang"]], model.spread[r["lang"]], model.single[r["lang"]] = r["m"], r["s"] or 0.0, r["v"] ** 0.5
+    fitted = sample.mapInPandas(measure, "lang int, mean double").groupBy("lang").agg(F.avg("mean").alias("m"))
+    for r in fitted.collect():  # one row per language
+        model.mean[r["lang"]] = r["m"]
     return model
 
 
-def likelihoods(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-likelihood per text and language, the sum of squares of its terms, and the number of trigrams."""
+def likelihoods(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood per text and language, and the number of trigrams."""
     bucket, of = trigrams(texts)
-    n = np.bincount(of, minlength=len(texts))
-    width = len(model.languages)
-    total, squares = np.zeros((len(texts), width)), np.zeros((len(texts), width))
-    for i in range(width):
-        terms = model.logs[bucket, i].astype(np.float64)
-        total[:, i] = np.bincount(of, terms, len(texts))
-        squares[:, i] = np.bincount(of, terms * terms, len(texts))
-    return total, squares, n
+    total = np.zeros((len(texts), len(model.languages)))
+    for i in range(len(model.languages)):
+        total[:, i] = np.bincount(of, model.logs[bucket, i].astype(np.float64), len(texts))
+    return total, np.bincount(of, minlength=len(texts))
 
 
 def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
@@ -134,9 +127,9 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in chunks(texts):
-                total, _, n = likelihoods(texts[a:b], m)
+                total, n = likelihoods(texts[a:b], m)
                 mean = total / np.maximum(n, 1)[:, None]
-                limit = m.mean - FAR * np.sqrt(m.spread**2 + m.single**2 / np.maximum(n, 1)[:, None])
+                limit = m.mean - FAR - NOISE / np.sqrt(np.maximum(n, 1))[:, None]
                 out = batch[keep].iloc[a:b].copy()
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 out["evidence"] = list(mean * np.minimum(n, TEXT_WEIGHT)[:, None])
