@@ -8,7 +8,7 @@
    tokens have one order; classes are nested by the span between their first and last token, and a class that
    crosses a larger one is dropped. The valid classes are the host's template. Its size is bounded by twice a page's.
 3. What the template leaves of a page are slots: text between template tokens. A text block that is itself part of
-   the template (on nearly all pages) is boilerplate. A slot belongs to the region of the template that holds it: menus, headers,
+   the template (on nearly all pages) is boilerplate, unless the page marks it as main text. A slot belongs to the region of the template that holds it: menus, headers,
    footers, sidebars, notices, adverts, forms and comments are named by their elements, classes, ids or roles, or, if
    nothing names them, by their share of link text over all pages of the host. The slots of the main region are the text: inside ``article`` or ``main``
    where a page has them, else everywhere.
@@ -247,9 +247,7 @@ def main_text(html: str, texts: set[int], menus: set[int]) -> str:
         tokens = [t for t in tokens if t[4]]
     out = []
     for own, parent, text, side, main, linked in tokens:
-        if side or own in texts:
-            continue
-        if not main and (parent in menus or linked > LINK_SHARE * len(text)):
+        if side or not main and (own in texts or parent in menus or linked > LINK_SHARE * len(text)):
             continue
         out.append(text)
     return " ".join(out)
