@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.functions.privacy import defang, hash_key, redact_query
+from urlrisk.functions.text import strip
 from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.operators.features import is_multitenant
 from urlrisk.operators.ordering import cut_lineage
@@ -62,6 +63,13 @@ def split_feedback(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, df.filter(~good)
 
 
+def write_feedback(df: DataFrame, path: str, quarantine: str) -> None:
+    """Append the accepted rows to the table at ``path`` and the others, with the time, to the one at ``quarantine``."""
+    accepted, rejected = split_feedback(df)
+    rejected.withColumn("rejected_at", F.current_timestamp()).write.mode("append").parquet(quarantine)
+    accepted.write.mode("append").parquet(path)
+
+
 def list_entries(df: DataFrame, multitenant: Sequence[str] = MULTITENANT_HOSTS) -> tuple[DataFrame, DataFrame]:
     """Clean list requests (``user_key, kind, pattern`` and any more columns) into entries and rejects.
 
@@ -69,7 +77,7 @@ def list_entries(df: DataFrame, multitenant: Sequence[str] = MULTITENANT_HOSTS)
     """
     rest = [k for k in df.columns if k not in ("user_key", "pattern")]
     clean = df.select(
-        hash_key(F.col("user_key")).alias("owner_key_hash"), F.lower(F.trim("pattern")).alias("pattern"), *rest
+        hash_key(F.col("user_key")).alias("owner_key_hash"), F.lower(strip(F.col("pattern"))).alias("pattern"), *rest
     )
     address = F.when(F.contains("pattern", F.lit("://")), F.col("pattern")).otherwise(
         F.concat(F.lit("https://"), F.col("pattern"))
@@ -96,7 +104,7 @@ def add_list_entries(current: DataFrame, entries: DataFrame) -> DataFrame:
 def delete_list_entries(current: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remaining entries, and the requests with ``existed``. Requests carry ``user_key, kind, pattern``."""
     wanted = requests.select(
-        hash_key(F.col("user_key")).alias("owner_key_hash"), "kind", F.lower(F.trim("pattern")).alias("pattern")
+        hash_key(F.col("user_key")).alias("owner_key_hash"), "kind", F.lower(strip(F.col("pattern"))).alias("pattern")
     ).distinct()
     found = current.select(*_ENTRY_KEY).distinct().withColumn("_hit", F.lit(True))
     outcome = wanted.join(found, _ENTRY_KEY, "left").select(
@@ -128,25 +136,31 @@ def retention_split(scans: DataFrame, as_of: Column, days: int = RETENTION_DAYS)
 def cleanup_scan_table(spark, table: str, as_of: datetime, days: int = RETENTION_DAYS) -> int:
     """Drop expired scans from catalog table ``table`` (partitioned by ``created_date``); return their count.
 
-    Whole expired dates are dropped as partitions; only the date the cutoff falls into is rewritten.
+    The date the cutoff falls into is overwritten with the rows to keep, in one commit; only then are the older dates
+    dropped as partitions. After a crash in between, the next run finishes the work, and no row to keep is ever missing. A naive ``as_of`` is
+    a time of the session's zone, as the stored dates are.
     """
     check_retention(days)
-    cutoff = as_of - timedelta(days=days)
+    cutoff_time = as_of - timedelta(days=days)
+    if cutoff_time.tzinfo is None:
+        cutoff = F.to_timestamp(F.lit(cutoff_time.isoformat(sep=" ")))
+    else:
+        cutoff = F.timestamp_micros(F.lit(round(cutoff_time.timestamp() * 1_000_000)))
+    edge_day = spark.range(1).select(F.to_date(cutoff).alias("d")).first()["d"]
     scans = spark.table(table)
-    # the date filter prunes partitions before any row is read
-    old = scans.filter((F.col("created_date") <= F.lit(cutoff.date())) & (F.col("created_at") < F.lit(cutoff)))
-    removed = old.count()
-    if removed == 0:
-        return 0
-    edge = scans.filter(
-        (F.col("created_date") == F.lit(cutoff.date())) & (F.col("created_at") >= F.lit(cutoff))
-    )
-    saved = cut_lineage(edge)
-    dates = [r[0] for r in old.select("created_date").distinct().collect()]  # at most one per calendar day
-    for day in dates:
+    # the date filters prune partitions before any row is read
+    old = scans.filter((F.col("created_date") <= F.lit(edge_day)) & (F.col("created_at") < cutoff))
+    dates = {r["created_date"]: r["n"] for r in old.groupBy("created_date").agg(F.count("*").alias("n")).collect()}  # at most one per day
+    if edge_day in dates:
+        kept = scans.filter((F.col("created_date") == F.lit(edge_day)) & (F.col("created_at") >= cutoff))
+        names = [c for c in scans.columns if c != "created_date"]
+        cut_lineage(kept.select(*names)).createOrReplaceTempView("_retained_scans")
+        listed = ", ".join(f"`{n}`" for n in names)
+        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (created_date = DATE'{edge_day}') ({listed}) SELECT {listed} FROM _retained_scans")
+        spark.catalog.dropTempView("_retained_scans")
+    for day in sorted(d for d in dates if d != edge_day):
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (created_date = DATE'{day}')")
-    saved.select(*spark.table(table).columns).write.mode("append").insertInto(table)
-    return removed
+    return sum(dates.values())
 
 
 def register_model(df: DataFrame, path: str) -> None:

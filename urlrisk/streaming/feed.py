@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.functions.privacy import refang, sha256_url
+from urlrisk.functions.text import strip
 from urlrisk.operators.canonical import canonicalize_urls
 
 FEED_KEY = ["source", "url_sha256"]
@@ -17,7 +18,7 @@ def feed_entries(df: DataFrame, ts: str = "ts", ttl_days: int | None = None) ->
     Plain aggregates, combined before the shuffle, so many sightings of one URL cost little. Works in batch and
     in a streaming query in update mode.
     """
-    clean = canonicalize_urls(df.withColumn("_feed_url", refang(F.trim("url"))).drop("url"), "_feed_url", "parsed")
+    clean = canonicalize_urls(df.withColumn("_feed_url", refang(strip(F.col("url")))).drop("url"), "_feed_url", "parsed")
     p = F.col("parsed")
     rows = clean.filter(p["is_valid"]).select(
         "source", sha256_url(p["canonical"]).alias("url_sha256"), p["canonical"].alias("url"), p["host"].alias("host"), ts
@@ -54,18 +55,40 @@ def active_patterns(entries: DataFrame, as_of: Column) -> DataFrame:
     return entries.filter(live).select(F.col("url").alias("pattern")).distinct()
 
 
-def upsert_writer(spark: SparkSession, folder: str, ttl_days: int | None = None):
+def feed_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Committed versions of a feed table, oldest first. Only folder names are listed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    found = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
+    done = lambda v: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={v}/_SUCCESS"))
+    return sorted(v for v in found if done(v))
+
+
+def read_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest committed version of the feed table."""
+    return spark.read.parquet(f"{folder}/v={feed_versions(spark, folder)[-1]}")
+
+
+def upsert_writer(spark: SparkSession, folder: str, ttl_days: int | None = None, keep: int = 2):
     """``foreachBatch`` function that keeps the feed table below ``folder``.
 
-    Each batch writes a new version ``v=<batch id>`` from the previous one, so a batch that is retried after a
-    failure overwrites its own version and never reads a half-written one.
+    Each batch is merged with the newest committed version into the next one, whatever its batch id, so a new query or a new
+    checkpoint goes on from the stored table. First and last sightings are a minimum and a maximum: a batch that is
+    retried changes nothing. A version counts once Spark has committed it; the newest ``keep`` stay for readers.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
         entries = feed_entries(batch, "ts", ttl_days)
-        if batch_id > 0:
-            current = batch.sparkSession.read.parquet(f"{folder}/v={batch_id - 1}")
-            entries = merge_entries(current, entries, ttl_days)
-        entries.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
+        versions = feed_versions(session, folder)
+        if versions:
+            entries = merge_entries(session.read.parquet(f"{folder}/v={versions[-1]}"), entries, ttl_days)
+        entries.write.mode("overwrite").parquet(f"{folder}/v={versions[-1] + 1 if versions else 0}")
+        for old in versions[: -(keep - 1)] if keep > 1 else versions:
+            path = session._jvm.org.apache.hadoop.fs.Path(f"{folder}/v={old}")
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
     return write
