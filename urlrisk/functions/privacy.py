@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from urlrisk.functions.text import strip
+
 _SCHEME = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://.*"
 
 
@@ -45,7 +47,7 @@ def sha256_url(url: Column) -> Column:
 
 def hash_key(key: Column) -> Column:
     """Owner key as it is stored: SHA-256 of the trimmed text."""
-    return F.sha2(F.trim(key), 256)
+    return F.sha2(strip(key), 256)
 
 
 def invert_label(raw: Column) -> Column:

@@ -8,9 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN_LENGTH = 200  # fixed value: length of the character sequence of a URL
+# fixed values: what counts as white space at the ends of URLs, keys and patterns
+WHITESPACE = "".join(
+    [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680)]
+    + [chr(c) for c in range(0x2000, 0x200B)]
+    + [chr(c) for c in (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+)
 PAD, UNKNOWN, LAST_CODE = 0, 1, 126  # fixed values: padding, unknown character, last mapped code point
 
 
+def strip(col: Column) -> Column:
+    """Drop white space of any kind at both ends."""
+    return F.btrim(col, F.lit(WHITESPACE))
+
+
 def literal_array(values: Iterable[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

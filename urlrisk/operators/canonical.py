@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.functions.hosts import inspect_host
 from urlrisk.functions.planning import computed_stage
+from urlrisk.functions.text import strip
 from urlrisk.sources.suffixes import MAX_RULE_ROWS, SuffixRules, builtin_rules
 
 MAX_URL_LENGTH = 8192  # fixed value: longer URLs are rejected
@@ -21,11 +22,6 @@ PARSED_FIELDS = (
     "is_mixed_script has_punycode has_double_encoding fragment_has_url is_valid error_message"
 ).split()
 
-_WHITESPACE = "".join(
-    [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680)]
-    + [chr(c) for c in range(0x2000, 0x200B)]
-    + [chr(c) for c in (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-)
 _HAS_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
 _PARTS = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 _DOTTED = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
@@ -114,6 +110,10 @@ def suffix_label_count(host: Column, rules: SuffixRules) -> Column:
             add(last(depth - 1).isin(wildcard_by_depth[depth]) & (labels >= depth), depth)
         if depth in by_depth:
             add(last(depth).isin(by_depth[depth]), depth)
+        if depth == 2 and rules.second_level:
+            top, second = last(1), F.substring_index(last(2), ".", 1)
+            country = top.rlike("^[a-z]{2}$") & ~top.isin(list(rules.direct_countries))
+            add(country & second.isin(list(rules.second_level)) & (labels >= 2), 2)
     if rules.two_letter_countries:
         top = last(1)
         add(top.rlike("^[a-z]{2}$") & ~top.isin([w for w in rules.wildcard]), 1)
@@ -168,7 +168,7 @@ def canonicalize_urls(
 
     # 1. clean and infer the scheme
     raw = F.coalesce(c(url_col).cast("string"), F.lit(""))
-    clean = F.regexp_replace(F.btrim(raw, F.lit(_WHITESPACE)), r"[\x00-\x1F\x7F]", "")
+    clean = F.regexp_replace(strip(raw), r"[\x00-\x1F\x7F]", "")
     df = df.select(*keep, raw.alias("_raw"), clean.alias("_clean"))
     length = F.length("_clean")
     error = F.when(length == 0, F.lit("Empty URL")).when(

@@ -129,7 +129,10 @@ c14 AS (SELECT *, {_decode('npath')} AS path, {_decode('query0')} AS query,
           CAST(contains(npath, '%25') OR contains(query0, '%25') AS INTEGER) AS has_double_encoding,
           (CASE WHEN has_userinfo THEN userinfo || '@' ELSE '' END) || host || coalesce(':' || port, '') AS netloc,
           CASE WHEN error_message IS NULL AND ip_address IS NULL THEN rtrim(string_split(puny, ':')[1], '.') END AS ph FROM c13),
-psl_rules(rule, kind) AS {values(rule_rows)},
+psl_rules(rule, kind) AS (SELECT * FROM {values(rule_rows)} UNION
+  SELECT l || '.' || chr(CAST(a AS INTEGER)) || chr(CAST(b AS INTEGER)), 'n' FROM (SELECT unnest({sql_list(rules.second_level)}) AS l),
+    (SELECT unnest(range(97, 123)) AS a), (SELECT unnest(range(97, 123)) AS b)
+  WHERE chr(CAST(a AS INTEGER)) || chr(CAST(b AS INTEGER)) NOT IN {in_list(rules.direct_countries)}),
 ph_labels AS (SELECT ph, string_split(ph, '.') AS ls, len(string_split(ph, '.')) AS n FROM (SELECT DISTINCT ph FROM c14 WHERE ph IS NOT NULL)),
 ph_cand AS (SELECT ph, n, k, array_to_string(ls[n - k + 1 :], '.') AS cand FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM ph_labels)),
 ph_hit AS (SELECT ph, max(CASE WHEN kind = 'e' THEN k - 1 END) AS ke,
@@ -149,6 +152,17 @@ canon AS (SELECT {keys}, raw, error_message IS NULL AS ok, error_message, scheme
           FROM c15)"""
 
 
+def defanged(url: str) -> str:
+    """A URL with a ``hxxp`` scheme and bracketed dots in its authority."""
+    head = f"regexp_extract({url}, '(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)"
+    body = f"CASE WHEN {head} <> '' THEN substr({url}, length({head}) + 4) ELSE {url} END"
+    authority = f"regexp_extract({body}, '^([^/?#]*)', 1)"
+    shown = (
+        f"CASE lower({head}) WHEN '' THEN '' WHEN 'http' THEN 'hxxp://' WHEN 'https' THEN 'hxxps://' ELSE {head} || '://' END"
+    )
+    return f"({shown} || replace({authority}, '.', '[.]') || substr({body}, length({authority}) + 1))"
+
+
 def skeleton(col: str) -> str:
     out = f"translate(lower({col}), '01!|@$3458', 'olilaseasb')"
     for a, b in (("vv", "w"), ("rn", "m"), ("cl", "d")):

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlrisk.functions.text import strip
+
 # --- fixed values: results depend on them, so they are stated as they are -----------------------------
 
 # domains of link shorteners
@@ -194,7 +196,7 @@ def reason_table(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def read_host_list(spark: SparkSession, path: str) -> DataFrame:
     """Host list file: one host per line, ``#`` starts a comment line."""
-    host = F.lower(F.trim("value"))
+    host = F.lower(strip(F.col("value")))
     return (
         spark.read.text(path)
         .select(host.alias("host"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlrisk.functions.text import strip
+
 
 class TamperedArtifactError(RuntimeError):
     """An artifact does not have the hash its manifest names."""
@@ -14,7 +16,7 @@ class TamperedArtifactError(RuntimeError):
 
 def read_url_feed(spark: SparkSession, path: str) -> DataFrame:
     """One URL per line; blank lines are dropped."""
-    return spark.read.text(path).select(F.trim("value").alias("url")).filter(F.col("url") != "")
+    return spark.read.text(path).select(strip(F.col("value")).alias("url")).filter(F.col("url") != "")
 
 
 def read_ranked_domains(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +41,7 @@ def source_manifest(spark: SparkSession, sources: Mapping[str, Mapping[str, str]
     paths = [s["path"] for s in sources.values()]
     lines = (
         spark.read.text(paths)
-        .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.trim("value").alias("line"))
+        .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), strip(F.col("value")).alias("line"))
         .groupBy("file")
         .agg(F.count_if(F.col("line") != "").alias("rows"))
     )
