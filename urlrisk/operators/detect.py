@@ -12,7 +12,7 @@ from urlrisk.functions.privacy import hash_key, sha256_url
 from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.operators.features import extract_features, is_multitenant
 from urlrisk.operators.reasons import REASON_TYPE, build_reason, extract_reasons
-from urlrisk.operators.skew import lookup_join
+from urlrisk.operators.skew import broadcast_by_statistics, lookup_join
 from urlrisk.sources.catalogs import ALLOWED_DOMAINS, MULTITENANT_HOSTS, USER_DENY_TEXT, Alias, ReasonInfo
 
 # fixed values
@@ -54,16 +54,33 @@ def confidence_of(probability: Column) -> Column:
 
 
 def _join_patterns(df: DataFrame, table: DataFrame, parsed: str, flags: Sequence[str], owner: str | None) -> DataFrame:
-    """Or the ``flags`` of ``table`` over the three pattern keys; three equi-joins instead of one OR join."""
-    key = ["_pattern"] if owner is None else [owner, "_pattern"]
+    """Or the ``flags`` of ``table`` over the three pattern keys. No job runs here: the plan's own statistics choose.
+
+    A list that Spark would broadcast is looked up by three broadcast joins, without a shuffle. For a larger one the distinct
+    (owner, URL) of the rows become narrow rows of owner and pattern, which meet the list in one join; the flags found are joined back by owner and
+    URL. Repeated URLs are one row in the narrow part, and rows without a URL are spread by salt. A stream has no distinct, so
+    it joins the large list three times.
+    """
+    owners = [] if owner is None else [owner]
+    small = broadcast_by_statistics(table)
     df = df.withColumns({f"_{flag}": F.lit(False) for flag in flags})
-    for name in PATTERN_KEYS:
-        df = df.withColumn("_pattern", F.col(f"{parsed}.{name}"))
-        df = lookup_join(df, table, key)
-        df = df.withColumns(
-            {f"_{flag}": F.col(f"_{flag}") | F.coalesce(F.col(flag), F.lit(False)) for flag in flags}
-        ).drop("_pattern", *flags)
-    return df
+    if small or df.isStreaming:
+        side = F.broadcast(table) if small else table
+        for name in PATTERN_KEYS:
+            df = df.withColumn("_pattern", F.col(f"{parsed}.{name}")).join(side, [*owners, "_pattern"], "left")
+            df = df.withColumns(
+                {f"_{flag}": F.col(f"_{flag}") | F.coalesce(F.col(flag), F.lit(False)) for flag in flags}
+            ).drop("_pattern", *flags)
+        return df
+    parts = df.select(*owners, *[F.col(f"{parsed}.{k}").alias(f"_p_{k}") for k in PATTERN_KEYS]).where("_p_canonical is not null")
+    patterns = F.explode(F.array_distinct(F.array(*[f"_p_{k}" for k in PATTERN_KEYS]))).alias("_pattern")
+    narrow = parts.distinct().select(*owners, F.col("_p_canonical").alias("_url"), patterns)
+    found = narrow.join(table, [*owners, "_pattern"]).groupBy(*owners, "_url").agg(*[F.bool_or(f).alias(f) for f in flags])
+    found = found.withColumn("_salt", F.lit(0).cast("long"))
+    url = F.col(f"{parsed}.canonical")
+    salt = F.when(url.isNull(), F.pmod(F.xxhash64(f"{parsed}.raw"), F.lit(1 << 20))).otherwise(F.lit(0))
+    df = df.withColumns({"_url": url, "_salt": salt.cast("long")}).join(found, [*owners, "_url", "_salt"], "left")
+    return df.withColumns({f"_{flag}": F.coalesce(F.col(flag), F.lit(False)) for flag in flags}).drop("_url", "_salt", *flags)
 
 
 def tag_user_lists(df: DataFrame, lists: DataFrame, parsed: str = "parsed", owner: str = "owner_key_hash") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from urlrisk.operators.skew import bounded_broadcast, lookup_join
 
 PSI_BINS = 10
 PSI_FLOOR = 1e-4
+POISSON_EXACT = 30
 
 
 def artifact_audit(df: DataFrame, label: str = "label", parsed: str = "parsed") -> DataFrame:
@@ -76,36 +78,60 @@ def add_tld_prior(df: DataFrame, prior: DataFrame, tld: str = "tld") -> DataFram
 
 
 def f1_at(df: DataFrame, threshold: float, label: str = "label", score: str = "score", group_cols: Sequence[str] = ()) -> DataFrame:
-    hit, pos = F.col(score) >= threshold, F.col(label) == 1
+    """F1 at a threshold. A missing score counts as 0, as in the evaluation report; ``n_null`` says how many there are."""
+    hit, pos = F.coalesce(F.col(score), F.lit(0.0)) >= threshold, F.col(label) == 1
     n = lambda cond: F.sum(cond.cast("long"))
-    sums = df.groupBy(*group_cols).agg(n(hit & pos).alias("tp"), n(hit & ~pos).alias("fp"), n(~hit & pos).alias("fn"))
+    sums = df.groupBy(*group_cols).agg(
+        n(hit & pos).alias("tp"),
+        n(hit & ~pos).alias("fp"),
+        n(~hit & pos).alias("fn"),
+        F.count_if(F.col(score).isNull()).alias("n_null"),
+    )
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
     return sums.withColumn("f1", F.round(f1, 6))
 
 
-def bootstrap_auc(df: DataFrame, label: str = "label", score: str = "score", resamples: int = 1000, seed: int = 7) -> DataFrame:
+def _poisson_table(most: int) -> list[list[float]]:
+    """Cumulative probabilities of Poisson(k) for k = 0 to ``most``, until they are 1 to 12 digits."""
+    out = []
+    for k in range(most + 1):
+        term, total, row = math.exp(-k), math.exp(-k), []
+        while 1 - total > 1e-12:
+            row.append(total)
+            term *= k / len(row)
+            total += term
+        out.append(row)
+    return out
+
+
+def bootstrap_auc(
+    df: DataFrame, label: str = "label", score: str = "score", resamples: int = 1000, seed: int = 7, group_cols: Sequence[str] = ()
+) -> DataFrame:
     """95 % interval of ROC-AUC by Poisson bootstrap.
 
-    Resampling happens on the counts per score, so rows are never copied. A count k becomes a Poisson(k) draw,
-    here a rounded normal with mean and variance k taken from a hash of (resample, score): every run gives the
-    same interval. With many scores seen only once or twice the interval is approximate.
+    Resampling happens on the counts per score, so rows are never copied. A count k becomes a Poisson(k) draw from
+    a hash of (resample, group, score): from the exact distribution up to ``POISSON_EXACT``, beyond it a rounded normal of the
+    same mean and variance. Every run gives the same interval.
     """
-    counts = score_counts(df, label, score)
-    copies = counts.select("score", "pos", "neg", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    groups = list(group_cols)
+    counts = score_counts(df, label, score, groups)
+    copies = counts.select(*groups, "score", "pos", "neg", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
+    exact = F.array(*[F.array(*map(F.lit, row)).cast("array<double>") for row in _poisson_table(POISSON_EXACT)])
 
     def draw(count: Column, side: int) -> Column:
         unit = lambda salt: (
-            F.pmod(F.xxhash64("resample", "score", F.lit(side), F.lit(salt), F.lit(seed)), F.lit(1 << 30)) + 0.5
+            F.pmod(F.xxhash64("resample", *groups, "score", F.lit(side), F.lit(salt), F.lit(seed)), F.lit(1 << 30)) + 0.5
         ) / (1 << 30)
-        # normal approximation with the Poisson mean and variance
-        normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.lit(3.141592653589793) * unit(2))
-        return F.greatest(F.round(count + F.sqrt(count.cast("double")) * normal), F.lit(0)).cast("long")
+        small = F.size(F.filter(F.get(exact, F.least(count, F.lit(POISSON_EXACT)).cast("int")), lambda c: c < unit(1)))
+        normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.lit(math.pi) * unit(2))
+        large = F.greatest(F.round(count + F.sqrt(count.cast("double")) * normal), F.lit(0))
+        return F.when(count <= POISSON_EXACT, small.cast("double")).otherwise(large).cast("long")
 
     resampled = copies.select(
-        "resample", "score", draw(F.col("pos"), 1).alias("pos"), draw(F.col("neg"), 0).alias("neg")
+        *groups, "resample", "score", draw(F.col("pos"), 1).alias("pos"), draw(F.col("neg"), 0).alias("neg")
     )
-    aucs = curve_points(resampled, ["resample"]).groupBy("resample").agg(roc_auc_expr().alias("auc"))
-    return aucs.agg(
+    aucs = curve_points(resampled, [*groups, "resample"]).groupBy(*groups, "resample").agg(roc_auc_expr().alias("auc"))
+    return aucs.groupBy(*groups).agg(
         F.round(F.percentile("auc", F.lit(0.025)), 4).alias("low"),
         F.round(F.percentile("auc", F.lit(0.5)), 4).alias("median"),
         F.round(F.percentile("auc", F.lit(0.975)), 4).alias("high"),
@@ -135,10 +161,11 @@ def population_stability(train: DataFrame, current: DataFrame, names: Sequence[s
 
 
 def feedback_rates(feedback: DataFrame, scans: DataFrame) -> DataFrame:
-    """Feedback counts and rates per model version; ``scans`` has unique ``id`` and ``model_version``."""
-    joined = lookup_join(
-        feedback.withColumn("id", F.col("scan_id")), scans.select("id", "model_version"), ["id"]
-    ).filter(F.col("model_version").isNotNull())
+    """Feedback counts and rates per model version; ``scans`` has unique ``id`` and ``model_version``. Feedback on a scan that
+    is not stored counts under a null version. The scans are the large side, so they are only read for the ids that are asked for."""
+    wanted = scans.select(F.col("id").alias("scan_id"), "model_version")
+    ids = bounded_broadcast(feedback.select("scan_id").distinct())
+    joined = feedback.join(wanted.join(ids, "scan_id", "left_semi"), "scan_id", "left")
     is_label = lambda v: (F.col("label") == v).cast("long")
     return joined.groupBy("model_version").agg(
         F.count("*").alias("n"),
@@ -147,6 +174,17 @@ def feedback_rates(feedback: DataFrame, scans: DataFrame) -> DataFrame:
     )
 
 
+def feed_recall(scans: DataFrame, feed: DataFrame, since: Column) -> DataFrame:
+    """Share of fresh feed entries (first seen at or after ``since``) that the scan calls malicious or suspicious, per source.
+    ``scans``: url_sha256 and verdict; ``feed``: source, url_sha256, first_seen. An entry without a scan is missed."""
+    flagged = scans.where(F.col("verdict").isin("malicious", "suspicious")).select("url_sha256").distinct().withColumn("_hit", F.lit(1))
+    fresh = feed.where(F.col("first_seen") >= since).select("source", "url_sha256").distinct()
+    hits = F.count("_hit")
+    return fresh.join(flagged, "url_sha256", "left").groupBy("source").agg(
+        F.count("*").alias("n"), hits.alias("n_detected"), F.round(hits / F.count("*"), 6).alias("recall")
+    )
+
+
 def error_list(scans: DataFrame, label: str = "label", top: int = 50) -> DataFrame:
     """The ``top`` most confident false positives and false negatives, defanged.
 

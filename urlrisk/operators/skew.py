@@ -7,15 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000  # a lookup side is broadcast only when a count proves it has at most this many rows
+# a lookup side is broadcast only when a count proves it has at most this many rows and bytes (as JSON text)
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 HOT_SHARE = 0.002  # a key is hot when it holds at least this share of the rows: at most 500 such keys exist
 HOT_SAMPLE = 0.01
-HOT_SALTS = 64
+HOT_SALTS = 1 << 20  # more than a cluster has tasks
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; the count stops just past the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def broadcast_by_statistics(df: DataFrame) -> bool:
+    """Whether the optimizer's size of ``df`` is within Spark's broadcast threshold. Runs no job; unknown sizes count as large."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; the count stops just past the row bound."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.sum(size).alias("b")).first()
+    return seen["n"] <= max_rows and (seen["b"] or 0) <= max_bytes
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,8 +59,7 @@ def lookup_join(
     counts = rows.select(*keys).sample(sample, seed=1).filter(present).groupBy(*keys).count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     hot_keys = counts.filter(F.col("count") >= max(2.0, HOT_SHARE * total)).select(*keys)
-    hot_limit = int(2 / HOT_SHARE)
-    hot = hot_keys.orderBy(*keys).limit(hot_limit).collect()
+    hot = hot_keys.orderBy(*keys).collect()  # at most 1 / HOT_SHARE
     if not hot:
         return rows.join(table, keys, "left")
     hot_df = rows.sparkSession.createDataFrame(hot, hot_keys.schema)

@@ -20,6 +20,7 @@ from urlrisk.plans.registry import (
     register,
     table,
 )
+from urlrisk.sources.corpus import TEMPLATES
 from urlrisk.streaming import feed, scan
 
 # --- dataset and splits ------------------------------------------------------------------------------------
@@ -311,11 +312,15 @@ def active_model(spark, folder):
 @register(
     "verdict_counts",
     f"""{_SCAN}
-SELECT date_trunc('hour', e.ts) AS window_start, s.verdict, count(*) AS n FROM scan s JOIN events e ON e.event_id = s.page_id GROUP BY ALL""",
+SELECT date_trunc('hour', e.ts) AS window_start, s.verdict, count(*) AS n FROM scan s
+JOIN events e ON e.event_id % (SELECT count(*) FROM pages) = s.page_id AND e.event_id % (SELECT max(tpl) + 1 FROM scan) = s.tpl GROUP BY ALL""",
 )
 def verdict_counts(spark, folder):
-    events = table(spark, folder, "events").select(F.col("event_id").alias("page_id"), "ts")
-    return scan.verdict_counts(listed_scan(spark, folder).join(events, "page_id"))
+    """Every event is the time of one scan."""
+    pages = table(spark, folder, "pages").count()
+    page, shape = F.col("event_id") % pages, F.col("event_id") % len(TEMPLATES)
+    events = table(spark, folder, "events").select(page.alias("page_id"), shape.cast("int").alias("tpl"), "ts")
+    return scan.verdict_counts(listed_scan(spark, folder).join(events, KEYS))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------

@@ -18,24 +18,35 @@ from urlrisk.plans.registry_data import _SCORED, dataset_table as split_source,
 
 # isotonic regression by its max-min formula: the fit at i is the largest, over starts j <= i, of the smallest,
 # over ends k >= i, mean of the block j..k
-_ISO = f"""{_SCORED}, lev AS (SELECT score, pos, pos + neg AS n, row_number() OVER (ORDER BY score) AS i,
-    sum(pos) OVER (ORDER BY score) AS cp, sum(pos + neg) OVER (ORDER BY score) AS cn FROM cnt WHERE model = 'a'),
-low AS (SELECT a.i AS j, x.i, min((k.cp - a.cp + a.pos) / (k.cn - a.cn + a.n)) AS m FROM lev a JOIN lev x ON a.i <= x.i JOIN lev k ON k.i >= x.i GROUP BY ALL),
-iso AS (SELECT i, max(m) AS fit FROM low GROUP BY i)"""
+_ISO = f"""{_SCORED}, lev AS (SELECT score, pos, pos + neg AS n, model, row_number() OVER w AS i,
+    sum(pos) OVER w AS cp, sum(pos + neg) OVER w AS cn FROM cnt WINDOW w AS (PARTITION BY model ORDER BY score)),
+low AS (SELECT a.model, a.i AS j, x.i, min((k.cp - a.cp + a.pos) / (k.cn - a.cn + a.n)) AS m
+        FROM lev a JOIN lev x ON a.model = x.model AND a.i <= x.i JOIN lev k ON k.model = x.model AND k.i >= x.i GROUP BY ALL),
+iso AS (SELECT model, i, max(m) AS fit FROM low GROUP BY ALL)"""
 
 
-@register("isotonic_fit", f"{_ISO}\nSELECT score, n, round(fit, 6) AS calibrated FROM lev JOIN iso USING (i)", ints="n")
+def _per_model(spark, folder, work):
+    """``work`` on the rows of each of the two models."""
+    rows = scored_corpus(spark, folder)
+    done = [work(rows.filter(F.col("model") == m)).select(F.lit(m).alias("model"), "*") for m in ("a", "b")]
+    return done[0].unionByName(done[1])
+
+
+@register("isotonic_fit", f"{_ISO}\nSELECT model, score, n, round(fit, 6) AS calibrated FROM lev JOIN iso USING (model, i)", ints="n")
 def isotonic_fit(spark, folder):
-    rows = scored_corpus(spark, folder).filter("model = 'a'")
-    fitted = calibrate.fit_isotonic(rows)
-    levels = rows.groupBy("score").agg(F.count("*").alias("n"))
-    return fitted.apply(levels).select("score", "n", F.round("calibrated", 6).alias("calibrated"))
+    def fit(rows):
+        levels = rows.groupBy("score").agg(F.count("*").alias("n"))
+        return calibrate.fit_isotonic(rows).apply(levels).select("score", "n", F.round("calibrated", 6).alias("calibrated"))
+
+    return _per_model(spark, folder, fit)
 
 
 @register("calibration_comparison")
 def calibration_comparison(spark, folder):
-    rows = scored_corpus(spark, folder).filter("model = 'b'")
-    return calibrate.compare_calibration(rows, calibrate.fit_isotonic(rows))
+    """Fitted on the pages with an even id, compared on the others."""
+    return _per_model(
+        spark, folder, lambda rows: calibrate.compare_calibration(rows.filter("page_id % 2 = 1"), calibrate.fit_isotonic(rows.filter("page_id % 2 = 0")))
+    )
 
 
 _PAIRS = f"""{_BASE}, pairs AS (SELECT label, (35 * label + CAST('0x' || substr(sha256(url), 1, 6) AS BIGINT) % 66) / 100.0::DOUBLE AS p1,
@@ -111,10 +122,11 @@ def tree_scorer(spark, folder):
 
 @register("text_scorer")
 def text_scorer(spark, folder):
-    """Character n-gram scorer fitted on the corpus and applied to it."""
-    rows = parsed_corpus(spark, folder).filter("parsed.is_valid").select(*KEYS, "label", F.col("parsed.canonical").alias("url"))
-    model = scorers.fit_text_scorer(rows)
-    return model.score(rows, "url", "p_text").select(*KEYS, "label", F.round("p_text", 4).alias("p_text"))
+    """Character n-gram scorer fitted on the train split and applied to the test split."""
+    rows = cut_lineage(dataset.assign_splits(split_source(spark, folder)))
+    model = scorers.fit_text_scorer(rows.filter("split = 'train'"))
+    scored = model.score(rows.filter("split = 'test'"), "url", "p_text")
+    return scored.select("url_sha256", "label", F.round("p_text", 4).alias("p_text"))
 
 
 @register("linear_contributions")
@@ -204,9 +216,26 @@ FROM per CROSS JOIN cd WHERE strategy <> 'clean'""",
     ints="clean_detected perturbed_detected",
 )
 def robustness_report(spark, folder):
+    """The six strategies whose hosts SQL can follow; ``robustness_all`` has all seven."""
     return robustness.robustness_report(_counts(spark, folder, _SQL_STRATEGIES))
 
 
+@register("robustness_all")
+def robustness_all(spark, folder):
+    """All seven strategies and their total; look-alike letters need IDNA for the new hosts, which SQL lacks."""
+    counts = cut_lineage(_counts(spark, folder, STRATEGIES))
+    total = robustness.robustness_summary(counts).select(
+        F.lit("all").alias("strategy"),
+        F.col("total_samples").alias("sample_count"),
+        F.lit(None).cast("long").alias("clean_detected"),
+        F.lit(None).cast("long").alias("perturbed_detected"),
+        F.col("overall_clean_recall").alias("clean_recall"),
+        F.col("overall_perturbed_recall").alias("perturbed_recall"),
+        F.col("overall_recall_drop").alias("recall_drop"),
+    )
+    return robustness.robustness_report(counts).unionByName(total)
+
+
 @register(
     "robustness_summary",
     f"""{_ROBUST}, t AS (SELECT sum(sample_count) FILTER (strategy = 'clean') AS total_samples,

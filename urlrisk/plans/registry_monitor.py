@@ -40,7 +40,7 @@ def tld_counts(spark, folder):
     return monitor.tld_counts(parsed_corpus(spark, folder))
 
 
-_LONG = " UNION ALL ".join(f"SELECT label, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM feat" for n in ("url_len", "path_len", "n_dots", "entropy_url", "min_brand_edit_distance", "suspicious_keyword_count"))
+_LONG = " UNION ALL ".join(f"SELECT label, '{n}' AS feature, CAST({n} AS DOUBLE) AS value FROM feat" for n in FEATURE_NAMES)
 
 
 @register(
@@ -50,8 +50,7 @@ cu AS (SELECT *, sum(pos) OVER (PARTITION BY feature ORDER BY value DESC) AS tp
 SELECT feature, round(sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc FROM cu GROUP BY feature""",
 )
 def single_feature_auc(spark, folder):
-    names = ["url_len", "path_len", "n_dots", "entropy_url", "min_brand_edit_distance", "suspicious_keyword_count"]
-    return monitor.single_feature_auc(extract_features(parsed_corpus(spark, folder)), names=names)
+    return monitor.single_feature_auc(extract_features(parsed_corpus(spark, folder)))
 
 
 @register(
@@ -79,9 +78,9 @@ def tld_prior(spark, folder):
 @register(
     "f1_at_threshold",
     f"""{_SCORED}, c AS (SELECT model, sum(CAST(score >= 0.5 AND label = 1 AS INTEGER)) AS tp, sum(CAST(score >= 0.5 AND label = 0 AS INTEGER)) AS fp,
-  sum(CAST(score < 0.5 AND label = 1 AS INTEGER)) AS fn FROM scored GROUP BY model)
+  sum(CAST(score < 0.5 AND label = 1 AS INTEGER)) AS fn, count(*) FILTER (score IS NULL) AS n_null FROM scored GROUP BY model)
 SELECT *, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""",
-    ints="tp fp fn",
+    ints="tp fp fn n_null",
 )
 def f1_at_threshold(spark, folder):
     return monitor.f1_at(scored_corpus(spark, folder), 0.5, group_cols=["model"])
@@ -89,7 +88,7 @@ def f1_at_threshold(spark, folder):
 
 @register("bootstrap_auc")
 def bootstrap_auc(spark, folder):
-    return monitor.bootstrap_auc(scored_corpus(spark, folder).filter("model = 'a'"), resamples=1000)
+    return monitor.bootstrap_auc(scored_corpus(spark, folder), resamples=1000, group_cols=["model"])
 
 
 @register("population_stability")
@@ -101,14 +100,37 @@ def population_stability(spark, folder):
 
 @register(
     "feedback_rates",
-    f"""WITH f AS (SELECT event_id AS scan_id, {_FEEDBACK} AS label FROM events), s AS (SELECT page_id AS id, 'v' || CAST(page_id % 3 AS VARCHAR) AS model_version FROM pages)
+    f"""WITH f AS (SELECT event_id % (SELECT count(*) + 5 FROM pages) AS scan_id, {_FEEDBACK} AS label FROM events), s AS (SELECT page_id AS id, 'v' || CAST(page_id % 3 AS VARCHAR) AS model_version FROM pages)
 SELECT model_version, count(*) AS n, round(avg(CAST(label = 'false_positive' AS INTEGER)), 6) AS false_positive_rate,
-  round(avg(CAST(label = 'false_negative' AS INTEGER)), 6) AS false_negative_rate FROM f JOIN s ON f.scan_id = s.id GROUP BY model_version""",
+  round(avg(CAST(label = 'false_negative' AS INTEGER)), 6) AS false_negative_rate FROM f LEFT JOIN s ON f.scan_id = s.id GROUP BY model_version""",
 )
 def feedback_rates(spark, folder):
     version = F.concat(F.lit("v"), (F.col("page_id") % 3).cast("string"))
-    scans = table(spark, folder, "pages").select(F.col("page_id").alias("id"), version.alias("model_version"))
-    return monitor.feedback_rates(feedback_table(spark, folder).select("scan_id", "label"), scans)
+    pages = table(spark, folder, "pages")
+    scans = pages.select(F.col("page_id").alias("id"), version.alias("model_version"))
+    # every event gives feedback on a scan; five ids have none
+    feedback = feedback_table(spark, folder).select((F.col("scan_id") % (pages.count() + 5)).alias("scan_id"), "label")
+    return monitor.feedback_rates(feedback, scans)
+
+
+@register(
+    "feed_recall",
+    f"""WITH src AS (SELECT page_id, 0 AS tpl, url FROM pages), {o.scan('src', K)},
+flagged AS (SELECT url_sha256, max(CAST(verdict IN ('malicious', 'suspicious') AS INTEGER)) AS hit FROM scan GROUP BY 1),
+feed AS (SELECT DISTINCT 'feed' || CAST(page_id % 3 AS VARCHAR) AS source, url_sha256 FROM scan WHERE page_id % 30 >= 10)
+SELECT source, count(*) AS n, sum(coalesce(hit, 0)) AS n_detected, round(sum(coalesce(hit, 0)) / count(*), 6) AS recall
+FROM feed LEFT JOIN flagged USING (url_sha256) GROUP BY source""",
+    ints="n_detected",
+)
+def feed_recall(spark, folder):
+    """Entries of three feeds, seen over 30 days; the last 20 count as fresh."""
+    from urlrisk.operators.detect import scan_urls
+
+    scans = scan_urls(table(spark, folder, "pages").select("page_id", "url"), id_cols=["page_id"])
+    day = F.date_add(F.to_date(F.lit("2026-01-01")), (F.col("page_id") % 30).cast("int")).cast("timestamp")
+    source = F.concat(F.lit("feed"), (F.col("page_id") % 3).cast("string"))
+    entries = scans.select(source.alias("source"), "url_sha256", day.alias("first_seen"))
+    return monitor.feed_recall(scans, entries, F.lit("2026-01-11").cast("timestamp"))
 
 
 _LABELLED = f"{_BASE}, {o.scan('corpus', 'page_id, tpl, label')}"
@@ -133,21 +155,23 @@ def error_groups(spark, folder):
 
 @register(
     "error_list",
-    f"""{_LABELLED}, e AS (SELECT {_KIND} AS error_type, label, probability, registered_domain, url_sha256 FROM scan),
+    f"""{_LABELLED}, e AS (SELECT {_KIND} AS error_type, label, probability, registered_domain, url_sha256, {o.defanged('url_canonical')} AS url_defanged FROM scan),
 r AS (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY CASE WHEN error_type = 'FP' THEN -probability ELSE probability END, url_sha256) AS place FROM e WHERE error_type IS NOT NULL)
-SELECT error_type, label, probability, registered_domain, url_sha256 FROM r WHERE place <= 50""",
+SELECT error_type, label, probability, registered_domain, url_sha256, url_defanged FROM r WHERE place <= 50""",
     doubles="probability",
 )
 def error_list(spark, folder):
-    return monitor.error_list(labelled_scan(spark, folder)).drop("url_defanged")
+    return monitor.error_list(labelled_scan(spark, folder))
 
 
 @register(
     "triage",
-    f"{_LABELLED}\nSELECT risk_score, verdict, confidence, registered_domain, url_sha256 FROM scan ORDER BY risk_score DESC, url_sha256 LIMIT 100",
+    f"""{_LABELLED}
+SELECT risk_score, verdict, confidence, registered_domain, url_sha256, {o.defanged("url_canonical")} AS url_defanged
+FROM scan ORDER BY risk_score DESC, url_sha256 LIMIT 100""",
 )
 def triage(spark, folder):
-    return monitor.triage(labelled_scan(spark, folder), 100).drop("url_defanged")
+    return monitor.triage(labelled_scan(spark, folder), 100)
 
 
 @register(
