@@ -40,21 +40,41 @@ corpus AS (
          CAST(DATE '{corpus.FIRST_DAY}' + CAST(p.page_id % {corpus.N_DAYS} AS INTEGER) AS DATE) AS first_seen
   FROM pages p CROSS JOIN {values(corpus.TEMPLATES)} t(tpl, label, template))"""
 
-# hosts that need Unicode tables, with the expected result of normalization
+# hosts with brackets or given in IDNA form, with the expected result of normalization
 SPECIAL = [
-    ("münchen.de", None, "münchen.de", "xn--mnchen-3ya.de", 1, 0, 0, None, 0),
-    ("xn--mnchen-3ya.de", None, "münchen.de", "xn--mnchen-3ya.de", 1, 1, 0, None, 0),
-    ("pаypal.com", None, "pаypal.com", "xn--pypal-4ve.com", 1, 0, 1, None, 0),
-    ("[2001:db8::1]:8080", None, "2001:db8::1", "2001:db8::1", 0, 0, 0, "2001:db8::1", 1),
-    # the same hosts after subdomain stuffing
-    ("secure-auth-update.signin.pаypal.com", None, "secure-auth-update.signin.pаypal.com",
-     "secure-auth-update.signin.xn--pypal-4ve.com", 1, 0, 1, None, 0),
-    ("secure-auth-update.signin.[2001:db8::1]:8080", None, "secure-auth-update.signin.[2001:db8::1]",
-     "secure-auth-update.signin.[2001:db8::1]", 0, 0, 0, None, 0),
-    ("secure-auth-update.signin.[::1", "Malformed URL: Invalid IPv6 URL", None, None, 0, 0, 0, None, 0),
-    ("[::1", "Malformed URL: Invalid IPv6 URL", None, None, 0, 0, 0, None, 0),
+    ("xn--zrich-reisen-dlb.ch", None, "zürich-reisen.ch", "xn--zrich-reisen-dlb.ch", 1, 1, 0, None, 0),
+    ("[2001:db8:0:7::5]:8443", None, "2001:db8:0:7::5", "2001:db8:0:7::5", 0, 0, 0, "2001:db8:0:7::5", 1),
+    ("[fd00::2", "Malformed URL: Invalid IPv6 URL", None, None, 0, 0, 0, None, 0),
+    # after subdomain stuffing
+    ("secure-auth-update.signin.[2001:db8:0:7::5]:8443", None, "secure-auth-update.signin.[2001:db8:0:7::5]",
+     "secure-auth-update.signin.[2001:db8:0:7::5]", 0, 0, 0, None, 0),
+    ("secure-auth-update.signin.[fd00::2", "Malformed URL: Invalid IPv6 URL", None, None, 0, 0, 0, None, 0),
 ]
 
+_OTHER = "[^\\x00-\\x7F]"
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _punycode(label: str) -> str:
+    """IDNA form of a label with one letter outside ASCII: its place and code point as a number in Punycode's base 36, whose
+    thresholds are 1, 1, 26, 26 before any adaptation."""
+    basic = f"regexp_replace({label}, '{_OTHER}', '')"
+    place = f"length(regexp_extract({label}, '^[\\x00-\\x7F]*'))"
+    delta = f"((unicode(regexp_extract({label}, '{_OTHER}')) - 128) * (length({basic}) + 1) + {place})"
+    digit = lambda d: f"substr('{_DIGITS}', CAST({d} AS INTEGER) + 1, 1)"
+    q1 = f"(({delta} - 1) // 35)"
+    q2 = f"(({q1} - 1) // 35)"
+    q3 = f"(({q2} - 26) // 10)"
+    tail = f"CASE WHEN {q2} < 26 THEN {digit(q2)} ELSE {digit(f'26 + ({q2} - 26) % 10')} || {digit(q3)} END"
+    rest = f"CASE WHEN {q1} < 1 THEN {digit(q1)} ELSE {digit(f'1 + ({q1} - 1) % 35')} || {tail} END"
+    return f"'xn--' || {basic} || CASE WHEN {basic} = '' THEN '' ELSE '-' END || {digit(f'1 + ({delta} - 1) % 35')} || {rest}"
+
+
+_LABELS = "string_split(host0, '.')"
+_FOREIGN = f"(s.netloc IS NULL AND regexp_matches(host0, '{_OTHER}'))"
+_IDNA = f"array_to_string(list_transform({_LABELS}, lambda l: CASE WHEN regexp_matches(l, '{_OTHER}') THEN {_punycode('l')} ELSE l END), '.')"
+_MIXED = f"CAST(len(list_filter({_LABELS}, lambda l: regexp_matches(l, '\\p{{Cyrillic}}') AND regexp_matches(l, '\\p{{Latin}}'))) > 0 AS INTEGER)"
+
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _PRIVATE = [
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
@@ -102,8 +122,8 @@ c6 AS (SELECT *, CASE WHEN has_userinfo THEN left(netloc0, length(netloc0) - len
          CASE WHEN ends_with(hostport, ']') THEN '' ELSE regexp_extract(hostport, ':([0-9]+)$', 1) END AS port_text FROM c5),
 c7 AS (SELECT *, lower(trim(CASE WHEN port_text = '' THEN hostport
                   ELSE left(hostport, length(hostport) - length(port_text) - 1) END, '.')) AS host0 FROM c6),
-c8 AS (SELECT c7.*, s.err AS s_err, s.host AS s_host, s.puny AS s_puny, s.idn AS s_idn, s.hasp AS s_hasp,
-         s.mixed AS s_mixed, s.ip AS s_ip, s.priv AS s_priv,
+c8 AS (SELECT c7.*, s.err AS s_err, s.host AS s_host, CASE WHEN {_FOREIGN} THEN {_IDNA} ELSE s.puny END AS s_puny,
+         CASE WHEN {_FOREIGN} THEN 1 ELSE s.idn END AS s_idn, s.hasp AS s_hasp, CASE WHEN {_FOREIGN} THEN {_MIXED} ELSE s.mixed END AS s_mixed, s.ip AS s_ip, s.priv AS s_priv,
          CASE WHEN s.netloc IS NOT NULL THEN NULL
               WHEN regexp_full_match(host0, '{_OCTET}(\\.{_OCTET}){{3}}') THEN
                    list_reduce(list_transform(string_split(host0, '.'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 256 + b)

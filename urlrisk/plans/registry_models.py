@@ -194,7 +194,7 @@ def perturbed_urls(spark, folder):
     return robustness.perturb_urls(rows).drop("url")
 
 
-_ROBUST = f"""{_BASE}, {_VARIANTS}, var AS ({_variants({'clean': 'url', **_SQL_STRATEGIES})}),
+_ROBUST = f"""{_BASE}, {_VARIANTS}, var AS ({_variants({'clean': 'url', **_SQL_STRATEGIES, 'homoglyph': _HOMOGLYPH})}),
 {o.scan('var', 'page_id, tpl, strategy')},
 clean AS (SELECT page_id, tpl, verdict IN ('malicious', 'suspicious') AS hit FROM scan WHERE strategy = 'clean'),
 res AS (SELECT s.strategy, CASE WHEN s.verdict = 'unknown' THEN c.hit ELSE s.verdict IN ('malicious', 'suspicious') END AS hit
@@ -216,24 +216,7 @@ FROM per CROSS JOIN cd WHERE strategy <> 'clean'""",
     ints="clean_detected perturbed_detected",
 )
 def robustness_report(spark, folder):
-    """The six strategies whose hosts SQL can follow; ``robustness_all`` has all seven."""
-    return robustness.robustness_report(_counts(spark, folder, _SQL_STRATEGIES))
-
-
-@register("robustness_all")
-def robustness_all(spark, folder):
-    """All seven strategies and their total; look-alike letters need IDNA for the new hosts, which SQL lacks."""
-    counts = cut_lineage(_counts(spark, folder, STRATEGIES))
-    total = robustness.robustness_summary(counts).select(
-        F.lit("all").alias("strategy"),
-        F.col("total_samples").alias("sample_count"),
-        F.lit(None).cast("long").alias("clean_detected"),
-        F.lit(None).cast("long").alias("perturbed_detected"),
-        F.col("overall_clean_recall").alias("clean_recall"),
-        F.col("overall_perturbed_recall").alias("perturbed_recall"),
-        F.col("overall_recall_drop").alias("recall_drop"),
-    )
-    return robustness.robustness_report(counts).unionByName(total)
+    return robustness.robustness_report(_counts(spark, folder, STRATEGIES))
 
 
 @register(
@@ -245,10 +228,16 @@ SELECT total_samples, round(c, 4) AS overall_clean_recall, round(p, 4) AS overal
     ints="total_samples",
 )
 def robustness_summary(spark, folder):
-    return robustness.robustness_summary(_counts(spark, folder, _SQL_STRATEGIES))
+    return robustness.robustness_summary(_counts(spark, folder, STRATEGIES))
 
 
-@register("robustness_homoglyph")
+@register(
+    "robustness_homoglyph",
+    f"""{_ROBUST}, cd AS (SELECT perturbed_detected AS clean_detected FROM per WHERE strategy = 'clean')
+SELECT strategy, sample_count, clean_detected, perturbed_detected, round(clean_detected / sample_count, 4) AS clean_recall,
+  round(perturbed_detected / sample_count, 4) AS perturbed_recall, round(greatest((clean_detected - perturbed_detected) / sample_count, 0), 4) AS recall_drop
+FROM per CROSS JOIN cd WHERE strategy = 'homoglyph'""",
+    ints="clean_detected perturbed_detected",
+)
 def robustness_homoglyph(spark, folder):
-    """Look-alike letters need IDNA for the new hosts, which SQL lacks."""
     return robustness.robustness_report(_counts(spark, folder, ["homoglyph"]))
