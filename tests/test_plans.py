@@ -35,6 +35,6 @@ def test_filters_on_results_do_not_copy_the_work(spark):
 
 
 def test_lists_are_broadcast_when_small(spark):
-    deny = spark.createDataFrame([("a.com",)], "pattern string")
+    deny = spark.read.parquet(PAGES).select(F.col("url").alias("pattern"))
     text = plan(scan_urls(spark.read.parquet(PAGES).select("page_id", "url"), denylist=deny, id_cols=["page_id"]))
     assert text.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in text

@@ -1,6 +1,8 @@
 """Stored tables, retention, robustness and streams."""
 
-from datetime import datetime
+import os
+import time
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,42 @@ def test_retention_drops_old_partitions_only(spark):
         spark.sql("DROP TABLE IF EXISTS scans_t")
 
 
+def test_retention_follows_the_session_zone_and_survives_a_crash(spark, monkeypatch):
+    spark.sql("DROP TABLE IF EXISTS scans_z")
+    utc = timezone.utc
+    rows = [(1, datetime(2024, 1, 10, tzinfo=utc)), (2, datetime(2024, 1, 16, 11, tzinfo=utc)), (3, datetime(2024, 1, 16, 13, tzinfo=utc))]
+    df = spark.createDataFrame(rows, "id int, created_at timestamp").withColumn("created_date", F.to_date("created_at"))
+    df.write.partitionBy("created_date").format("parquet").saveAsTable("scans_z")
+    zone, clock = os.environ.get("TZ"), time.tzset
+    try:
+        os.environ["TZ"] = "America/Los_Angeles"  # the driver's zone has no say
+        clock()
+        dropped = []
+        sql = spark.sql
+        monkeypatch.setattr(type(spark), "sql", lambda self, q, *a, **k: dropped.append(q) or (_ for _ in ()).throw(OSError()) if q.startswith("ALTER") else sql(q, *a, **k))
+        with pytest.raises(OSError):  # lost before the old dates are dropped
+            store.cleanup_scan_table(spark, "scans_z", datetime(2024, 2, 15, 12), 30)
+        monkeypatch.undo()
+        assert sorted(r["id"] for r in spark.table("scans_z").collect()) == [1, 3]
+        assert store.cleanup_scan_table(spark, "scans_z", datetime(2024, 2, 15, 12, tzinfo=utc), 30) == 1
+        assert sorted(r["id"] for r in spark.table("scans_z").collect()) == [3] and len(dropped) == 1
+    finally:
+        os.environ.pop("TZ") if zone is None else os.environ.update(TZ=zone)
+        clock()
+        spark.sql("DROP TABLE IF EXISTS scans_z")
+
+
+def test_writers_and_quarantine(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "correct"), (2, "nonsense"), (3, None)], "scan_id long, label string")
+    store.write_feedback(rows, f"{tmp_path}/ok", f"{tmp_path}/bad")
+    assert [r["scan_id"] for r in spark.read.parquet(f"{tmp_path}/ok").collect()] == [1]
+    assert sorted(r["scan_id"] for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == [2, 3]
+    scans = scan_urls(spark.createDataFrame([("http://rnicrosoft.net/x",)], "url string"), id_cols=["url"])
+    store.write_scans(store.scan_records(scans, F.lit("2024-01-01").cast("timestamp")), f"{tmp_path}/scans")
+    saved = spark.read.parquet(f"{tmp_path}/scans").first()
+    assert saved["verdict"] == "suspicious" and str(saved["created_date"]) == "2024-01-01" and saved["url_stored"] is None
+
+
 def test_lists_round_trip(spark):
     requests = spark.createDataFrame(
         [("k", "allow", " GitHub.io "), ("k", "deny", "Bad.com"), ("k", "deny", "bad.com "), ("k", "block", "x.com"), ("k", "allow", "ok.com")],
@@ -52,14 +90,14 @@ def test_lists_round_trip(spark):
     assert store.read_user_lists(left, "someone else").count() == 0
 
 
-URL = "https://paypal.secure-update.evil-site.com/login"
+URL = "https://netflix.member.parcel-drop.net/login"
 PERTURBED = {
-    "homoglyph": "https://раypal.secure-update.evil-site.com/login".replace("раypal", "рaypal"),
-    "subdomain_stuffing": "https://secure-auth-update.signin.paypal.secure-update.evil-site.com/login",
+    "homoglyph": "https://nеtflix.member.parcel-drop.net/login",
+    "subdomain_stuffing": "https://secure-auth-update.signin.netflix.member.parcel-drop.net/login",
     "brand_in_path": URL + "/paypal-security-verification/signin.php",
     "url_extension": URL + ".php",
-    "hex_encoding": "https://paypal.secure-update.evil-site.com/%6c%6f%67%69%6e",
-    "compound_split": "https://pay-pal.secure-update.evil-site.com/login",
+    "hex_encoding": "https://netflix.member.parcel-drop.net/%6c%6f%67%69%6e",
+    "compound_split": "https://net-flix.member.parcel-drop.net/login",
     "benign_padding": URL + "/support-secure-login",
 }
 
@@ -75,7 +113,7 @@ def test_perturbations(spark):
 
 
 def test_robustness_counts(spark):
-    urls = [URL, "http://192.168.1.1/login", "http://paypa1-support.com/verify", "ftp://x.com/a"]
+    urls = [URL, "http://10.44.7.19/login", "http://amaz0n-support.net/verify", "ftp://q.net/a"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     strategies = {"benign_padding": STRATEGIES["benign_padding"], "broken": lambda u: F.lit("ftp://nothing")}
     counts = robustness.robustness_by_strategy(df, strategies=strategies).collect()
@@ -131,8 +169,15 @@ def test_feed_upsert(spark, tmp_path):
     second = spark.createDataFrame([("f", "http://a.com/x", day(2)), ("f", "http://b.com/", day(6))], schema)
     write(second, 1)
     write(second, 1)  # a retried batch changes nothing
-    rows = {r["url"]: r for r in spark.read.parquet(f"{folder}/v=1").collect()}
+    rows = {r["url"]: r for r in feed.read_feed(spark, folder).collect()}
     assert (rows["http://a.com/x"]["first_seen"], rows["http://a.com/x"]["last_seen"]) == (day(2), day(5))
     assert rows["http://a.com/x"]["expires_at"] == day(12) and len(rows) == 2
-    live = feed.active_patterns(spark.read.parquet(f"{folder}/v=1"), F.to_timestamp(F.lit("2024-01-12 12:00:00")))
+    live = feed.active_patterns(feed.read_feed(spark, folder), F.to_timestamp(F.lit("2024-01-12 12:00:00")))
     assert [r["pattern"] for r in live.collect()] == ["http://b.com/"]
+    # a new query starts again at batch 0 and goes on from the stored table; an unfinished version is not read
+    spark.createDataFrame([(1,)], "x int").write.parquet(f"{folder}/v=90")
+    os.remove(f"{folder}/v=90/_SUCCESS")
+    again = feed.upsert_writer(spark, folder, ttl_days=7)
+    again(spark.createDataFrame([("f", "http://c.com/", day(7))], schema), 0)
+    assert sorted(r["url"] for r in feed.read_feed(spark, folder).collect()) == ["http://a.com/x", "http://b.com/", "http://c.com/"]
+    assert len(feed.feed_versions(spark, folder)) == 2
