@@ -132,20 +132,27 @@ def scan_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verified_records(candidates: DataFrame) -> DataFrame:
-    """The candidates that the chain from offset 0 of their file reaches."""
-    candidates = cut_lineage(candidates)
-    jumps = candidates.select("file", "offset", "next")
-    reached = candidates.where("offset = 0").select("file", "offset")
-    # start of a chain, and the offsets 2^i successors on
-    n, before = reached.count(), -1
-    while n > before:
-        ahead = reached.join(jumps, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        known = ahead.join(candidates.select("file", "offset"), ["file", "offset"], "left_semi")
-        reached = cut_lineage(reached.unionByName(known).distinct())
-        onward = jumps.select("file", F.col("offset").alias("next"), F.col("next").alias("_next"))
-        jumps = cut_lineage(jumps.join(onward, ["file", "next"]).select("file", "offset", F.col("_next").alias("next")))
-        n, before = reached.count(), n
-    return candidates.join(reached, ["file", "offset"], "left_semi")
+    """The candidates that the chain from offset 0 of their file reaches.
+
+    After round i the first 2^(i+1) records of each chain are known and a pointer leads 2^(i+1) records on; offsets only
+    grow, so no record is reached twice. Pointers are two offsets and the hash of a file's name; they are broadcast while a count shows
+    that they are few.
+    """
+    candidates = cut_lineage(candidates.withColumn("_f", F.xxhash64("file")))
+    tasks = candidates.rdd.getNumPartitions()
+    jumps = candidates.select("_f", "offset", "next")
+    here = candidates.select("_f", F.col("offset").alias("next"))
+    jumps = cut_lineage(jumps.join(bounded_broadcast(here), ["_f", "next"], "left_semi"))
+    reached = cut_lineage(candidates.where("offset = 0").select("_f", "offset"))
+    while True:
+        pointers = bounded_broadcast(jumps)
+        ahead = cut_lineage(reached.join(pointers, ["_f", "offset"]).select("_f", F.col("next").alias("offset")))
+        if ahead.isEmpty():
+            break
+        reached = cut_lineage(reached.unionByName(ahead).coalesce(tasks))
+        onward = pointers.select("_f", F.col("offset").alias("next"), F.col("next").alias("_next"))
+        jumps = cut_lineage(jumps.join(onward, ["_f", "next"]).select("_f", "offset", F.col("_next").alias("next")))
+    return candidates.join(bounded_broadcast(reached), ["_f", "offset"], "left_semi").drop("_f")
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
