@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from urlrisk.functions.privacy import defang
 from urlrisk.operators.evaluate import curve_points, roc_auc_expr, score_counts
 from urlrisk.operators.features import FEATURE_FAMILIES, FEATURE_NAMES
+from urlrisk.operators.ordering import cut_lineage, global_running
 from urlrisk.operators.skew import bounded_broadcast, lookup_join
 
 PSI_BINS = 10
@@ -139,13 +140,13 @@ def bootstrap_auc(
 
 
 def population_stability(train: DataFrame, current: DataFrame, names: Sequence[str] = FEATURE_NAMES, bins: int = PSI_BINS) -> DataFrame:
-    """PSI per feature; bin edges are quantiles of the training rows."""
+    """PSI per feature; bin edges are quantiles of the training rows. Both sides are read once, into counts per value."""
     base, now = feature_long(train, [], names=names), feature_long(current, [], names=names)
-    shares = [i / bins for i in range(1, bins)]
-    edges = base.groupBy("feature").agg(F.percentile_approx("value", shares, 10000).alias("_edges"))  # one row per feature
     both = base.withColumn("_side", F.lit("a")).unionByName(now.withColumn("_side", F.lit("b")))
-    # values are counted before the edges are looked at
-    counted = both.groupBy("feature", "_side", "value").agg(F.count("*").alias("n"))
+    counted = cut_lineage(both.groupBy("feature", "_side", "value").agg(F.count("*").alias("n")))
+    run = global_running(counted.where("_side = 'a' and value is not null"), ["value"], ["n"], ["feature"])
+    edge = lambda i: F.min(F.when(F.col("run_n") * bins >= F.col("all_n") * i, F.col("value")))
+    edges = run.groupBy("feature").agg(F.array(*[edge(i) for i in range(1, bins)]).alias("_edges"))  # one row per feature
     binned = counted.join(bounded_broadcast(edges), "feature").withColumn(
         "bin", F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col("value")))
     )

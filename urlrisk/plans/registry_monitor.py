@@ -91,7 +91,16 @@ def bootstrap_auc(spark, folder):
     return monitor.bootstrap_auc(scored_corpus(spark, folder), resamples=1000, group_cols=["model"])
 
 
-@register("population_stability")
+@register(
+    "population_stability",
+    f"""{_FEAT}, lf AS ({_LONG}), ranked AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) AS rn,
+  count(*) OVER (PARTITION BY feature) AS n FROM lf WHERE label = 0),
+edges AS (SELECT feature, list(DISTINCT value) AS e FROM ranked JOIN (SELECT unnest(range(1, 10)) AS i) ON rn = greatest(1, (i * n + 9) // 10) GROUP BY feature),
+binned AS (SELECT feature, label, len(list_filter(e, lambda x: x < value)) AS bin, count(*) AS n FROM lf JOIN edges USING (feature) GROUP BY ALL),
+shares AS (SELECT feature, bin, greatest(coalesce(sum(n) FILTER (label = 0), 0) / sum(sum(n) FILTER (label = 0)) OVER (PARTITION BY feature), 0.0001) AS a,
+  greatest(coalesce(sum(n) FILTER (label = 1), 0) / sum(sum(n) FILTER (label = 1)) OVER (PARTITION BY feature), 0.0001) AS b FROM binned GROUP BY feature, bin)
+SELECT feature, round(sum((b - a) * ln(b / a)), 6) AS psi FROM shares GROUP BY feature""",
+)
 def population_stability(spark, folder):
     """Drift of the malicious shapes against the benign ones."""
     rows = extract_features(parsed_corpus(spark, folder))
