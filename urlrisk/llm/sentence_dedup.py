@@ -5,8 +5,11 @@ sentence the shortest run of at least ``LEAST`` sentences and ``WORDS`` words st
 passage is covered by whole runs up to its last sentence. Runs are hashed (64 bits, over lower-cased words) and joined globally: the first occurrence
 of a run is the one with the smallest document id and place; the sentences of all other occurrences are removed.
 
-A grouped minimum with partial aggregation finds the first occurrences; only runs that occur again are joined back, by a small table
-or a join whose hot keys Spark splits. So a passage that a third of all documents hold costs its rows and no pairs.
+1. A count per hash, partly summed before the shuffle, tells which runs occur again. Their hashes become a bit table (about ``BITS`` bits
+   each, at most ``MOST_BITS`` in all; a fuller table lets more runs through, which the next step drops).
+2. The runs are made again and only those in the table leave the tasks. A grouped minimum finds the first occurrence of each, and a
+   join by hash the others; hot hashes are split by Spark. A passage that a third of all documents hold costs its rows and no pairs.
+3. Only documents that lose something meet their spans by a join (while a count shows that their ids are few); the others pass.
 
 Cases: null and empty texts stay as they are. Rows with the same id count as one document if they are equal, and all keep their text then. A null id
 may be a first occurrence but its own text stays. Ties cannot occur: id and place are unique. An empty table gives an empty result; other
@@ -15,11 +18,14 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +38,9 @@ LONGEST = 30
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|[.!?]+[^\s.!?\n][^.!?\n]*)*(?:[.!?]+(?=\s|$)|\n|$)")
 WORD = re.compile(r"\S+")
 RUNS = "hash long, doc_id long, start int, stop int"
+BITS = 16
+MOST_BITS = 1 << 28
+CHUNK_WORDS = 8192
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -80,23 +89,59 @@ def runs(text: str) -> set[tuple[int, int, int]]:
     }
 
 
-def _all_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            rows += [(h, doc, a, b) for h, a, b in runs(text)]
-            if len(rows) > 100_000:
-                yield pd.DataFrame(rows, columns=["hash", "doc_id", "start", "stop"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["hash", "doc_id", "start", "stop"])
+def _runs_of(bits: Broadcast | None):
+    """Task function: the runs of all texts, or those whose hash is in the bit table."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            docs, hashes, starts, stops = [], [], [], []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                found = runs(text)
+                docs += [doc] * len(found)
+                for h, a, b in found:
+                    hashes.append(h)
+                    starts.append(a)
+                    stops.append(b)
+            out = pd.DataFrame({"hash": hashes, "doc_id": docs, "start": starts, "stop": stops}).astype("int64")
+            if bits is not None:
+                table = np.frombuffer(bits.value, np.uint8)
+                at = out["hash"].to_numpy().astype(np.uint64) & np.uint64(len(table) * 8 - 1)
+                out = out[(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            yield out if bits is not None else out[["hash"]]
+
+    return emit
+
+
+def bit_table(hashes: DataFrame) -> bytes:
+    """A bit for each hash (column ``hash``) by its lower bits; at most ``MOST_BITS`` bits."""
+    n = hashes.count()
+    size = max(CHUNK_WORDS * 64, min(MOST_BITS, 1 << math.ceil(math.log2(max(1, n) * BITS))))
+    at = F.col("hash").bitwiseAND(F.lit(size - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits")
+    )
+
+    def pack(chunk: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(CHUNK_WORDS, np.int64)
+        out[chunk["word"].to_numpy() % CHUNK_WORDS] = chunk["bits"].to_numpy()
+        return pd.DataFrame({"chunk": [chunk["word"].iloc[0] // CHUNK_WORDS], "bytes": [out.tobytes()]})
+
+    chunks = words.groupBy((F.col("word") / CHUNK_WORDS).cast("long")).applyInPandas(pack, "chunk long, bytes binary")
+    table = bytearray(size // 8)
+    for r in chunks.collect():  # the table, which is bounded
+        table[r["chunk"] * CHUNK_WORDS * 8 : (r["chunk"] + 1) * CHUNK_WORDS * 8] = r["bytes"]
+    return bytes(table)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the character spans of runs that are not the first of their kind, of the documents that have some. ``docs``: doc_id, text."""
-    found = docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(_all_runs, RUNS)
-    firsts = found.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
-    firsts = cut_lineage(firsts.where("first <> last").select("hash", "first"))
-    again = found.join(bounded_broadcast(firsts), "hash").where(F.struct("doc_id", "start") != F.col("first"))
+    rows = docs.select("doc_id", "text").where("doc_id is not null")
+    every = rows.mapInPandas(_runs_of(None), "hash long")
+    often = cut_lineage(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(often))
+    found = cut_lineage(rows.mapInPandas(_runs_of(table), RUNS))
+    firsts = found.groupBy("hash").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = found.join(firsts.select("hash", "first"), "hash").where(F.struct("doc_id", "start") != F.col("first"))
     return again.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
@@ -124,7 +169,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [without(t, s) if s is not None else (t, 0, []) for t, s in zip(batch["text"], batch["spans"], strict=True)]
+            done = [without(t, s) if t is not None else (t, 0, []) for t, s in zip(batch["text"], batch["spans"], strict=True)]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].astype("Int64"),
@@ -134,5 +179,10 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 }
             )
 
-    joined = rows.join(bounded_broadcast(spans, 100_000), "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(cut, "doc_id long, text string, removed_chars long, spans array<struct<start int, stop int>>")
+    result = "doc_id long, text string, removed_chars long, spans array<struct<start int, stop int>>"
+    ids = bounded_broadcast(spans.select("doc_id"))
+    changed = rows.join(ids, "doc_id", "left_semi").join(spans, "doc_id").select("doc_id", "text", "spans").mapInPandas(cut, result)
+    same = rows.join(ids, "doc_id", "left_anti").select(
+        "doc_id", "text", F.lit(0).cast("long").alias("removed_chars"), F.array().cast("array<struct<start int, stop int>>").alias("spans")
+    )
+    return changed.unionByName(same)
