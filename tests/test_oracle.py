@@ -5,9 +5,16 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from urlrisk.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-CHOSEN = "canonical_urls url_features brand_matches layered_scan split_counts evaluation_report isotonic_fit scan_records".split()
+#: ALL_ORACLES=1 runs every registered SQL text of the library.
+CHOSEN = (
+    "canonical_urls url_features brand_matches layered_scan split_counts evaluation_report isotonic_fit scan_records "
+    "robustness_homoglyph feedback_rates feed_recall verdict_counts f1_at_threshold error_list triage"
+).split()
+if os.environ.get("ALL_ORACLES"):
+    CHOSEN = sorted(registry.ORACLE)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
 
