@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urlrisk.operators.skew import bounded_broadcast
@@ -29,6 +30,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder next to the checkpoints, which all executors reach."""
+    cut_lineage(spark.range(0))  # sets the checkpoint folder where the session has none
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def global_running(
     df: DataFrame,
     order_cols: Sequence[str],
