@@ -8,14 +8,14 @@ from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.operators.dataset import dataset_rows
 from urlrisk.operators.detect import scan_urls
 from urlrisk.operators.features import extract_features
-from urlrisk.plans.scorers import char_ngrams, fit_linear_scorer
+from urlrisk.plans.scorers import char_ngrams, fit_linear_scorer, fit_tree_scorer
 from urlrisk.plans.train import train_model
 from urlrisk.sources.corpus import url_corpus
 from urlrisk.sources.files import verify_artifacts
 
 
 def small_corpus(spark):
-    pages = spark.range(40).select(F.col("id").alias("page_id"), F.concat(F.lit("https://site"), "id", F.lit(".example.com/")).alias("url"))
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.concat(F.lit("https://site"), "id", F.lit("-garden.org/")).alias("url"))
     return dataset_rows(url_corpus(pages).withColumnRenamed("url", "url_raw")).cache()
 
 
@@ -28,11 +28,11 @@ def test_train_score_and_verify(spark, tmp_path):
     for name in ("ensemble", "calibrator", "thresholds", "features", "metrics", "reliability_raw"):
         assert os.path.isdir(tmp_path / "artifacts" / name), name
     assert verify_artifacts(spark, str(tmp_path / "artifacts"), str(tmp_path / "manifest")) > 10
-    urls = spark.createDataFrame([("http://paypa1-support.net/verify/1",), ("https://github.com/a",), ("ftp://x",)], "url string")
+    urls = spark.createDataFrame([("http://amaz0n-support.net/verify/1",), ("https://github.com/zz",), ("ftp://x",)], "url string")
     got = {r["url"]: r for r in scan_urls(urls, scorer=model.score, model_version="v1", id_cols=["url"]).collect()}
-    assert got["http://paypa1-support.net/verify/1"]["model_version"] == "v1"
-    assert 0 <= got["http://paypa1-support.net/verify/1"]["probability"] <= 1
-    assert got["https://github.com/a"]["layers"]["allowlist"] == "hit" and got["ftp://x"]["verdict"] == "unknown"
+    assert got["http://amaz0n-support.net/verify/1"]["model_version"] == "v1"
+    assert 0 <= got["http://amaz0n-support.net/verify/1"]["probability"] <= 1
+    assert got["https://github.com/zz"]["layers"]["allowlist"] == "hit" and got["ftp://x"]["verdict"] == "unknown"
 
 
 def test_linear_contributions_sum_to_the_score(spark):
@@ -46,6 +46,21 @@ def test_linear_contributions_sum_to_the_score(spark):
         assert abs(1 / (1 + math.exp(-total)) - r["model_probability"]) < 1e-9
 
 
+def test_tree_contributions_sum_to_the_score(spark):
+    rows = extract_features(canonicalize_urls(small_corpus(spark), "url"))
+    model = fit_tree_scorer(rows, rounds=4, depth=3)
+    bias = model.nodes(spark).bias
+    out = model.contributions(model.score(rows)).select("features", "model_probability", "contributions").limit(60).collect()
+    import math
+
+    for r in out:
+        if r["features"] is None:
+            assert r["contributions"] is None
+        else:
+            assert abs(1 / (1 + math.exp(-bias - sum(r["contributions"].values()))) - r["model_probability"]) < 1e-6
+    assert any(any(r["contributions"].values()) for r in out if r["features"])
+
+
 def test_char_ngrams(spark):
     grams = spark.range(1).select(char_ngrams(F.lit("abc")), char_ngrams(F.lit(""))).first()
     assert sorted(grams[0]) == sorted(["a", "b", "c", "ab", "bc", "abc"]) and grams[1] == []

@@ -12,7 +12,7 @@ from urlrisk.operators.ordering import cut_lineage
 from urlrisk.plans import oracle as o
 from urlrisk.plans import scorers
 from urlrisk.plans.registry import _BASE, KEYS, corpus, parsed_corpus, register
-from urlrisk.plans.registry_data import _SCORED, dataset_table as split_source, scored_corpus
+from urlrisk.plans.registry_data import _SCORED, _SPLIT, dataset_table as split_source, scored_corpus
 
 # --- calibration and ensembles -----------------------------------------------------------------------------
 
@@ -110,12 +110,30 @@ def class_weights(spark, folder):
     return scorers.class_weights(corpus(spark, folder))
 
 
+def _fitted_trees(spark, folder):
+    rows = dataset.assign_splits(split_source(spark, folder))
+    rows = cut_lineage(extract_features(canonicalize_urls(rows, "url")).drop("parsed"))
+    return rows, scorers.fit_tree_scorer(rows.filter("split = 'train'"), rows.filter("split = 'val'"), rounds=5, depth=4)
+
+
+@register(
+    "tree_contributions",
+    f"{_SPLIT}\nSELECT label, count(*) AS n, count(*) AS n_explained FROM split_data WHERE split = 'test' GROUP BY label",
+    ints="label",
+)
+def tree_contributions(spark, folder):
+    """How many test rows there are, and for how many the parts and the trees' means add up to the score."""
+    rows, model = _fitted_trees(spark, folder)
+    out = model.contributions(model.score(rows.filter("split = 'test'")))
+    margin = F.aggregate(F.map_values("contributions"), F.lit(model.nodes(spark).bias), lambda s, x: s + x)
+    explained = F.abs(1 / (1 + F.exp(-margin)) - F.col("model_probability")) < 1e-9
+    return out.groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.count_if(explained).alias("n_explained"))
+
+
 @register("tree_scorer")
 def tree_scorer(spark, folder):
     """Boosted trees fitted on the train split (few rounds) and applied to the test split."""
-    rows = dataset.assign_splits(split_source(spark, folder))
-    rows = cut_lineage(extract_features(canonicalize_urls(rows, "url")).drop("parsed"))
-    model = scorers.fit_tree_scorer(rows.filter("split = 'train'"), rows.filter("split = 'val'"), rounds=5, depth=4)
+    rows, model = _fitted_trees(spark, folder)
     scored = model.score(rows.filter("split = 'test'"))
     return scored.select("url_sha256", "label", F.round("model_probability", 4).alias("model_probability"))
 
