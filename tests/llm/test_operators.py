@@ -211,6 +211,15 @@ PLAIN = """<body><div class="x1"><a href=1>Menu {i}</a><a href=2>Other {i}</a></
 <div class="x3">All rights reserved by us</div>"""
 
 
+def test_regions():
+    page = """<div class="layout with-sidebar"><div class="post-header"><h1>Title</h1></div><div class="entry-content"><p>One</p>
+    <section class="article-comments"><p>Nice</p></section><div style="display: none">x</div><div data-class="ad"><p>Two</p></div></div>
+    <div class="sidebar"><article>Teaser</article></div></div>"""
+    assert html_text.main_text(page, set(), set()) == "Title One Two"
+    marked = page.replace('<div class="entry-content">', "<main>")
+    assert html_text.main_text(marked, set(), set()) == "One Two"
+
+
 def test_main_text(spark):
     rows = [(i, f"http://a.org/{i}", PAGE.replace("{i}", str(i))) for i in range(6)]
     rows += [(10 + i, f"http://b.org/{i}", PLAIN.replace("{i}", str(i))) for i in range(6)]

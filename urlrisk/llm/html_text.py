@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk.llm.common import bound_batches
 from urlrisk.operators.ordering import cut_lineage
 from urlrisk.operators.skew import bounded_broadcast
 
@@ -58,19 +59,22 @@ SCOPES = frozenset("ul ol dl table article section div aside nav header footer f
 SIDE_ELEMENTS = frozenset("nav aside footer form menu dialog button fieldset".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 SIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
     "disqus footer gdpr login menu menus modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo "
     "promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar "
     "widget widgets".split()
 )
 HEAD_WORDS = frozenset("header masthead topbar".split())
+#: Words that name a layout ("with-sidebar") or a part of the text ("post-header") rather than a side region.
+LAYOUT_WORDS = frozenset("has layout no with without".split())
+TEXT_WORDS = frozenset("article content entry post story".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -87,12 +91,15 @@ def _region(name: str, attrs: str, inside_main: bool) -> tuple[bool, bool, str]:
                     label += "." + value
                 if name not in ("html", "body"):
                     words = {w.lower() for w in PIECES.findall(value)}
-                    side |= bool(words & SIDE_WORDS) or bool(words & HEAD_WORDS) and not inside_main
+                    if not words & LAYOUT_WORDS:
+                        side |= bool(words & SIDE_WORDS) or bool(words & HEAD_WORDS) and not inside_main and not words & TEXT_WORDS
             elif key == "role":
                 side |= value in SIDE_ROLES
                 main |= value in ("main", "article")
             elif key == "itemprop":
                 main |= value.lower() == "articlebody"
+            elif key == "style":
+                side |= "display:none" in value.lower().replace(" ", "")
             else:
                 side |= key == "hidden" or value == "true"
     return side, main and not side, label
@@ -255,6 +262,7 @@ def main_text(html: str, texts: set[int], menus: set[int]) -> str:
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
+    bound_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     url = F.col(url_col)
     at = F.instr(url, "://")
