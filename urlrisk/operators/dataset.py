@@ -115,10 +115,10 @@ def manifest_hash(assignments: DataFrame) -> DataFrame:
     """One row with ``total_urls`` and ``manifest_hash``, the same for any row order or partitioning.
 
     The hash is a multiset hash: SHA-256 of every (url_sha256, split) pair, cut into four 60-bit words that are
-    summed, then SHA-256 over the sums. It is a plain aggregate, so no task ever holds the sorted assignments.
+    summed (38 digits hold 10^19 rows), then SHA-256 over the sums. It is a plain aggregate, so no task ever holds the sorted assignments.
     """
     digest = F.sha2(F.concat_ws(":", "url_sha256", "split"), 256)
-    words = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    words = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)") for i in range(4)]
     sums = assignments.agg(
         F.count("*").alias("total_urls"), *[F.coalesce(F.sum(w), F.lit(0)).alias(f"w{i}") for i, w in enumerate(words)]
     )

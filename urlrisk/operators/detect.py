@@ -230,9 +230,7 @@ def scan_urls(
     denied, allowed = name.isin("user_deny", "feed"), name.isin("user_allow", "allowlist")
     canonical = F.coalesce(p["canonical"], F.lit(""))
     hashed = sha256_url(F.when(name == "invalid", p["raw"]).otherwise(canonical))
-    identity = (
-        F.uuid() if id_cols is None else F.sha2(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in id_cols]), 256)
-    )
+    identity = F.uuid() if id_cols is None else scan_identity(id_cols)
     results = {
         "scan_id": identity,
         "url_raw": p["raw"],
@@ -264,6 +262,16 @@ def scan_summary(scans: DataFrame) -> DataFrame:
     return scans.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def scan_identity(id_cols: Sequence[str]) -> Column:
+    """Scan id of a row, from the columns that name it."""
+    return F.sha2(F.concat_ws("\x1f", *[F.col(k).cast("string") for k in id_cols]), 256)
+
+
+def rows_of_scan(df: DataFrame, scan_id: str, id_cols: Sequence[str]) -> DataFrame:
+    """The input rows of one scan: the id needs only ``id_cols``, so nothing else is scanned or scored."""
+    return df.filter(scan_identity(id_cols) == scan_id)
+
+
 def find_scan(scans: DataFrame, scan_id: str) -> DataFrame:
     """Stored scan by id (empty when there is none)."""
     return scans.filter(F.col("scan_id") == scan_id)

@@ -225,9 +225,9 @@ def label_denylist(spark, folder):
     return table(spark, folder, "labels").filter("toxic = 1").select(name.alias("pattern"))
 
 
-def listed_scan(spark, folder, **options):
+def listed_scan(spark, folder, rows=None, **options):
     return detect.scan_urls(
-        owned_corpus(spark, folder),
+        owned_corpus(spark, folder) if rows is None else rows,
         user_lists=event_lists(spark, folder).drop("owner"),
         denylist=label_denylist(spark, folder),
         id_cols=KEYS,
@@ -322,7 +322,8 @@ SELECT sha256(CAST(page_id AS VARCHAR) || chr(31) || CAST(tpl AS VARCHAR)) AS sc
 FROM scan WHERE sha256(CAST(page_id AS VARCHAR) || chr(31) || CAST(tpl AS VARCHAR)) = '{_LOOKUP}'""",
 )
 def scan_lookup(spark, folder):
-    found = detect.find_scan(listed_scan(spark, folder), _LOOKUP)
+    rows = detect.rows_of_scan(owned_corpus(spark, folder), _LOOKUP, KEYS)
+    found = detect.find_scan(listed_scan(spark, folder, rows), _LOOKUP)
     return found.select("scan_id", "url_sha256", "registered_domain", "verdict", "risk_score")
 
 

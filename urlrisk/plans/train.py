@@ -51,7 +51,7 @@ def train_model(
     """
     spark = rows.sparkSession
     dataset.validate_dataset(rows)
-    split = dataset.assign_splits(rows)
+    split = cut_lineage(dataset.assign_splits(rows))  # the manifest and the features read it
     dataset.write_manifest(split, f"{out}/split_manifest")
     data = cut_lineage(
         extract_features(canonicalize_urls(split, "url"))
