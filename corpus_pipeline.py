@@ -57,12 +57,20 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets; ``n_chars`` follows."""
+    """Personal data is replaced by its kind in brackets; ``n_chars`` follows. Rows without an id lose the base matches only."""
     changed = personal_data.redact_personal_data(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_new"))
-    joined = docs.join(cut_lineage(changed), docs["doc_id"] == F.col("_id"), "left")
-    text = F.coalesce("_new", "text")
-    size = F.when(F.col("_new").isNotNull(), F.length("_new").cast("long")).otherwise(F.col("n_chars"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    changed = cut_lineage(changed)
+    ids = bounded_broadcast(changed.select("_id"), SMALL)
+    holds = docs["doc_id"] == F.col("_id")
+    untouched = docs.where("doc_id is not null").join(ids, holds, "left_anti")
+    touched = docs.join(ids, holds, "left_semi").drop("text", "n_chars").join(changed, F.col("doc_id") == F.col("_id"))
+    nameless = docs.where("doc_id is null").withColumn("_new", personal_data.redact_base("text"))
+    size = F.when(F.col("_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_new").cast("long"))
+    return (
+        untouched.select(*COLUMNS)
+        .unionByName(touched.select("doc_id", F.col("_new").alias("text"), "lang", "source", F.length("_new").cast("long").alias("n_chars")))
+        .unionByName(nameless.select("doc_id", F.col("_new").alias("text"), "lang", "source", size.alias("n_chars")))
+    )
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

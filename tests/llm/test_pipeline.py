@@ -21,6 +21,7 @@ def test_pipeline(spark, tmp_path):
     rows += [
         (100, copied, "en", "s0", 0), (101, copied + " tail", "en", "s1", 0), (102, text(20) + " " + leak, "en", "s0", 0),
         (103, text(30) + " mail a.b@c.org now", "en", "s2", 0), (104, None, "en", "s0", 0), (105, "", None, None, 0),
+        (None, text(9) + " mail d.e@f.org now", "en", "s1", 0),
     ]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
@@ -34,9 +35,10 @@ def test_pipeline(spark, tmp_path):
         if i < 4:
             assert docs.columns == corpus_pipeline.COLUMNS
     clean = set(range(60))
-    assert set(seen[0]) == clean | {100, 101, 102, 103}
-    assert set(seen[1]) == clean | {102, 103}
-    assert set(seen[2]) == set(seen[3]) == set(seen[4]) == clean | {103}
+    assert set(seen[0]) == clean | {100, 101, 102, 103, None}
+    assert set(seen[1]) == clean | {102, 103, None}
+    assert set(seen[2]) == set(seen[3]) == set(seen[4]) == clean | {103, None}
+    assert seen[3][None]["text"].endswith("mail [EMAIL] now")
     assert seen[3][103]["text"].endswith("mail [EMAIL] now") and seen[3][103]["n_chars"] == len(seen[3][103]["text"])
     assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, seen[4].values()))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlrisk.operators.ordering import cut_lineage
+from urlrisk.operators.ordering import shared_folder
+
+__all__ = ["SPACE", "SPACES", "WORD", "bound_batches", "shared_folder", "table", "uniform", "words_of"]
 
 #: White space as the contract has it: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -29,7 +29,10 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(2**53))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder next to the checkpoints, which all executors reach."""
-    cut_lineage(spark.range(0))  # sets the checkpoint folder where the session has none
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Let Arrow batches hold at most ``most`` bytes in this session, so that a Python worker's memory doesn't depend on the length of texts.
+    A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name, "64m").rstrip("b").replace("m", "000000").replace("k", "000"))
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk.llm.common import bound_batches
 from urlrisk.llm.textarrays import chunks, code_points, lower_table, mix
 
 Q = 12
@@ -181,6 +182,7 @@ def find_contamination(
 ) -> DataFrame:
     """(doc_id, items): every row of ``docs`` and the benchmark items of which it holds a window, in order."""
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0  # one number
     blocks = max(1, -(-size // INDEX_CHARS))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import uniform
+from urlrisk.llm.common import bound_batches, uniform
 from urlrisk.llm.decontaminate import clean
 from urlrisk.llm.textarrays import chunks, mix
 from urlrisk.operators.ordering import cut_lineage
@@ -200,6 +200,7 @@ def identify_languages(
 ) -> DataFrame:
     """(doc_id, lang, posterior, kept) of every row. ``labelled``: doc_id, text, lang."""
     column = lambda c: F.col(c) if c else F.lit(None)
+    bound_batches(rows.sparkSession)
     model = fit(labelled.select("doc_id", "text", "lang"), train)
     named = rows.select(
         F.col(id_col).cast("long").alias("doc_id"),

@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk.llm.common import bound_batches
 from urlrisk.llm.components import connected_components
 from urlrisk.llm.textarrays import chunks, mix, shingles, word_hashes
 from urlrisk.operators.ordering import cut_lineage
@@ -194,6 +195,7 @@ def near_duplicates(
     to other texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull())
+    bound_batches(docs.sparkSession)
     idf = idf_table(rows)
     signed = cut_lineage(signatures(rows, idf))
     firsts = signed.groupBy("same").agg(F.min("doc_id").alias("first"))

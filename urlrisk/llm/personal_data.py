@@ -23,7 +23,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from urlrisk.llm.common import bound_batches
 from urlrisk.operators.ordering import cut_lineage
 from urlrisk.operators.skew import bounded_broadcast
 
@@ -179,6 +181,7 @@ def strong_patterns(mentioned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, base, found) of every row: spans (kind, start, stop) of the base patterns and those added."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     read = cut_lineage(rows.mapInPandas(_extract, ROW))
     marked = read.withColumn("_row", F.monotonically_increasing_id())
@@ -231,17 +234,29 @@ def redact(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
+@F.pandas_udf(StringType())
+def redact_base(text: pd.Series) -> pd.Series:
+    """Texts without the matches of the base patterns; for rows that no id tells apart."""
+
+    def one(t: str | None) -> str | None:
+        return None if t is None else redact(t, [{"kind": k, "start": a, "stop": b} for k, a, b in base_spans(t)])
+
+    return text.map(one, na_action="ignore")
+
+
 def redact_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, text_col) of the documents that hold personal data, redacted. Ids must tell the documents apart; rows with equal id and text are one."""
     found = find_personal_data(docs, id_col, text_col)
     spans = found.select("doc_id", F.concat("base", "found").alias("spans")).where(F.size("spans") > 0)
     spans = cut_lineage(spans.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    # few documents hold some: only their texts move
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = named.join(bounded_broadcast(spans.select("doc_id")), "doc_id", "left_semi").distinct()
 
     def blank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [redact(t, s) for t, s in zip(batch["text"], batch["spans"], strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
 
-    joined = texts.join(bounded_broadcast(spans), "doc_id").select("doc_id", "text", "spans")
+    joined = texts.join(spans, "doc_id").select("doc_id", "text", "spans")
     return joined.mapInPandas(blank, "doc_id long, text string").select(F.col("doc_id").alias(id_col), F.col("text").alias(text_col))

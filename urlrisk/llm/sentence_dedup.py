@@ -29,6 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk.llm.common import bound_batches
 from urlrisk.operators.ordering import cut_lineage
 from urlrisk.operators.skew import bounded_broadcast
 
@@ -165,6 +166,7 @@ def without(text: str, spans: list) -> tuple[str, int, list[tuple[int, int]]]:
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, removed_chars, spans) of every row; ``spans`` are the removed character ranges."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    bound_batches(docs.sparkSession)
     spans = cut_lineage(repeated_spans(rows.where("text is not null")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

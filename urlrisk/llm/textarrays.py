@@ -9,7 +9,7 @@ import numpy as np
 #: Words of a shingle.
 SHINGLE = 5
 #: Characters that are worked on at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ROLL = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
