@@ -40,7 +40,7 @@ TRAIN = 2000
 LANGUAGES = 200
 TEXT_WEIGHT = 40
 KAPPA = 20.0
-LEAST = 3
+LEAST = 1
 SURE = 0.5
 FAR = 3.0
 NOISE = 6.0
@@ -54,8 +54,9 @@ class Model:
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of all trigrams around a letter or digit."""
+    """(bucket, text) of all trigrams around a letter; digits, as in numbers and tokens, say nothing."""
     points, starts = clean(texts)
+    points = np.where((points >= 48) & (points <= 57), np.uint32(32), points)
     if len(points) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     p = np.where(points == 0, 32, points).astype(np.uint64)
