@@ -349,6 +349,58 @@ def test_near_duplicates_against_brute_force(spark, odd_docs):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def crowd_pairs(n, pairs):
+    """Texts of a crowd that shares a passage (Jaccard 0.69), some of them in pairs (0.82); (texts, pairs)."""
+    rng = random.Random(12)
+    shared = words(rng, 248, 100_000)
+    texts = [shared + words(rng, 52, 100_000) for _ in range(n)]
+    for i in range(pairs):
+        twin = list(texts[i])
+        for k in range(5):
+            twin[252 + 10 * k] = f"edit{i}y{k}"
+        texts.append(twin)
+    return [" ".join(t) for t in texts], [(i, n + i) for i in range(pairs)]
+
+
+def test_near_duplicates_inside_a_crowd(spark):
+    texts, pairs = crowd_pairs(800, 200)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) == 800
+
+
+def test_blocks_of_a_key_meet(spark, monkeypatch):
+    """Every pair of a key, also where one component holds most of it."""
+    monkeypatch.setattr(near_dedup, "SIDE", 20)
+    texts, pairs = crowd_pairs(60, 20)
+    texts += [" ".join(f"again{i}" if k == 100 else w for k, w in enumerate(texts[50].split())) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert {got[80 + i] for i in range(120)} == {50} and len(set(got.values())) == 60
+
+
+def test_similarities_of_groups(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "FEW", 3)
+    texts, _ = crowd_pairs(6, 2)
+    texts = [t + " " + " ".join(t.split()[:40]) * (i % 3) for i, t in enumerate(texts)]
+    idf = np.linspace(0.8, 1, near_dedup.BUCKETS).astype(np.float32)
+    for sizes in ([8], [3, 5], [1, 6, 1]):
+        got = list(near_dedup.similarities(texts, np.array(sizes), idf))
+        at = 0
+        for n, square in zip(sizes, got, strict=True):
+            for i in range(n):
+                for j in range(i + 1, n):
+                    of, value, weight = near_dedup.weighted([texts[at + i], texts[at + j]], idf)
+                    one, two = (dict(zip(value[of == k], weight[of == k], strict=True)) for k in (0, 1))
+                    common = sum(min(w, two[v]) for v, w in one.items() if v in two)
+                    assert abs(square[i, j] - common / (sum(one.values()) + sum(two.values()) - common)) < 1e-5
+            at += n
+
+
 def test_icws_agrees_as_often_as_weighted_jaccard():
     import numpy as np
 

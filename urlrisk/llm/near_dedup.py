@@ -13,8 +13,11 @@ shingles of a large group of copies are frequent, and a wide range would let two
    and band), found by a partial aggregation. Leaders differ from band to band, so a group's texts meet in many ways.
 4. Pairs whose samples agree too rarely for the threshold are dropped (less than 1e-5 of the true ones). Each text's most
    alike partner is verified first, by the exact weighted Jaccard similarity of both texts; then all remaining pairs between different
-   components. So members of a large group cost one comparison each, and no link between components is skipped.
-5. Connected components of the verified links are the classes.
+   components. So members of a large group cost one comparison each.
+5. A key whose texts are then still in different components may hold links that no leader meets (a crowd that shares a passage and no
+   more). Its texts are dealt to blocks of at most about ``SIDE`` texts and ``SIDE_CHARS`` characters, and all blocks are compared with each other, exactly; of
+   a component that holds most of the key, only with the other texts. So two texts that share a band's key are compared or in one component.
+6. Connected components of the verified links are the classes.
 
 Cases: texts without words (null, empty, blank) are alone, even among themselves. Shorter texts than five words are one shingle. Rows with the same id
 count as one document with equal texts, and as separate texts of one id otherwise (the id is then linked as a whole). A null id is left out. An empty
@@ -42,6 +45,13 @@ BANDS = 14
 ROWS = 3
 BUCKETS = 1 << 16
 IDF_PART = 0.2
+#: Texts and characters of a block within a key.
+SIDE = 512
+SIDE_CHARS = 1 << 19
+#: Shingles in more texts of a group than this are multiplied as a matrix, the others paired.
+FEW = 32
+#: Pairs of texts that are compared at once.
+PAIRS = 1 << 21
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -103,7 +113,7 @@ def icws(value: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarra
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, same, keys, samples) of every document with words: ``same`` is equal for equal words, ``samples`` has 32 bits of each sample."""
+    """(doc_id, same, keys, samples, chars) of every document with words: ``same`` is equal for equal words, ``samples`` has 32 bits of each sample."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,10 +147,11 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         "same": [p.tobytes() + q.tobytes() for p, q in zip(one, two, strict=True)],
                         "keys": list(every),
                         "samples": [s.tobytes() for s in np.ascontiguousarray(low)],
+                        "chars": [len(texts[i]) for i in docs_in],
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, same binary, keys array<long>, samples binary")
+    return docs.select("doc_id", "text").mapInPandas(sign, "doc_id long, same binary, keys array<long>, samples binary, chars long")
 
 
 def _pairs_alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -188,6 +199,135 @@ def verify(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float)
     return joined.mapInPandas(compare, "a long, b long, similarity double").where(F.col("similarity") >= threshold)
 
 
+def similarities(texts: list[str], sizes: np.ndarray, idf: np.ndarray) -> Iterator[np.ndarray]:
+    """The weighted Jaccard similarities within each group as a square; ``sizes``: how many consecutive texts each group has."""
+    parts = []
+    for a, b in chunks(texts):
+        of, value, count = shingles(texts[a:b])
+        parts.append((of + a, value, count))
+    of, value, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    inverse = idf[(value >> np.uint64(48)).astype(np.int64)].astype(np.float64)
+    group_of = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.cumsum(sizes) - sizes
+    square = np.cumsum(sizes**2) - sizes**2
+    weight = (1 + np.log(count)) * inverse
+    total = np.bincount(of, weight, len(texts))
+    group = group_of[of]
+    order = np.lexsort((of, value, group))
+    of, value, count, weight, group, inverse = (x[order] for x in (of, value, count, weight, group, inverse))
+    new = np.ones(len(of), bool)
+    new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+    run = np.cumsum(new) - 1
+    often = np.bincount(run)[run] if len(run) else run
+    place = of - first[group]
+    common = np.zeros(int((sizes**2).sum()))
+    low = np.flatnonzero((often > 1) & (often <= FEW))
+    for step in range(1, FEW):
+        i, j = low[:-step], low[step:]
+        same = run[i] == run[j]
+        i, j = i[same], j[same]
+        if not len(i):
+            break
+        at = square[group[i]] + place[i] * sizes[group[i]] + place[j]
+        common += np.bincount(at, np.minimum(weight[i], weight[j]), len(common))
+    high = np.flatnonzero(often > FEW)
+    edges = np.searchsorted(group[high], np.arange(len(sizes) + 1))
+    for g, n in enumerate(sizes):
+        out = common[square[g] : square[g] + n * n].reshape(n, n)
+        mine = high[edges[g] : edges[g + 1]]
+        if len(mine):
+            # a shingle that occurs k times is k columns, so that products add up to the least weight
+            level = np.arange(count[mine].sum()) - np.repeat(np.cumsum(count[mine]) - count[mine], count[mine])
+            entry = np.repeat(mine, count[mine])
+            _, column = np.unique(np.stack([run[entry], level]), axis=1, return_inverse=True)
+            step = inverse[entry] * np.where(level > 0, np.log((level + 1) / np.maximum(level, 1)), 1.0)
+            by_column = np.argsort(column, kind="stable")
+            entry, column, step = entry[by_column], column[by_column], step[by_column]
+            for begin in range(0, int(column[-1]) + 1, 2048):
+                a, b = np.searchsorted(column, [begin, begin + 2048])
+                dense = np.zeros((n, 2048))
+                dense[place[entry[a:b]], column[a:b] - begin] = np.sqrt(step[a:b])
+                out += np.triu(dense @ dense.T, 1)
+        weights = total[first[g] : first[g] + n]
+        yield out / np.maximum(weights[:, None] + weights[None, :] - out, 1e-9)
+
+
+def mixed_key_links(keyed: DataFrame, chosen: DataFrame, roots: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(a, b, similarity): for each two components with a link inside a key, a link between them; by comparison of all texts of the key. Keys of three
+    texts or fewer are left out: leaders meet all of them."""
+    bands = keyed.where(F.col("band") < BANDS).select("key", "doc_id")
+    root = roots.select(F.col("node").alias("doc_id"), "root")
+    sized = chosen.select("doc_id", "chars").join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    sized = cut_lineage(sized.groupBy("doc_id").agg(F.sum("chars").alias("chars"), F.min("root").alias("root")))
+    members = bands.join(sized, "doc_id")
+    counted = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("chars").alias("c"))
+    keys = counted.groupBy("key").agg(
+        F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.max(F.struct("n", "c", "root")).alias("most")
+    )
+    keys = keys.where("roots > 1 and n > 3")
+    blocks = lambda n, c: F.greatest(F.ceil(n / SIDE), F.ceil(c / SIDE_CHARS), F.lit(1)).cast("int")
+    split = (F.col("most.n") * 2 > F.col("n")) & ((F.col("n") > SIDE) | (F.col("c") > SIDE_CHARS))
+    keys = keys.select(
+        "key",
+        F.when(split, F.col("most.root")).alias("main"),
+        F.when(split, blocks(F.col("n") - F.col("most.n"), F.col("c") - F.col("most.c"))).otherwise(blocks(F.col("n"), F.col("c"))).alias("others"),
+        F.when(split, blocks(F.col("most.n"), F.col("most.c"))).otherwise(0).alias("mains"),
+    )
+    keys = cut_lineage(keys)
+    dealt = members.join(bounded_broadcast(keys), "key")
+    inside = F.col("root").eqNullSafe(F.col("main"))
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.when(inside, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    dealt = dealt.select("key", "doc_id", "root", "others", "mains", inside.alias("inside"), block.alias("block"))
+    other = F.sequence(F.lit(0), F.col("others") - 1)
+    pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    with_others = F.transform(other, lambda x: pair(F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
+    with_mains = F.transform(F.sequence(F.col("others"), F.col("others") + F.greatest("mains", F.lit(1)) - 1), lambda x: pair(F.col("block"), x))
+    meets = F.when(F.col("inside"), F.transform(other, lambda x: pair(x, F.col("others") + F.col("block"))))
+    meets = meets.when(F.col("mains") > 0, F.concat(with_others, with_mains)).otherwise(with_others)
+    dealt = cut_lineage(dealt.select("key", "doc_id", "root", F.explode(meets).alias("p")).select("key", "p.lo", "p.hi", "doc_id", "root"))
+    ids = cut_lineage(dealt.select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").join(bounded_broadcast(ids), "doc_id", "left_semi")
+    group = ["key", "lo", "hi"]
+    grouped = dealt.join(texts, "doc_id").select(*group, "doc_id", "root", "text").repartition(*group).sortWithinPartitions(*group)
+    table = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def links(rows: pd.DataFrame, begin: np.ndarray) -> Iterator[pd.DataFrame]:
+        sizes = np.diff(np.append(begin, len(rows)))
+        size = rows["text"].str.len().to_numpy()
+        pairs, chars = np.cumsum(sizes**2), np.cumsum(np.add.reduceat(size, begin))
+        part = np.maximum.accumulate(np.maximum(pairs // PAIRS, chars // (2 * SIDE_CHARS)))
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(begin))
+        ends = np.append(begin, len(rows))
+        ids, root, all_texts = rows["doc_id"].to_numpy(), rows["root"].to_numpy(), rows["text"].tolist()
+        for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+            for g, square in enumerate(similarities(all_texts[ends[p] : ends[q]], sizes[p:q], table.value), p):
+                i, j = np.nonzero(square >= threshold)
+                i, j, value = i + begin[g], j + begin[g], square[i, j]
+                apart = (root[i] != root[j]) & (i < j)
+                if apart.any():
+                    i, j, value = i[apart], j[apart], value[apart]
+                    out = pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "similarity": value})
+                    out["r"], out["s"] = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+                    yield out.sort_values("similarity", ascending=False).drop_duplicates(["r", "s"])[["a", "b", "similarity"]]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            at = rows[group].to_numpy()
+            begin = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1)))
+            # the last group may go on
+            rest = rows.iloc[begin[-1] :]
+            if len(begin) > 1:
+                yield from links(rows.iloc[: begin[-1]], begin[:-1])
+        if rest is not None:
+            yield from links(rest, np.array([0]))
+
+    return grouped.mapInPandas(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -225,6 +365,9 @@ def near_duplicates(
     apart = F.coalesce("_ra", "a") != F.coalesce("_rb", "b")
     rest = cut_lineage(rest.join(ra, "a", "left").join(rb, "b", "left").where(apart).select("a", "b"))
     links = cut_lineage(links.unionByName(verify(rest, rows, idf, threshold)))
+    # keys whose texts are still apart
+    roots = connected_components(links)
+    links = cut_lineage(links.unionByName(mixed_key_links(keyed, chosen, roots, rows, idf, threshold)))
 
     # an id with different texts links them
     edges = links.select("a", "b").unionByName(members.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
