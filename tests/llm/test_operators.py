@@ -289,6 +289,19 @@ def test_lemma_loses_no_window(spark):
     assert any(want) and not all(want)
 
 
+def test_any_passage_of_a_long_item_is_found():
+    rng = random.Random(14)
+    item = " ".join(words(rng, 70))[:394].strip()
+    index = decontaminate.build_index([(7, item)])
+    n = 71
+    noise = " ".join(words(rng, 30))
+    texts = [noise + " | " + item[i : i + n] + " | " + noise for i in range(len(item) - n)] + [noise + " " + item[1:191] + " " + noise]
+    # a passage that begins or ends with a blank has one character less
+    fair = [t for i, t in enumerate(texts) if i == len(texts) - 1 or (item[i] != " " and item[i + n - 1] != " ")]
+    assert decontaminate.find_items(fair, index) == [[7]] * len(fair)
+    assert decontaminate.find_items([noise], index) == [[]]
+
+
 def test_index_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_CHARS", 150)
     rng = random.Random(8)

@@ -1,9 +1,9 @@
 """Benchmark decontamination by the q-gram lemma, diagonal bands and banded alignment.
 
 Texts and benchmark items are lower-cased and their runs of white space and punctuation become one blank. An item of
-more than ``WINDOW`` characters is cut into windows that overlap by half, so a leaked passage of 1.5 windows holds a whole
-one. A window of m characters that occurs in a text with at most k = ``EDITS`` m edits shares at least m - q + 1 - k q q-grams with
-it (q-gram lemma), on diagonals (place in the text minus place in the window) at most k apart. So the shared q-grams are
+more than ``WINDOW`` characters is cut into windows that overlap by half, and into short ones of ``SHORT`` characters, one at every ``STRIDE``: a
+leaked passage of ``SHORT`` + ``STRIDE`` - 1 = 71 characters holds a whole one wherever it starts. Shorter items
+are searched whole. A window of m characters that occurs in a text with at most k = ``EDITS`` m edits shares at least m - q + 1 - k q q-grams with it (q-gram lemma), on diagonals (place in the text minus place in the window) at most k apart. So the shared q-grams are
 counted in bands of 2k diagonals that overlap by k and only bands that reach the bound are aligned, in a band around their diagonals.
 
 Q-grams of all texts of a batch are rolled as arrays and looked up in the benchmark's, so the cost per character is a few array
@@ -30,8 +30,10 @@ from urlrisk.llm.textarrays import chunks, code_points, lower_table, mix
 
 Q = 12
 WINDOW = 128
+SHORT = 64
+STRIDE = 8
 EDITS = 0.06
-INDEX_CHARS = 20_000_000
+INDEX_CHARS = 4_000_000
 _B = 0x9E3779B97F4A7C15 | 1
 
 _tables: dict[str, np.ndarray] = {}
@@ -93,15 +95,16 @@ def build_index(items: Sequence[tuple[int, str]]) -> Index:
         points = points[1:]
         if len(points) and points[-1] == 32:
             points = points[:-1]
-        at = 0
-        while len(points) - at >= Q:
-            stop = min(at + WINDOW, len(points))
-            begin = max(0, stop - WINDOW)  # the last window is whole, too
-            owner.append(item)
-            patterns.append(points[begin:stop])
-            if stop == len(points):
-                break
-            at += WINDOW // 2
+        for size, stride in ((WINDOW, WINDOW // 2), (SHORT, STRIDE)) if len(points) > WINDOW else ((WINDOW, WINDOW),):
+            at = 0
+            while len(points) - at >= Q:
+                stop = min(at + size, len(points))
+                begin = max(0, stop - size)  # the last window is whole, too
+                owner.append(item)
+                patterns.append(points[begin:stop])
+                if stop == len(points):
+                    break
+                at += stride
     sizes = np.array([len(p) for p in patterns], np.int64)
     budget = np.minimum(np.floor(EDITS * sizes).astype(np.int64), (sizes - Q) // Q) if len(sizes) else sizes
     hashes = [qgrams(p) for p in patterns]
