@@ -61,6 +61,29 @@ def test_tree_contributions_sum_to_the_score(spark):
     assert any(any(r["contributions"].values()) for r in out if r["features"])
 
 
+def test_tree_queries_fit_the_defaults_and_return_rows(spark, monkeypatch):
+    import math
+
+    from urlrisk.plans import registry_models, scorers
+    from urlrisk.plans.registry import QUERIES
+
+    asked = []
+
+    def fit(train, val=None, rounds=scorers.TREE_ROUNDS, depth=scorers.TREE_DEPTH):
+        asked.append((rounds, depth))
+        return fit_tree_scorer(train, val, 3, 3)
+
+    monkeypatch.setattr(registry_models.scorers, "fit_tree_scorer", fit)
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["tree_contribution_rows"](spark, folder).collect()
+    assert asked == [(scorers.TREE_ROUNDS, scorers.TREE_DEPTH)]
+    assert got and len(got) == QUERIES["tree_scorer"](spark, folder).count()
+    explained = [r for r in got if r["contributions"] is not None]
+    assert explained
+    for r in explained:
+        assert abs(1 / (1 + math.exp(-r["bias"] - sum(r["contributions"].values()))) - r["model_probability"]) < 1e-9
+
+
 def test_char_ngrams(spark):
     grams = spark.range(1).select(char_ngrams(F.lit("abc")), char_ngrams(F.lit(""))).first()
     assert sorted(grams[0]) == sorted(["a", "b", "c", "ab", "bc", "abc"]) and grams[1] == []

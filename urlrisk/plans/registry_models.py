@@ -113,7 +113,7 @@ def class_weights(spark, folder):
 def _fitted_trees(spark, folder):
     rows = dataset.assign_splits(split_source(spark, folder))
     rows = cut_lineage(extract_features(canonicalize_urls(rows, "url")).drop("parsed"))
-    return rows, scorers.fit_tree_scorer(rows.filter("split = 'train'"), rows.filter("split = 'val'"), rounds=5, depth=4)
+    return rows, scorers.fit_tree_scorer(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
 
 
 @register(
@@ -130,9 +130,17 @@ def tree_contributions(spark, folder):
     return out.groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.count_if(explained).alias("n_explained"))
 
 
+@register("tree_contribution_rows")
+def tree_contribution_rows(spark, folder):
+    """The contributions of each test row; with the bias they add up to the margin of its score."""
+    rows, model = _fitted_trees(spark, folder)
+    out = model.contributions(model.score(rows.filter("split = 'test'")))
+    return out.select("url_sha256", "label", "model_probability", F.lit(model.nodes(spark).bias).alias("bias"), "contributions")
+
+
 @register("tree_scorer")
 def tree_scorer(spark, folder):
-    """Boosted trees fitted on the train split (few rounds) and applied to the test split."""
+    """Boosted trees fitted on the train split and applied to the test split."""
     rows, model = _fitted_trees(spark, folder)
     scored = model.score(rows.filter("split = 'test'"))
     return scored.select("url_sha256", "label", F.round("model_probability", 4).alias("model_probability"))
