@@ -17,6 +17,7 @@ from urlrisk.llm import (
     personal_data,
     quality_rules,
     sentence_dedup,
+    spelling,
     url_filter,
     warc,
 )
@@ -170,6 +171,48 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.digest_columns(personal_data.find_personal_data(table(spark, folder, "documents")))
 
 
+@query
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+#: CRC-32 as the table-driven loop over bytes; letters are below U+0800, so at most two bytes each.
+ORACLE["op13_spelling"] = """
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), hashed AS (
+  SELECT w, count, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(list_transform(string_split(id || ':' || w, ''), lambda c: unicode(c)),
+    lambda u: CASE WHEN u < 128 THEN [u::UBIGINT] ELSE [(192 + u // 64)::UBIGINT, (128 + u % 64)::UBIGINT] END))),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h
+  FROM (SELECT id, w, count(*) AS count FROM runs GROUP BY ALL), crc_table
+), words AS (
+  SELECT word, CAST(sum(count) AS BIGINT) AS n FROM (
+    SELECT count, CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(count) >= 3
+), deletions AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM deletions a JOIN deletions b ON a.d = b.d AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM deletions a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM deletions a JOIN words b ON a.d = b.word
+), near AS (
+  SELECT word, count(*) AS n_near, min((-m, other)) AS best FROM pairs GROUP BY word
+), judged AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n
+  FROM words w LEFT JOIN near ON w.word = near.word
+), chains(word, root) AS (
+  SELECT word, coalesce(form, word) FROM judged
+  UNION SELECT c.word, j.form FROM chains c JOIN judged j ON c.root = j.word WHERE j.form IS NOT NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN (
+  SELECT word, arg_max(root, k) AS root FROM (SELECT c.word, c.root, j.n AS k FROM chains c JOIN judged j ON c.root = j.word) GROUP BY word) USING (word)"""
+
+
 @query
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     """All documents: their metadata language is the declared one, their source the host."""
