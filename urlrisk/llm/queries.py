@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from urlrisk.llm import (
+    conversations,
     decontaminate,
     html_text,
     language,
+    licenses,
     mixing,
     near_dedup,
     personal_data,
@@ -171,17 +173,125 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.digest_columns(personal_data.find_personal_data(table(spark, folder, "documents")))
 
 
+@query
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversations.digest_columns(conversations.repair_conversations(conversations.damage(turns)), turns)
+
+
+#: CRC-32 as the table-driven loop over bytes.
+CRC_TABLE = """steps(i, k, c) AS (
+  SELECT i, 0, i::UBIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8"""
+
+
+def _conversation_sql() -> str:
+    """A label (cost, audit, text so far) for each state, turn by turn; structs compare by cost, then audit."""
+    label = lambda cost, audit, text: "{'c': " + cost + ", 'a': " + audit + ", 't': " + text + "}"
+    insert = lambda x, role: label(f"{x}.c + 5", f"{x}.a || 'I'", f"list_append({x}.t, '{role}:')")
+    delete = lambda x: label(f"{x}.c + 2", f"{x}.a || 'D'", f"{x}.t")
+    no = "(1000000000 + {x}.c)"
+    keep = lambda x, ini: label(
+        f"CASE WHEN ini = '{ini}' AND fault IN ('', 't') THEN {x}.c + CASE fault WHEN 't' THEN 5 ELSE 0 END ELSE {no.format(x=x)} END",
+        f"{x}.a || 'K'", f"list_append({x}.t, role || ':' || text)")
+    rerole = lambda x, role: label(
+        f"CASE WHEN fault IN ('', 't') THEN {x}.c + CASE fault WHEN 't' THEN 6 ELSE 1 END ELSE {no.format(x=x)} END",
+        f"{x}.a || 'R'", f"list_append({x}.t, '{role}:' || text)")
+    least = lambda *xs: f"list_min([{', '.join(xs)}])"
+    filled = f"SELECT *, {least('u', insert('b', 'user'), insert('s', 'user'), insert('a', 'user'))} AS u1 FROM"
+    new_u = least(delete("u1"), *[f(x, r) for x in ("b", "s", "a1") for f, r in ((keep, "u"), (rerole, "user"))])
+    new_a = least(delete("a1"), keep("u1", "a"), rerole("u1", "assistant"))
+    none = label("1000000000", "''", "[]::VARCHAR[]")
+    return f"""
+WITH RECURSIVE {CRC_TABLE}
+), hashed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) % 20 AS kind
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+    FROM conversations), crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM hashed WHERE kind <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM hashed WHERE kind = 3
+), ordered AS (
+  SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged)
+), faulty AS (
+  SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN copy > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault
+  FROM ordered
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+    count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE before || ini NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM faulty GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {label("0", "''", "[]::VARCHAR[]")} AS b, {none} AS s, {none} AS u, {none} AS a FROM counts
+  UNION ALL
+  SELECT conv_id, i, {delete("b")}, {least(delete("s"), keep("b", "s"))}, {new_u}, {new_a}
+  FROM (SELECT *, {least("a", insert("u1", "assistant"))} AS a1 FROM
+    ({filled} (SELECT f.conv_id, f.i, f.role, f.text, f.ini, f.fault, w.b, w.s, w.u, w.a FROM walk w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)))
+), ends AS (
+  SELECT w.conv_id, {least("b", "a", insert("u1", "assistant"))} AS best FROM ({filled} walk) w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = c.rows
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLE["op11_conversations"] = _conversation_sql()
+
+
+@query
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest_columns(licenses.scan_licenses(table(spark, folder, "documents")))
+
+
+def _license_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = [
+        f"({nr}, {quoted(r.label)}, {r.priority}, {quoted(w)}, {back}, [{', '.join(map(quoted, r.also))}]::VARCHAR[], {quoted(f'^({r.pattern}) ')})"
+        for nr, r in enumerate([*licenses.base_rules(licenses.BASE), *licenses.RULES])
+        for w, back in r.keys
+    ]
+    weights = " ".join(f"WHEN {p} THEN {w}" for p, w in licenses.WEIGHTS.items())
+    return f"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), rules(rule, label, priority, word, back, also, pattern) AS (VALUES {", ".join(rows)}
+), places AS (SELECT r, unnest(words) AS w, unnest(range(len(words))) AS i FROM texts
+), near AS (SELECT * FROM places JOIN rules ON w = word AND i >= back
+), tried AS (
+  SELECT r, i - back AS start, rule, label, priority,
+    regexp_extract(array_to_string(list_slice(words, i - back + 1, i - back + {licenses.REACH}), ' ') || ' ', pattern, 1) AS m
+  FROM near JOIN texts USING (r) WHERE len(also) = 0 OR list_has_any(words, also)
+), found AS (SELECT DISTINCT r, start, start + len(string_split(m, ' ')) AS stop, rule, label, priority FROM tried WHERE m <> ''
+), kept AS (
+  SELECT * FROM found d WHERE priority > 0 AND NOT EXISTS (SELECT 1 FROM found o WHERE o.r = d.r AND o.priority > 0 AND (
+    o.priority < d.priority AND o.start < d.stop AND o.stop > d.start
+    OR o.priority = d.priority AND o.start <= d.start AND o.stop >= d.stop AND (o.start < d.start OR o.stop > d.stop OR o.rule < d.rule)))
+), per_text AS (
+  SELECT r, count(*) FILTER (WHERE priority = 0) AS n_base, min(start) FILTER (WHERE priority = 0) AS first_word, max(start) FILTER (WHERE priority = 0) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE priority = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    min(priority) FILTER (WHERE priority > 0) AS best
+  FROM (SELECT * FROM found WHERE priority = 0 UNION ALL SELECT * FROM kept) GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CAST(greatest(CASE best {weights} ELSE 0 END, CASE WHEN n_base > 0 THEN {licenses.BASE_WEIGHT} ELSE 0 END) AS DOUBLE) AS score
+FROM texts LEFT JOIN per_text USING (r)"""
+
+
+ORACLE["op12_licenses"] = _license_sql()
+
+
 @query
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
 
 
-#: CRC-32 as the table-driven loop over bytes; letters are below U+0800, so at most two bytes each.
 ORACLE["op13_spelling"] = """
-WITH RECURSIVE steps(i, k, c) AS (
-  SELECT i, 0, i::UBIGINT FROM range(256) t(i)
-  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM steps WHERE k < 8
-), crc_table AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+WITH RECURSIVE """ + CRC_TABLE + """
 ), runs AS (
   SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
