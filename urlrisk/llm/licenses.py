@@ -54,7 +54,7 @@ LICENSES = """
 mit | mit | mit licen[cs]e | license@1/licence@1 | mit
 mit-0 | mit 0 | mit no attribution(?: licen[cs]e)? | attribution@2 | mit
 x11 | x11 | x11 licen[cs]e | x11 | license/licence
-0bsd | 0bsd | (?:0bsd|bsd zero clause|zero clause bsd)(?: licen[cs]e)? | 0bsd/clause@2 | bsd/0bsd
+0bsd | 0bsd | (?:0bsd|bsd zero clause|zero clause bsd)(?: licen[cs]e)? | 0bsd/clause@2/clause@1 | bsd/0bsd
 bsd-2-clause | bsd 2 clause | (?:bsd (?:2|two) clause|(?:2|two) clause bsd|simplified bsd|freebsd)(?: licen[cs]e)? | clause@2/clause@1/simplified/freebsd | bsd/freebsd/simplified
 bsd-3-clause | bsd 3 clause | (?:bsd (?:3|three) clause|(?:3|three) clause bsd|new bsd|modified bsd)(?: licen[cs]e)? | clause@2/clause@1/new/modified | bsd
 bsd-4-clause | bsd 4 clause | (?:bsd (?:4|four) clause|(?:4|four) clause bsd|original bsd)(?: licen[cs]e)? | clause@2/clause@1/original | bsd
@@ -83,7 +83,7 @@ eupl-1.2 | eupl 1 2 | (?:european union public licen[cs]e|eupl) (?:v ?|version )
 cddl-1.0 | cddl 1 0 | (?:common development and distribution licen[cs]e|cddl)(?: cddl)?(?: (?:v ?|version )?1 0)? | cddl/common | cddl/development
 cddl-1.1 | cddl 1 1 | (?:common development and distribution licen[cs]e|cddl)(?: cddl)? (?:v ?|version )?1 1 | cddl/common | cddl/development
 cpl-1.0 | cpl 1 0 | common public licen[cs]e(?: (?:v ?|version )?1 0)? | license@2/licence@2 | common
-cpal-1.0 | cpal 1 0 | common public attribution licen[cs]e(?: (?:v ?|version )?1 0)? | attribution | license/licence
+cpal-1.0 | cpal 1 0 | common public attribution licen[cs]e(?: (?:v ?|version )?1 0)? | attribution@2 | license/licence
 ipl-1.0 | ipl 1 0 | ibm public licen[cs]e(?: (?:v ?|version )?1 0)? | ibm | license/licence
 artistic-1.0 | artistic 1 0(?: perl| cl8)? | artistic licen[cs]e (?:v ?|version )?1(?: 0)? | artistic | license/licence
 artistic-2.0 | artistic 2 0 | artistic licen[cs]e (?:v ?|version )?2(?: 0)? | artistic | license/licence
@@ -200,16 +200,16 @@ copyright | 4 | copyrighted | | copyrighted (?:material|work|software|content)
 proprietary | 2 | proprietary | confidential | proprietary and confidential
 proprietary | 2 | proprietary@2 | confidential | confidential and proprietary
 proprietary | 3 | proprietary | | proprietary (?:licen[cs]e|software|information)
-proprietary | 2 | unauthorized | copying | unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:of this (?:file|work|software|document) )?(?:via any medium )?is strictly prohibited
+proprietary | 2 | unauthorized/unauthorised | | unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:of this (?:file|work|software|document) )?(?:via any medium )?is strictly prohibited
 proprietary | 2 | reproduced@3 | permission | may not be reproduced (?:in any form |or distributed )?without (?:prior |written |express )*permission
 non-commercial | 2 | commercial@1 | use | non commercial use only
 non-commercial | 2 | noncommercial | use | noncommercial use only
 commercial | 3 | commercial | license | commercial licen[cs]e
-eula | 2 | license@2 | end | end user licen[cs]e agreement
+eula | 2 | license@2/licence@2 | end | end user licen[cs]e agreement
 eula | 3 | eula | | eula
 fair-use | 4 | use@1 | fair | fair use
 dual | 4 | dual | licensed | dual licensed
-patent | 3 | license@1 | patent | patent licen[cs]e
+patent | 3 | license@1/licence@1 | patent | patent licen[cs]e
 open-source | 4 | opensource | license | opensource org licenses [^ ]+
 """
 
@@ -331,16 +331,15 @@ def scan_licenses(
     matched = marked.select("_row", F.explode(F.filter("_found", lambda d: d["priority"] > 0)).alias("d")).select("_row", "d.*")
     kept = resolve(matched).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "priority", "rule", "label"))).alias("found"))
     kept = cut_lineage(kept)  # of one text each
-    places = F.coalesce(F.filter("_found", lambda d: d["priority"] == 0), F.slice(F.col("_found"), 1, 0))
+    none = F.array().cast("array<struct<start int, stop int, priority int, rule int, label string>>")
+    places = F.coalesce(F.filter("_found", lambda d: d["priority"] == 0), none)
     joined = marked.join(bounded_broadcast(kept), "_row", "left")
-    return joined.select("doc_id", "n_words", places.alias("base"), "found")
+    return joined.select("doc_id", "n_words", places.alias("base"), F.coalesce("found", none).alias("found"))
 
 
 def digest_columns(scanned: DataFrame) -> DataFrame:
     """Counts, first and last base place, labels and score."""
-    text = "array<string>"
-    base = F.coalesce(F.transform("base", lambda d: d["label"]), F.array().cast(text))
-    found = F.coalesce(F.transform("found", lambda d: d["label"]), F.array().cast(text))
+    base, found = (F.transform(c, lambda d: d["label"]) for c in ("base", "found"))
     starts = F.transform("base", lambda d: d["start"].cast("long"))
     listed = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
     best = F.array_min(F.transform("found", lambda d: d["priority"]))
@@ -350,7 +349,7 @@ def digest_columns(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "doc_id",
         "n_words",
-        F.coalesce(F.size("base"), F.lit(0)).cast("long").alias("n_base"),
+        F.size("base").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"),
         listed(base).alias("base_labels"),
