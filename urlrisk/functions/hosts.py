@@ -1,19 +1,19 @@
-"""Host normalization that needs Unicode tables: NFKC, IDNA, scripts and IPv6.
+"""Host text that needs Unicode tables: NFKC, IDNA names and IPv6 text.
 
-Spark has no built-in for these, so one Arrow UDF handles the few hosts that are not plain ASCII names. Rows
-that do not need it pass a null and cost next to nothing in Python.
+Spark has no built-in for these, so one Arrow UDF handles the few hosts that are not plain ASCII names; rows that do not need it pass a null. Scripts, IPv4 in all
+its spellings and the IPv4 ranges are column expressions in :mod:`urlrisk.operators.canonical`, for all hosts alike.
 """
 
 from __future__ import annotations
 
-import ipaddress
-import re
 import sys
-import unicodedata
+from ipaddress import AddressValueError, IPv6Address, IPv6Network
+from unicodedata import normalize
 from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,77 +23,91 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # fixed values: scripts whose mixture inside one label is flagged
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI")
 
-SPECIAL_HOST_TYPE = T.StructType(
-    [T.StructField(name, T.StringType()) for name in ("error", "host", "punycode_host")]
-    + [T.StructField(name, T.BooleanType()) for name in ("is_idn", "has_punycode", "is_mixed_script")]
-    + [T.StructField("ip_address", T.StringType()), T.StructField("is_private_ip", T.BooleanType())]
+# fixed values: IPv6 ranges that count as private, loopback, link-local or reserved, and the public ranges inside them
+LOCAL_V6 = """
+::/8 100::/8 200::/7 400::/6 800::/5 1000::/4 4000::/3 6000::/3 8000::/3 a000::/3 c000::/3 e000::/4 f000::/5 f800::/6 fe00::/9
+2001::/23 2001:db8::/32 2002::/16 fc00::/7 fe80::/10
+""".split()
+PUBLIC_V6 = "2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
+
+
+def _bounds(networks: list[str]) -> list[tuple[int, int]]:
+    return [(int(n.network_address), int(n.broadcast_address)) for n in map(IPv6Network, networks)]
+
+
+LOCAL_BOUNDS, PUBLIC_BOUNDS = _bounds(LOCAL_V6), _bounds(PUBLIC_V6)
+MAPPED = 0xFFFF << 32  # IPv4 inside IPv6 starts here
+
+HOST_TYPE = T.StructType(
+    [
+        T.StructField("error", T.StringType()),
+        T.StructField("host", T.StringType()),
+        T.StructField("punycode_host", T.StringType()),
+        T.StructField("is_idn", T.BooleanType()),
+        T.StructField("has_punycode", T.BooleanType()),
+        T.StructField("v6", T.StringType()),
+        T.StructField("v6_local", T.BooleanType()),
+        T.StructField("v4_number", T.LongType()),
+    ]
 )
 
 
-def _mixes_scripts(host: str) -> bool:
-    for label in host.split("."):
-        words = {unicodedata.name(ch, "").split(" ")[0] for ch in label if ch.isalpha()}
-        if len(words.intersection(SCRIPTS)) > 1:
-            return True
-    return False
+def mixed_script(host: Column) -> Column:
+    """Whether a label of ``host`` has letters of more than one of ``SCRIPTS``."""
+
+    def several(label: Column) -> Column:
+        present = [label.rlike(rf"[\p{{L}}&&\p{{Is{script.capitalize()}}}]").cast("int") for script in SCRIPTS]
+        return sum(present[1:], present[0]) > 1
+
+    # plain ASCII names have one script
+    return F.when(host.rlike(r"[^\x00-\x7F]"), F.exists(F.split(host, r"\."), several)).otherwise(F.lit(False))
 
 
-def _as_ip(host: str):
-    text = host.strip("[]")
+def _idna(name: str) -> tuple[str, str, bool]:
+    """Unicode form, ASCII form, whether the name is international. A name that the codec refuses stays as it is."""
     try:
-        return ipaddress.ip_address(text)
-    except ValueError:
-        pass
-    if re.fullmatch(r"0x[0-9a-fA-F]+|[0-9]+", text):
-        try:
-            value = int(text, 0)
-        except ValueError:  # leading zeros
-            return None
-        if value <= 0xFFFFFFFF:
-            return ipaddress.IPv4Address(value)
-    return None
+        if name.isascii():
+            return (name.encode().decode("idna"), name, True) if "xn--" in name else (name, name, False)
+        return name, name.encode("idna").decode(), True
+    except UnicodeError:
+        return name, name, not name.isascii()
+
+
+def _v6(name: str) -> tuple[str | None, bool, int | None]:
+    """Compressed text, whether it lies in a local range, and the number of an IPv4 address inside it; such a number is judged as IPv4."""
+    try:
+        address = IPv6Address(name.strip("[]"))
+    except AddressValueError:
+        return None, False, None
+    number = int(address)
+    if number >> 32 == MAPPED >> 32:
+        return str(address), False, number - MAPPED
+    within = lambda bounds: any(low <= number <= high for low, high in bounds)
+    return str(address), within(LOCAL_BOUNDS) and not within(PUBLIC_BOUNDS), None
 
 
-def _inspect(netloc: str, host_text: str) -> tuple:
+def _split_error(netloc: str) -> str | None:
     try:
         urlsplit("http://" + netloc)
-    except ValueError as exc:
-        return (f"Malformed URL: {exc}", None, None, None, None, None, None, None)
-    host = unicodedata.normalize("NFKC", host_text.strip(".").lower())
-    punycode, idn, has_punycode = host, False, False
-    if not host.isascii():
-        idn = True
-        try:
-            punycode = host.encode("idna").decode("ascii")
-        except UnicodeError:
-            punycode = host
-    elif "xn--" in host:
-        has_punycode = True
-        try:
-            host = punycode.encode("ascii").decode("idna")
-            idn = True
-        except UnicodeError:
-            pass
-    mixed = _mixes_scripts(host)
-    ip = _as_ip(host)
-    if ip is None:
-        return (None, host, punycode, idn, has_punycode, mixed, None, False)
-    private = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved
-    return (None, str(ip), str(ip), idn, has_punycode, mixed, str(ip), private)
-
-
-@F.pandas_udf(SPECIAL_HOST_TYPE)
-def inspect_host(netloc: pd.Series, host_text: pd.Series) -> pd.DataFrame:
+    except ValueError as refused:
+        return f"Malformed URL: {refused}"
+    return None
+
+
+@F.pandas_udf(HOST_TYPE)
+def unicode_host(netloc: pd.Series, host_text: pd.Series) -> pd.DataFrame:
     """Normalize special hosts; null in, null out. Each distinct pair of a batch is worked on once."""
-    columns = SPECIAL_HOST_TYPE.names
-    out = pd.DataFrame(index=netloc.index, columns=columns, dtype=object)
-    asked = netloc.notna()
-    if asked.any():
-        known: dict[tuple, tuple] = {}
-        rows = []
-        for pair in zip(netloc[asked], host_text[asked]):
-            if pair not in known:
-                known[pair] = _inspect(*pair)
-            rows.append(known[pair])
-        out.loc[asked] = pd.DataFrame(rows, index=netloc.index[asked], columns=columns, dtype=object)
+    asked = pd.DataFrame({"netloc": netloc, "text": host_text}).dropna()
+    out = pd.DataFrame(None, index=netloc.index, columns=HOST_TYPE.names, dtype=object)
+    if asked.empty:
+        return out
+    distinct = asked.drop_duplicates()
+    rows = []
+    for pair in distinct.itertuples(index=False):
+        folded = normalize("NFKC", pair.text.strip(".").lower())
+        name, ascii_name, international = _idna(folded)
+        encoded = folded.isascii() and "xn--" in folded
+        rows.append((_split_error(pair.netloc), name, ascii_name, international, encoded, *_v6(name)))
+    known = pd.DataFrame(rows, index=pd.MultiIndex.from_frame(distinct), columns=HOST_TYPE.names, dtype=object)
+    out.loc[asked.index] = known.loc[pd.MultiIndex.from_frame(asked)].to_numpy()
     return out.where(out.notna(), None)

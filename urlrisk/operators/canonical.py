@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.functions.hosts import inspect_host
+from urlrisk.functions.hosts import mixed_script, unicode_host
 from urlrisk.functions.planning import computed_stage
 from urlrisk.functions.text import strip
 from urlrisk.sources.suffixes import MAX_RULE_ROWS, SuffixRules, builtin_rules
@@ -221,16 +221,18 @@ def canonicalize_urls(
     special = c("_netloc").rlike(r"[^\x00-\x7F]|[\[\]]|(?i:xn--)") | F.contains(c("_host_text"), F.lit(":"))
     df = df.withColumns({"_special": special, "_ascii": F.lower(F.btrim(c("_host_text"), F.lit(".")))})
     asked = lambda name: F.when(c("_special"), c(name))
-    df = df.withColumn("_sp", inspect_host(asked("_netloc"), asked("_host_text")))
-    ascii_host = F.when(~c("_special"), c("_ascii"))
-    octet = lambda i: F.element_at(F.split(ascii_host, r"\."), i).cast("bigint")
-    hex_digits = F.regexp_replace(F.substr(ascii_host, F.lit(3)), "^0+", "")
+    df = df.withColumn("_sp", unicode_host(asked("_netloc"), asked("_host_text")))
+    df = df.withColumn("_named", F.when(c("_special"), c("_sp.host")).otherwise(c("_ascii")))
+    # digits first: most names are done after one look
+    digits = F.btrim(c("_named"), F.lit("[]"))
+    octet = lambda i: F.element_at(F.split(digits, r"\."), i).cast("bigint")
+    hex_digits = F.regexp_replace(F.substr(digits, F.lit(3)), "^0+", "")
     ip_number = F.when(
-        ascii_host.rlike(r"^[0-9]"),
-        F.when(ascii_host.rlike(_DOTTED), ((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4))
-        .when(ascii_host.rlike(r"^(?:0+|[1-9][0-9]{0,9})\z"), F.substr(ascii_host, F.lit(-10)).cast("bigint"))
+        c("_named").rlike(r"^\[?[0-9]"),
+        F.when(digits.rlike(_DOTTED), ((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4))
+        .when(digits.rlike(r"^(?:0+|[1-9][0-9]{0,9})\z"), F.substr(digits, F.lit(-10)).cast("bigint"))
         .when(
-            ascii_host.rlike(r"^0x[0-9a-f]+\z") & (F.length(hex_digits) <= 8),
+            digits.rlike(r"^0x[0-9a-f]+\z") & (F.length(hex_digits) <= 8),
             F.conv(F.concat(F.lit("0"), hex_digits), 16, 10).cast("bigint"),
         ),
     )
@@ -239,20 +241,21 @@ def canonicalize_urls(
     dotted = F.concat_ws(
         ".", *[F.shiftright("_ipn", s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
     )
+    judged = F.coalesce("_ipn", "_sp.v4_number")
     private_v4 = F.lit(False)
     for first, last in _PRIVATE_V4:
-        private_v4 = private_v4 | c("_ipn").between(_ip_number(first), _ip_number(last))
+        private_v4 = private_v4 | judged.between(_ip_number(first), _ip_number(last))
     is_v4 = c("_ipn").isNotNull()
     unsupported = ~c("_scheme").isin("http", "https")
     df = df.withColumns(
         {
-            "_ip": F.when(is_v4, dotted).otherwise(c("_sp.ip_address")),
-            "_host": F.when(is_v4, dotted).otherwise(F.coalesce(c("_sp.host"), c("_ascii"))),
-            "_puny": F.when(is_v4, dotted).otherwise(F.coalesce(c("_sp.punycode_host"), c("_ascii"))),
-            "_private": F.when(is_v4, private_v4).otherwise(F.coalesce(c("_sp.is_private_ip"), F.lit(False))),
+            "_ip": F.when(is_v4, dotted).otherwise(c("_sp.v6")),
+            "_host": F.when(is_v4, dotted).otherwise(F.coalesce(c("_sp.v6"), c("_named"))),
+            "_puny": F.when(is_v4, dotted).otherwise(F.coalesce(c("_sp.v6"), c("_sp.punycode_host"), c("_ascii"))),
+            "_private": F.when(judged.isNotNull(), private_v4).otherwise(F.coalesce(c("_sp.v6_local"), F.lit(False))),
             "_idn": F.coalesce(c("_sp.is_idn"), F.lit(False)),
             "_has_puny": F.coalesce(c("_sp.has_punycode"), F.lit(False)),
-            "_mixed": F.coalesce(c("_sp.is_mixed_script"), F.lit(False)),
+            "_mixed": mixed_script(c("_named")),
             "_error": F.coalesce(
                 c("_err0"),
                 c("_sp.error"),
