@@ -31,3 +31,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         changed = jumped.where("root <> old").count()
         roots = jumped.select("node", "root")
     return roots
+
+
+def merge_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after edges (a, b) between components: only roots, and nodes that had no edge before, enter the rounds."""
+    edges = cut_lineage(edges.where("a <> b").distinct())
+    if not edges.limit(1).count():
+        return roots
+    joined = connected_components(edges).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    every = roots.select("node", "root").unionByName(joined.select(F.col("_n").alias("node"), F.col("_n").alias("root"))).distinct()
+    return cut_lineage(every.join(joined, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")))

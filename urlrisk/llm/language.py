@@ -89,8 +89,8 @@ def fit(labelled: DataFrame, train: int = TRAIN) -> Model:
 
     sums = sample.mapInPandas(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages), BUCKETS))
-    for r in sums.collect():  # at most languages x buckets
-        table[r["lang"], r["bucket"]] = r["n"]
+    rows = sums.toArrow()  # at most languages x buckets
+    table[rows["lang"].to_numpy(), rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     logs = np.log((table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).T.astype(np.float32)
     model = Model(languages, np.ascontiguousarray(logs), np.zeros(len(languages)))
 

@@ -17,7 +17,8 @@ shingles of a large group of copies are frequent, and a wide range would let two
 5. A key whose texts are then still in different components may hold links that no leader meets (a crowd that shares a passage and no
    more). Its texts are dealt to blocks of at most about ``SIDE`` texts and ``SIDE_CHARS`` characters, and all blocks are compared with each other, exactly; of
    a component that holds most of the key, only with the other texts. So two texts that share a band's key are compared or in one component.
-6. Connected components of the verified links are the classes.
+   Each two blocks hand on a forest at most, and each two components one link.
+6. Connected components of the verified links are the classes. Later links join components, so only components enter the later rounds.
 
 Cases: texts without words (null, empty, blank) are alone, even among themselves. Shorter texts than five words are one shingle. Rows with the same id
 count as one document with equal texts, and as separate texts of one id otherwise (the id is then linked as a whole). A null id is left out. An empty
@@ -35,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlrisk.llm.common import bound_batches
-from urlrisk.llm.components import connected_components
+from urlrisk.llm.components import connected_components, merge_components
 from urlrisk.llm.textarrays import chunks, mix, shingles, word_hashes
 from urlrisk.operators.ordering import cut_lineage
-from urlrisk.operators.skew import bounded_broadcast
+from urlrisk.operators.skew import bounded_broadcast, lookup_join
 
 THRESHOLD = 0.8
 BANDS = 14
@@ -74,8 +75,8 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
 def idf_table(docs: DataFrame) -> np.ndarray:
     """Weight of each bucket: 1 for buckets of the average share or less, down to 1 - IDF_PART for a bucket that holds everything."""
     counts = np.zeros(BUCKETS)
-    for row in bucket_counts(docs).collect():  # at most BUCKETS rows
-        counts[row["bucket"]] = row["n"]
+    rows = bucket_counts(docs).toArrow()  # at most BUCKETS rows
+    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     share = counts * BUCKETS / max(1.0, counts.sum())
     return (1 - IDF_PART * np.log(np.maximum(share, 1.0)) / math.log(BUCKETS)).astype(np.float32)
 
@@ -252,9 +253,34 @@ def similarities(texts: list[str], sizes: np.ndarray, idf: np.ndarray) -> Iterat
         yield out / np.maximum(weights[:, None] + weights[None, :] - out, 1e-9)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The places of the edges that join parts which the edges before them leave apart."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
+def one_link_each(links: DataFrame) -> DataFrame:
+    """Of the links (a, b, similarity, r, s) between the same two components r and s, the most alike."""
+    best = F.max(F.struct("similarity", (-F.col("a")).alias("_a"), (-F.col("b")).alias("_b"), "a", "b")).alias("_l")
+    return links.groupBy("r", "s").agg(best).select("_l.a", "_l.b", "_l.similarity", "r", "s")
+
+
 def mixed_key_links(keyed: DataFrame, chosen: DataFrame, roots: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b, similarity): for each two components with a link inside a key, a link between them; by comparison of all texts of the key. Keys of three
-    texts or fewer are left out: leaders meet all of them."""
+    """(a, b, similarity, r, s): links that join all components with a link inside a key; by comparison of all texts of the key. Keys of three
+    texts or fewer are left out: leaders meet all of them. Each two blocks give a forest of links at most, and each two components r, s one link."""
     bands = keyed.where(F.col("band") < BANDS).select("key", "doc_id")
     root = roots.select(F.col("node").alias("doc_id"), "root")
     sized = chosen.select("doc_id", "chars").join(root, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -304,11 +330,14 @@ def mixed_key_links(keyed: DataFrame, chosen: DataFrame, roots: DataFrame, docs:
                 i, j = np.nonzero(square >= threshold)
                 i, j, value = i + begin[g], j + begin[g], square[i, j]
                 apart = (root[i] != root[j]) & (i < j)
-                if apart.any():
-                    i, j, value = i[apart], j[apart], value[apart]
-                    out = pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "similarity": value})
-                    out["r"], out["s"] = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-                    yield out.sort_values("similarity", ascending=False).drop_duplicates(["r", "s"])[["a", "b", "similarity"]]
+                i, j, value = i[apart], j[apart], value[apart]
+                best = np.argsort(-value, kind="stable")
+                low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+                pick = best[forest(low[best], high[best])]
+                if len(pick):
+                    x, y = ids[i[pick]], ids[j[pick]]
+                    columns = {"a": np.minimum(x, y), "b": np.maximum(x, y), "similarity": value[pick], "r": low[pick], "s": high[pick]}
+                    yield pd.DataFrame(columns)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -325,22 +354,23 @@ def mixed_key_links(keyed: DataFrame, chosen: DataFrame, roots: DataFrame, docs:
         if rest is not None:
             yield from links(rest, np.array([0]))
 
-    return grouped.mapInPandas(compare, "a long, b long, similarity double").dropDuplicates(["a", "b"])
+    return one_link_each(grouped.mapInPandas(compare, "a long, b long, similarity double, r long, s long"))
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(doc_id, class_id, copy_of, links): the class's smallest id, the smallest id with equal words, and the number of verified links
-    to other texts."""
+    """(doc_id, class_id, copy_of, links): the class's smallest id, the smallest id with equal words, and the number of links
+    to other texts that hold the class together."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull())
     bound_batches(docs.sparkSession)
     idf = idf_table(rows)
     signed = cut_lineage(signatures(rows, idf))
-    firsts = signed.groupBy("same").agg(F.min("doc_id").alias("first"))
-    members = signed.select("doc_id", "same").join(firsts, "same").select("doc_id", "first").distinct()
-    members = cut_lineage(members)
+    # groups of copies only: other texts are their own first
+    copied = signed.groupBy("same").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    members = lookup_join(signed.select("doc_id", "same"), cut_lineage(copied), ["same"])
+    members = cut_lineage(members.select("doc_id", F.coalesce("_first", "doc_id").alias("first")).distinct())
     chosen = cut_lineage(signed.join(members.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").drop("same"))
 
     keyed = chosen.select("doc_id", F.posexplode("keys").alias("band", "key"))
@@ -362,19 +392,28 @@ def near_duplicates(
     rest = alike.join(best, ["a", "b"], "left_anti")
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
     rb = roots.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
-    apart = F.coalesce("_ra", "a") != F.coalesce("_rb", "b")
-    rest = cut_lineage(rest.join(ra, "a", "left").join(rb, "b", "left").where(apart).select("a", "b"))
-    links = cut_lineage(links.unionByName(verify(rest, rows, idf, threshold)))
+    sides = F.coalesce("_ra", "a"), F.coalesce("_rb", "b")
+    rest = rest.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.least(*sides).alias("r"), F.greatest(*sides).alias("s"))
+    rest = cut_lineage(rest.where("r <> s"))
+    more = cut_lineage(one_link_each(verify(rest.select("a", "b"), rows, idf, threshold).join(rest, ["a", "b"])))
+    roots = merge_components(roots, more.select(F.col("r").alias("a"), F.col("s").alias("b")))
     # keys whose texts are still apart
-    roots = connected_components(links)
-    links = cut_lineage(links.unionByName(mixed_key_links(keyed, chosen, roots, rows, idf, threshold)))
+    mixed = cut_lineage(mixed_key_links(keyed, chosen, roots, rows, idf, threshold))
+    roots = merge_components(roots, mixed.select(F.col("r").alias("a"), F.col("s").alias("b")))
+    links = links.unionByName(more.drop("r", "s")).unionByName(mixed.drop("r", "s"))
 
     # an id with different texts links them
-    edges = links.select("a", "b").unionByName(members.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    roots = connected_components(edges)
+    several = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    same_id = members.join(bounded_broadcast(cut_lineage(several)), "doc_id").select("a", F.col("first").alias("b")).where("a <> b")
+    top = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    for side in ("a", "b"):
+        same_id = same_id.join(top, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_r", side)).drop("_n", "_r")
+    roots = merge_components(roots, same_id)
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
     copies = members.groupBy("doc_id").agg(F.min("first").alias("copy_of")).join(degree.withColumnRenamed("first", "copy_of"), "copy_of", "left")
-    known = copies.join(roots, copies["doc_id"] == roots["node"], "left").select("doc_id", "root", "copy_of", "links")
+    known = copies.join(roots, copies["copy_of"] == roots["node"], "left").select(
+        "doc_id", F.coalesce("root", "copy_of").alias("root"), "copy_of", "links"
+    )
     out = rows.select("doc_id").distinct().join(known, "doc_id", "left")
     return out.select(
         "doc_id",
