@@ -328,4 +328,4 @@ def scan_lookup(spark, folder):
 
 
 # more queries are registered by these modules
-from urlrisk.plans import registry_data, registry_models, registry_monitor, registry_stored  # noqa: E402,F401
+from urlrisk.plans import registry_data, registry_models, registry_monitor, registry_stored, registry_text  # noqa: E402,F401
