@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlrisk.functions.privacy import defang
 from urlrisk.operators.evaluate import curve_points, roc_auc_expr, score_counts
-from urlrisk.operators.features import FEATURE_FAMILIES, FEATURE_NAMES
+from urlrisk.operators.features import FEATURE_NAMES
 from urlrisk.operators.ordering import cut_lineage, global_running
 from urlrisk.operators.skew import bounded_broadcast, lookup_join
 
@@ -105,38 +108,86 @@ def _poisson_table(most: int) -> list[list[float]]:
     return out
 
 
+_POISSON = [np.array(row) for row in _poisson_table(POISSON_EXACT)]
+
+
+def _draws(counts: np.ndarray, keys: Sequence[str], resamples: int) -> np.ndarray:
+    """Poisson draws, one row per count and one column per resample, from SHA-256 of each key and a block number: eight draws a block."""
+    blocks = range((resamples + 7) // 8)
+
+    def uniform(tag: str) -> np.ndarray:
+        text = b"".join(hashlib.sha256(f"{key}:{tag}:{b}".encode()).digest() for key in keys for b in blocks)
+        return (np.frombuffer(text, ">u4").reshape(len(keys), -1)[:, :resamples] + 0.5) / 2.0**32
+
+    u, out = uniform("u"), np.zeros((len(keys), resamples), np.int64)
+    for k in np.unique(counts[counts <= POISSON_EXACT]):
+        at = counts == k
+        out[at] = np.searchsorted(_POISSON[k], u[at], "left")
+    large = counts > POISSON_EXACT
+    if large.any():
+        n, v = counts[large, None].astype(float), uniform("v")[large]
+        out[large] = np.maximum(np.rint(n + np.sqrt(n) * np.sqrt(-2 * np.log(u[large])) * np.cos(2 * np.pi * v)), 0)
+    return out
+
+
 def bootstrap_auc(
     df: DataFrame, label: str = "label", score: str = "score", resamples: int = 1000, seed: int = 7, group_cols: Sequence[str] = ()
 ) -> DataFrame:
     """95 % interval of ROC-AUC by Poisson bootstrap.
 
     Resampling happens on the counts per score, so rows are never copied. A count k becomes a Poisson(k) draw from
-    a hash of (resample, group, score): from the exact distribution up to ``POISSON_EXACT``, beyond it a rounded normal of the
-    same mean and variance. Every run gives the same interval.
+    a hash of (seed, group, score to 6 digits, side, resample): from the exact distribution up to ``POISSON_EXACT``, beyond it a rounded normal of the
+    same mean and variance. Every run gives the same interval. The counts are sorted once; each range partition keeps three running sums for all resamples,
+    and one row per partition and group is left to add up.
     """
     groups = list(group_cols)
     counts = score_counts(df, label, score, groups)
-    copies = counts.select(*groups, "score", "pos", "neg", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    exact = F.array(*[F.array(*map(F.lit, row)).cast("array<double>") for row in _poisson_table(POISSON_EXACT)])
-
-    def draw(count: Column, side: int) -> Column:
-        unit = lambda salt: (
-            F.pmod(F.xxhash64("resample", *groups, "score", F.lit(side), F.lit(salt), F.lit(seed)), F.lit(1 << 30)) + 0.5
-        ) / (1 << 30)
-        small = F.size(F.filter(F.get(exact, F.least(count, F.lit(POISSON_EXACT)).cast("int")), lambda c: c < unit(1)))
-        normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.lit(math.pi) * unit(2))
-        large = F.greatest(F.round(count + F.sqrt(count.cast("double")) * normal), F.lit(0))
-        return F.when(count <= POISSON_EXACT, small.cast("double")).otherwise(large).cast("long")
-
-    resampled = copies.select(
-        *groups, "resample", "score", draw(F.col("pos"), 1).alias("pos"), draw(F.col("neg"), 0).alias("neg")
-    )
-    aucs = curve_points(resampled, [*groups, "resample"]).groupBy(*groups, "resample").agg(roc_auc_expr().alias("auc"))
-    return aucs.groupBy(*groups).agg(
-        F.round(F.percentile("auc", F.lit(0.025)), 4).alias("low"),
-        F.round(F.percentile("auc", F.lit(0.5)), 4).alias("median"),
-        F.round(F.percentile("auc", F.lit(0.975)), 4).alias("high"),
-    )
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(g).cast("string") for g in groups]).alias("_name")
+    order = [*groups, F.desc("score")]
+    spread = counts.repartitionByRange(*order).sortWithinPartitions(*order).select(name, "score", "pos", "neg", F.spark_partition_id().alias("part"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums = None, np.zeros((3, resamples), np.int64)
+
+        def row() -> pd.DataFrame:
+            return pd.DataFrame({"_name": [now[0]], "part": [now[1]], "pos": [sums[0]], "neg": [sums[1]], "twice": [sums[2]]})
+
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                chunk = batch.iloc[start : start + 256]
+                for group, rows in chunk.groupby(["_name", "part"], sort=False):
+                    if group != now:
+                        if now is not None:
+                            yield row()
+                        now, sums = group, np.zeros((3, resamples), np.int64)
+                    texts = [f"{group[0]}:{s:.6f}" for s in rows["score"]]
+                    pos = _draws(rows["pos"].to_numpy(), [f"{t}:1" for t in texts], resamples)
+                    neg = _draws(rows["neg"].to_numpy(), [f"{t}:0" for t in texts], resamples)
+                    before = sums[0] + np.cumsum(pos, axis=0) - pos
+                    sums[2] += (neg * (2 * before + pos)).sum(axis=0)
+                    sums[0] += pos.sum(axis=0)
+                    sums[1] += neg.sum(axis=0)
+        if now is not None:
+            yield row()
+
+    vectors = "pos array<long>, neg array<long>, twice array<long>"
+    parts = spread.mapInPandas(add, f"_name string, part int, {vectors}")
+
+    def interval(rows: pd.DataFrame) -> pd.DataFrame:  # one row per partition
+        pos, neg, twice = np.zeros((3, resamples))
+        for r in rows.sort_values("part").itertuples():
+            twice = twice + r.twice + 2 * pos * r.neg
+            pos, neg = pos + r.pos, neg + r.neg
+        known = (pos > 0) & (neg > 0)
+        auc = twice[known] / (2 * pos[known] * neg[known])
+        low, median, high = np.quantile(auc, [0.025, 0.5, 0.975]) if len(auc) else [None] * 3
+        return pd.DataFrame({"_name": rows["_name"].iloc[:1], "low": [low], "median": [median], "high": [high]})
+
+    bounds = parts.groupBy("_name").applyInPandas(interval, "_name string, low double, median double, high double")
+    rounded = [F.round(c, 4).alias(c) for c in ("low", "median", "high")]
+    if not groups:
+        return bounds.select(*rounded)
+    return bounds.join(bounded_broadcast(counts.select(*groups, name).distinct()), "_name").select(*groups, *rounded)
 
 
 def population_stability(train: DataFrame, current: DataFrame, names: Sequence[str] = FEATURE_NAMES, bins: int = PSI_BINS) -> DataFrame:
@@ -235,8 +286,3 @@ def triage(scans: DataFrame, top: int | None = None) -> DataFrame:
     rows = scans.select("risk_score", "verdict", "confidence", "registered_domain", "url_sha256", defang(shown).alias("url_defanged"))
     ordered = rows.orderBy(F.desc("risk_score"), "url_sha256")
     return ordered if top is None else ordered.limit(top)
-
-
-def family_names(without: str) -> list[str]:
-    """Feature names without one family, for ablation runs."""
-    return sorted(n for fam, names in FEATURE_FAMILIES.items() if fam != without for n in names.split())

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from urlrisk.operators import evaluate, monitor
-from urlrisk.operators.features import FEATURE_NAMES, extract_features
+from urlrisk.operators import ablation, evaluate, monitor
+from urlrisk.operators.canonical import canonicalize_urls
+from urlrisk.operators.features import FEATURE_FAMILIES, FEATURE_NAMES, extract_features
 from urlrisk.plans import oracle as o
 from urlrisk.plans.registry import _BASE, _SCAN, K, KEYS, listed_scan, parsed_corpus, register, table
 from urlrisk.plans.registry_data import (
@@ -86,7 +87,25 @@ def f1_at_threshold(spark, folder):
     return monitor.f1_at(scored_corpus(spark, folder), 0.5, group_cols=["model"])
 
 
-@register("bootstrap_auc")
+_POISSON = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]::DOUBLE[]" for row in monitor._poisson_table(monitor.POISSON_EXACT)) + "]"
+
+
+@register(
+    "bootstrap_auc",
+    f"""{_SCORED}, sides AS (SELECT model, score, 1 AS side, pos AS k FROM cnt UNION ALL SELECT model, score, 0, neg FROM cnt),
+keyed AS (SELECT *, '7:' || model || ':' || printf('%.6f', score) || ':' || side AS key, unnest(range(125)) AS b FROM sides),
+hashed AS (SELECT *, sha256(key || ':u:' || b) AS h, CASE WHEN k > 30 THEN sha256(key || ':v:' || b) END AS h2 FROM keyed),
+drawn AS (SELECT model, score, side, k, b * 8 + j AS resample, (CAST('0x' || substr(h, 8 * j + 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u,
+  (CAST('0x' || substr(h2, 8 * j + 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS v FROM (SELECT *, unnest(range(8)) AS j FROM hashed)),
+poisson AS (SELECT {_POISSON} AS t),
+sampled AS (SELECT model, score, resample, sum(n) FILTER (WHERE side = 1) AS pos, sum(n) FILTER (WHERE side = 0) AS neg FROM (
+  SELECT model, score, resample, side, CASE WHEN k <= 30 THEN len(list_filter(t[CAST(k + 1 AS BIGINT)], lambda c: c < u))
+    ELSE greatest(round(k + sqrt(k::DOUBLE) * sqrt(-2 * ln(u)) * cos(2 * pi() * v)), 0) END AS n FROM drawn, poisson) GROUP BY ALL),
+summed AS (SELECT *, sum(pos) OVER (PARTITION BY model, resample ORDER BY score DESC) AS tp FROM sampled),
+aucs AS (SELECT model, resample, sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) AS auc FROM summed GROUP BY ALL)
+SELECT model, round(quantile_cont(auc, 0.025), 4) AS low, round(quantile_cont(auc, 0.5), 4) AS median, round(quantile_cont(auc, 0.975), 4) AS high
+FROM aucs GROUP BY model""",
+)
 def bootstrap_auc(spark, folder):
     return monitor.bootstrap_auc(scored_corpus(spark, folder), resamples=1000, group_cols=["model"])
 
@@ -207,3 +226,29 @@ def promotion_gate(spark, folder):
         report.filter("model = 'a'"), report.filter("model = 'b'"), {"roc_auc": 0.01, "average_precision": 0.01}
     )
     return gate.select(F.col("promote").cast("int").alias("promote"))
+
+
+def _ablation(spark, folder):
+    rows = extract_features(canonicalize_urls(split_table(spark, folder).select("url_raw", "label", "split"), "url_raw"))
+    return ablation.family_ablation(rows.where("split = 'train'"), rows.where("split = 'test'"))
+
+
+_FAMILY = ", ".join(f"('{f}', {len(FEATURE_NAMES) - len(m.split())})" for f, m in FEATURE_FAMILIES.items())
+
+
+@register(
+    "family_ablation",
+    f"""{_SPLIT}, n AS (SELECT sum(label) AS n_pos, sum(1 - label) AS n_neg FROM split_data WHERE split = 'test')
+SELECT f AS without, k AS n_features, n_pos, n_neg, 1 AS ordered FROM (VALUES ('none', {len(FEATURE_NAMES)}), {_FAMILY}) v(f, k), n""",
+    ints="n_features n_pos n_neg ordered",
+)
+def family_ablation(spark, folder):
+    """AUC of a linear scorer without each feature family; SQL knows the counts, and that the full scorer ranks well above chance."""
+    out = _ablation(spark, folder)
+    ordered = (F.col("roc_auc") > 0.75) & (F.col("loss") > -0.1)
+    return out.select("without", *[F.col(c).cast("long").alias(c) for c in ("n_features", "n_pos", "n_neg")], ordered.cast("long").alias("ordered"))
+
+
+@register("family_losses")
+def family_losses(spark, folder):
+    return _ablation(spark, folder)
