@@ -36,7 +36,7 @@ def _per_model(spark, folder, work):
 def isotonic_fit(spark, folder):
     def fit(rows):
         levels = rows.groupBy("score").agg(F.count("*").alias("n"))
-        return calibrate.fit_isotonic(rows).apply(levels).select("score", "n", F.round("calibrated", 6).alias("calibrated"))
+        return calibrate.apply_knots(levels, calibrate.isotonic_knots(rows)).select("score", "n", F.round("calibrated", 6).alias("calibrated"))
 
     return _per_model(spark, folder, fit)
 
