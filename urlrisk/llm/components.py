@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.operators.ordering import cut_lineage
 
-#: An edge table of at most so many rows is spread over few tasks, and its roots are broadcast.
+#: An edge table of at most so many rows is spread over few tasks.
 SMALL = 200_000
 FEW_TASKS = 8
 
@@ -23,18 +23,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = cut_lineage(both)
     small = both.count() <= SMALL
     few = (lambda df: df.coalesce(FEW_TASKS)) if small else (lambda df: df)
-    side = F.broadcast if small else (lambda df: df)  # at most a row per edge
     both = few(both)
     roots = cut_lineage(few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))))
     changed = 1
     while changed:
-        near = both.join(side(roots), both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("m"))
+        near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("m"))
         taken = roots.join(near, roots["node"] == near["a"], "left").select(
             "node", F.col("root").alias("old"), F.least("root", F.coalesce("m", "root")).alias("new")
         )
         taken = cut_lineage(few(taken))
         up = taken.select(F.col("node").alias("_n"), F.col("new").alias("_up"))
-        jumped = taken.join(side(up), F.col("new") == F.col("_n"), "left").select("node", "old", F.least("new", F.coalesce("_up", "new")).alias("root"))
+        jumped = taken.join(up, F.col("new") == F.col("_n"), "left").select("node", "old", F.least("new", F.coalesce("_up", "new")).alias("root"))
         jumped = cut_lineage(few(jumped))
         changed = jumped.where("root <> old").count()
         roots = jumped.select("node", "root")
