@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from urlrisk.functions.hosts import mixed_script, unicode_host
 from urlrisk.functions.planning import computed_stage
 from urlrisk.functions.text import strip
+from urlrisk.operators.skew import fits_broadcast
 from urlrisk.sources.suffixes import MAX_RULE_ROWS, SuffixRules, builtin_rules
 
 MAX_URL_LENGTH = 8192  # fixed value: longer URLs are rejected
+RULE_SLOTS = 1 << 14
 
 PARSED_FIELDS = (
     "raw canonical scheme netloc host port registered_domain subdomain suffix path query fragment "
@@ -120,34 +122,45 @@ def suffix_label_count(host: Column, rules: SuffixRules) -> Column:
     return F.lit(0) if chain is None else chain.otherwise(0)
 
 
-def _suffix_count_from_table(df: DataFrame, host: str, rules: DataFrame) -> DataFrame:
-    """Add ``_k``, the suffix label count, by broadcast lookups of a rule table, one per rule depth."""
-    rules = rules.select("rule", "kind", (F.size(F.split("rule", r"\."))).alias("_depth"))
-    rows = rules.count()
-    if rows > MAX_RULE_ROWS:
-        raise ValueError(f"suffix rule table has {rows} rows; at most {MAX_RULE_ROWS} are expected")
-    max_depth = rules.agg(F.max("_depth")).first()[0] or 1
-    df = df.withColumn("_labels", F.size(F.split(host, r"\.")))
-    kinds = rules.groupBy("rule", "_depth").agg(
-        F.max((F.col("kind") == "normal").cast("int")).alias("_n"),
-        F.max((F.col("kind") == "wildcard").cast("int")).alias("_w"),
-        F.max((F.col("kind") == "exception").cast("int")).alias("_e"),
+def packed_rules(rules: DataFrame) -> DataFrame:
+    """One row with ``_rules``: a suffix rule table as an array of ``RULE_SLOTS`` short lists, a rule in the slot of its hash; and ``_depth``, the labels of the longest rule.
+
+    The table's rows and bytes are checked first.
+    """
+    if not fits_broadcast(rules.select("rule", "kind"), MAX_RULE_ROWS):
+        raise ValueError(f"the suffix rule table is larger than {MAX_RULE_ROWS} rows or the broadcast bound in bytes")
+    is_kind = lambda kind: F.max(F.col("kind") == kind)
+    kinds = rules.groupBy("rule").agg(is_kind("normal").alias("normal"), is_kind("wildcard").alias("wildcard"), is_kind("exception").alias("exception"))
+    slots = kinds.groupBy(_rule_slot(F.col("rule")).alias("slot")).agg(
+        F.collect_list(F.struct("rule", "normal", "wildcard", "exception")).alias("held"), F.max(F.size(F.split("rule", r"\."))).alias("depth")
     )
-    for d in range(1, max_depth + 1):
-        level = kinds.filter(F.col("_depth") == d).select(
-            F.col("rule").alias(f"_r{d}"), F.struct("_n", "_w", "_e").alias(f"_m{d}")
+    every = rules.sparkSession.range(RULE_SLOTS).select(F.col("id").cast("int").alias("slot")).join(F.broadcast(slots), "slot", "left")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("slot", "held"))), lambda x: x["held"])
+    return every.agg(listed.alias("_rules"), F.coalesce(F.max("depth"), F.lit(1)).alias("_depth"))
+
+
+def _rule_slot(rule: Column) -> Column:
+    return F.pmod(F.xxhash64(rule), F.lit(RULE_SLOTS)).cast("int")
+
+
+def _suffix_count_from_table(df: DataFrame, host: str, rules: DataFrame) -> DataFrame:
+    """Add ``_k``, the suffix label count: each ending of the host is looked up in its slot of the packed table, whatever the depth of the rules. One broadcast row, no shuffle."""
+    name, labels = F.col(host), F.size(F.split(host, r"\."))
+    depths = F.sequence(F.lit(1), F.greatest(F.least(labels, F.col("_depth")), F.lit(1)))
+
+    def matched(d: Column) -> Column:
+        ending = F.call_function("substring_index", name, F.lit("."), -d)
+        rule = F.get(F.filter(F.get(F.col("_rules"), _rule_slot(ending)), lambda r: r["rule"] == ending), F.lit(0))
+        return F.struct(
+            F.when(rule["exception"], d - 1).alias("exception"),
+            F.greatest(F.when(rule["normal"], d), F.when(rule["wildcard"] & (labels > d), d + 1)).alias("rule"),
         )
-        df = df.withColumn(f"_r{d}", F.substring_index(host, ".", -d))
-        df = df.join(F.broadcast(level), f"_r{d}", "left")
-    exceptions = [F.when((F.col(f"_m{d}._e") == 1) & (F.col("_labels") >= d), d - 1) for d in range(max_depth, 0, -1)]
-    matches = []
-    for d in range(1, max_depth + 1):
-        enough = F.col("_labels") >= d
-        matches.append(F.when((F.col(f"_m{d}._n") == 1) & enough, d))
-        matches.append(F.when((F.col(f"_m{d}._w") == 1) & (F.col("_labels") >= d + 1), d + 1))
-    best = F.greatest(*matches, F.lit(0))
-    df = df.withColumn("_k", F.coalesce(*exceptions, best))
-    return df.drop("_labels", *[f"_r{d}" for d in range(1, max_depth + 1)], *[f"_m{d}" for d in range(1, max_depth + 1)])
+
+    found = F.transform(depths, matched)
+    df = df.crossJoin(F.broadcast(packed_rules(rules)))
+    df = df.withColumn("_found", F.when(name.isNotNull(), found))
+    best = lambda field: F.array_max(F.transform("_found", lambda m: m[field]))
+    return df.withColumn("_k", F.coalesce(best("exception"), best("rule"), F.lit(0))).drop("_rules", "_depth", "_found")
 
 
 def canonicalize_urls(

@@ -12,7 +12,7 @@ from urlrisk.plans import oracle as o
 from urlrisk.plans.registry import _BASE, _SCAN, K, KEYS, corpus, listed_scan, register, table
 from urlrisk.plans.registry_data import _FEEDBACK, feedback_table
 from urlrisk.sources import files
-from urlrisk.streaming import feed, scan
+from urlrisk.streaming import feed, feed_table, scan
 
 # --- files ---------------------------------------------------------------------------------------------------
 
@@ -105,6 +105,45 @@ def verdict_stream(spark, folder):
     return scan.verdict_counts(spark.read.schema(schema).parquet(f"{path}/scans"))
 
 
+@register(
+    "feed_table_stream",
+    """WITH s AS (SELECT event_type AS source, 'http://drop' || CAST(user_id AS VARCHAR) || '.biz/a' AS url, ts FROM events)
+SELECT source, sha256(url) AS url_sha256, url, min(ts) AS first_seen, max(ts) AS last_seen FROM s GROUP BY source, url""",
+)
+def feed_table_stream(spark, folder):
+    """The same feed in hash-prefix partitions: errors first, then everything, by two queries."""
+    path = shared_folder(spark, "feed")
+    url = F.concat(F.lit("hxxp://drop"), F.col("user_id").cast("string"), F.lit("[.]biz/a"))
+    for run, rows in enumerate((F.col("event_type") == "error", F.lit(True))):
+        entries = _event_stream(spark, folder).where(rows).select(F.col("event_type").alias("source"), url.alias("url"), "ts")
+        writer = entries.writeStream.foreachBatch(feed_table.upsert_prefixes(spark, f"{path}/table", 7))
+        writer.option("checkpointLocation", f"{path}/state{run}").trigger(availableNow=True).start().awaitTermination()
+    return feed_table.read_feed_table(spark, f"{path}/table").select("source", "url_sha256", "url", "first_seen", "last_seen")
+
+
+@register(
+    "reused_verdicts",
+    f"""WITH RECURSIVE src AS (SELECT event_id AS page_id, 0 AS tpl, 'http://drop' || CAST(user_id AS VARCHAR) || CASE WHEN event_type = 'error' THEN '.biz/login' ELSE '.org/a' END AS url FROM events),
+{o.scan('src', K)},
+e AS (SELECT e.event_id, e.ts, url_sha256, verdict, row_number() OVER (PARTITION BY url_sha256 ORDER BY e.ts, CAST(e.event_id AS VARCHAR)) AS i FROM scan s JOIN events e ON e.event_id = s.page_id),
+w AS (SELECT url_sha256, i, event_id, verdict, ts AS started, event_id AS by FROM e WHERE i = 1
+  UNION ALL SELECT e.url_sha256, e.i, e.event_id, e.verdict, CASE WHEN e.ts - w.started < INTERVAL 10 MINUTE THEN w.started ELSE e.ts END,
+    CASE WHEN e.ts - w.started < INTERVAL 10 MINUTE THEN w.by ELSE e.event_id END FROM w JOIN e ON e.url_sha256 = w.url_sha256 AND e.i = w.i + 1)
+SELECT CAST(event_id AS VARCHAR) AS event_id, verdict, CAST(by AS VARCHAR) AS answered_by, CAST(event_id <> by AS INTEGER) AS reused FROM w""",
+)
+def reused_verdicts(spark, folder):
+    """Every event is a scan; repeats within ten minutes are answered with the stored verdict."""
+    path = shared_folder(spark, "reuse")
+    end = F.when(F.col("event_type") == "error", ".biz/login").otherwise(".org/a")
+    url = F.concat(F.lit("http://drop"), F.col("user_id").cast("string"), end)
+    scans = scan.scan_stream(_event_stream(spark, folder).select("event_id", "ts", url.alias("url")), id_cols=["event_id"])
+    answers = scan.reuse_verdicts(scans, "event_id")
+    writer = answers.select("event_id", "verdict", "answered_by", F.col("reused").cast("int").alias("reused")).writeStream.format("parquet")
+    writer = writer.option("path", f"{path}/answers").option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id string, verdict string, answered_by string, reused int").parquet(f"{path}/answers")
+
+
 # --- a scorer in the layered scan ----------------------------------------------------------------------------
 
 # weight of each reason's feature; the reasons of a score are its parts
