@@ -126,10 +126,10 @@ def feed_table_stream(spark, folder):
     f"""WITH RECURSIVE src AS (SELECT event_id AS page_id, 0 AS tpl, 'http://drop' || CAST(user_id AS VARCHAR) || CASE WHEN event_type = 'error' THEN '.biz/login' ELSE '.org/a' END AS url FROM events),
 {o.scan('src', K)},
 e AS (SELECT e.event_id, e.ts, url_sha256, verdict, row_number() OVER (PARTITION BY url_sha256 ORDER BY e.ts, CAST(e.event_id AS VARCHAR)) AS i FROM scan s JOIN events e ON e.event_id = s.page_id),
-w AS (SELECT url_sha256, i, event_id, verdict, ts AS started, event_id AS by FROM e WHERE i = 1
+w AS (SELECT url_sha256, i, event_id, verdict, ts AS started, event_id AS first_id FROM e WHERE i = 1
   UNION ALL SELECT e.url_sha256, e.i, e.event_id, e.verdict, CASE WHEN e.ts - w.started < INTERVAL 10 MINUTE THEN w.started ELSE e.ts END,
-    CASE WHEN e.ts - w.started < INTERVAL 10 MINUTE THEN w.by ELSE e.event_id END FROM w JOIN e ON e.url_sha256 = w.url_sha256 AND e.i = w.i + 1)
-SELECT CAST(event_id AS VARCHAR) AS event_id, verdict, CAST(by AS VARCHAR) AS answered_by, CAST(event_id <> by AS INTEGER) AS reused FROM w""",
+    CASE WHEN e.ts - w.started < INTERVAL 10 MINUTE THEN w.first_id ELSE e.event_id END FROM w JOIN e ON e.url_sha256 = w.url_sha256 AND e.i = w.i + 1)
+SELECT CAST(event_id AS VARCHAR) AS event_id, verdict, CAST(first_id AS VARCHAR) AS answered_by, CAST(event_id <> first_id AS INTEGER) AS reused FROM w""",
 )
 def reused_verdicts(spark, folder):
     """Every event is a scan; repeats within ten minutes are answered with the stored verdict."""
