@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlrisk.operators import detect, store
-from urlrisk.operators.ordering import shared_folder
+from urlrisk.operators import calibrate, detect, store
+from urlrisk.operators.ordering import cut_lineage, shared_folder
 from urlrisk.operators.reasons import MAX_REASONS, MIN_CONTRIBUTION
 from urlrisk.plans import oracle as o
 from urlrisk.plans.registry import _BASE, _SCAN, K, KEYS, corpus, listed_scan, register, table
-from urlrisk.plans.registry_data import _FEEDBACK, feedback_table
+from urlrisk.plans.registry_data import _FEEDBACK, feedback_table, scored_corpus
+from urlrisk.plans.registry_models import _ISO
 from urlrisk.sources import files
 from urlrisk.streaming import feed, feed_table, scan
 
@@ -63,6 +67,73 @@ def stored_feedback(spark, folder):
     return read("accepted", 1).unionByName(read("quarantine", 0)).groupBy("accepted", "label").agg(F.count("*").alias("n"))
 
 
+@register(
+    "retained_scans",
+    """SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-02-14 12:00:00' - INTERVAL 30 DAY GROUP BY 1""",
+    dates="day",
+)
+def retained_scans(spark, folder):
+    """What a stored table holds after the expired scans are deleted: the boundary date rewritten, older dates dropped."""
+    name = f"scans_{uuid.uuid4().hex}"
+    rows = table(spark, folder, "events").select("event_id", F.col("ts").alias("created_at"), F.to_date("ts").alias("created_date"))
+    rows.write.option("path", f"{shared_folder(spark, 'scans')}/scans").partitionBy("created_date").saveAsTable(name)
+    store.cleanup_scan_table(spark, name, datetime(2024, 2, 14, 12), 30)
+    left = cut_lineage(spark.table(name).groupBy(F.col("created_date").alias("day")).agg(F.count("*").alias("n")))
+    spark.sql(f"DROP TABLE {name}")
+    return left
+
+
+_LINES = """WITH l AS (SELECT DISTINCT event_type, 'http://drop' || CAST(user_id AS VARCHAR) || '.biz/a' AS line FROM events),
+f AS (SELECT event_type, count(*) AS n, sha256(string_agg(line || chr(10), '' ORDER BY line)) AS sha256 FROM l GROUP BY event_type)"""
+
+
+def _feed_files(spark, folder):
+    """One text file for each event type, its lines in order."""
+    path = f"{shared_folder(spark, 'files')}/feeds"
+    line = F.concat(F.lit("http://drop"), F.col("user_id").cast("string"), F.lit(".biz/a"))
+    lines = table(spark, folder, "events").select("event_type", line.alias("value")).distinct()
+    lines.repartition("event_type").sortWithinPartitions("event_type", "value").write.partitionBy("event_type").text(path)
+    return path
+
+
+def _event_type(file):
+    return F.regexp_extract(file, "event_type=([^/]*)/", 1)
+
+
+@register("artifact_files", f"{_LINES}\nSELECT event_type, sha256, (SELECT count(*) FROM f) AS n_verified FROM f")
+def artifact_files(spark, folder):
+    """The manifest of a folder of files, and how many files agree with it."""
+    path = _feed_files(spark, folder)
+    files.artifact_manifest(spark, path, f"{path}-manifest")
+    verified = files.verify_artifacts(spark, path, f"{path}-manifest")
+    manifest = spark.read.schema("file string, sha256 string").json(f"{path}-manifest").where(F.col("file").like("event_type=%"))
+    extra = spark.read.schema("file string, sha256 string").json(f"{path}-manifest").where(~F.col("file").like("event_type=%")).count()
+    return manifest.select(_event_type(F.col("file")).alias("event_type"), "sha256", F.lit(verified - extra).cast("long").alias("n_verified"))
+
+
+@register("feed_sources", f"{_LINES}\nSELECT event_type AS name, sha256, n AS rows, 'CC0-1.0' AS license FROM f")
+def feed_sources(spark, folder):
+    """Hash and row count of text sources."""
+    path = _feed_files(spark, folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    paths = found.select("path").collect()  # one per event type
+    sources = {p[0].split("event_type=")[1].split("/")[0]: {"path": p[0], "license": "CC0-1.0"} for p in paths}
+    return files.source_manifest(spark, sources).select("name", "sha256", "rows", "license")
+
+
+@register(
+    "stored_calibrator",
+    f"{_ISO}\nSELECT score, round(fit, 5) AS calibrated FROM lev JOIN iso USING (model, i) WHERE model = 'a'",
+)
+def stored_calibrator(spark, folder):
+    """A calibrator that was saved and loaded again."""
+    rows = scored_corpus(spark, folder).where("model = 'a'")
+    path = f"{shared_folder(spark, 'calibrator')}/knots"
+    calibrate.fit_isotonic(rows).save(spark, path)
+    levels = rows.select("score").distinct()
+    return calibrate.load_calibrator(spark, path).apply(levels).select("score", F.round("calibrated", 5).alias("calibrated"))
+
+
 # --- streams -------------------------------------------------------------------------------------------------
 
 

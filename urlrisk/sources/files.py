@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.functions.text import strip
@@ -32,20 +32,26 @@ def file_hashes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
+def _place(path: Column) -> Column:
+    """A path without scheme and authority, as readers spell them differently."""
+    return F.regexp_replace(path, r"^[A-Za-z0-9+.-]+:(?://[^/]*)?", "")
+
+
 def source_manifest(spark: SparkSession, sources: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """Hash and row count of text sources. ``sources`` maps a name to ``path``, ``license`` and ``source_url``."""
+    """Hash and row count of text sources. ``sources`` maps a name to ``path``, ``license`` and ``source_url``. Sources may share a file name, not a path."""
     info = spark.createDataFrame(
-        [(n, s["path"].rsplit("/", 1)[-1], s.get("license"), s.get("source_url")) for n, s in sources.items()],
-        "name string, file string, license string, source_url string",
-    )
+        [(n, s["path"], s["path"].rsplit("/", 1)[-1], s.get("license"), s.get("source_url")) for n, s in sources.items()],
+        "name string, _at string, file string, license string, source_url string",
+    ).withColumn("_at", _place(F.col("_at")))
     paths = [s["path"] for s in sources.values()]
     lines = (
         spark.read.text(paths)
-        .select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), strip(F.col("value")).alias("line"))
-        .groupBy("file")
+        .select(_place(F.col("_metadata.file_path")).alias("_at"), strip(F.col("value")).alias("line"))
+        .groupBy("_at")
         .agg(F.count_if(F.col("line") != "").alias("rows"))
     )
-    return info.join(file_hashes(spark, paths).drop("path"), "file").join(lines, "file", "left").select(
+    hashes = file_hashes(spark, paths).select(_place(F.col("path")).alias("_at"), "sha256")
+    return info.join(hashes, "_at").join(lines, "_at", "left").select(
         "name", "file", "sha256", F.coalesce("rows", F.lit(0)).alias("rows"), "license", "source_url"
     )
 
