@@ -170,3 +170,21 @@ def feature_vectors(
 def url_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     """Canonicalize and extract in one step."""
     return extract_features(canonicalize_urls(df, url_col))
+
+
+#: The host of a URL as it was written, up to its port.
+WRITTEN_HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#]*@)?(\[[^/?#]*\]|[^/?#:]*)"
+
+
+def address_features(df: DataFrame, parsed: str = "parsed") -> DataFrame:
+    """Add ``ip_form`` (none, dotted, decimal, hex or v6: how an address was written) and ``nonstandard_port`` (a port that is not the scheme's); null for what could not be assessed."""
+    p = F.col(parsed)
+    written = F.regexp_extract(p["raw"], WRITTEN_HOST, 1)
+    form = (
+        F.when(~p["is_ip"], "none")
+        .when(written.startswith("["), "v6")
+        .when(F.lower(written).startswith("0x"), "hex")
+        .when(F.contains(written, F.lit(".")), "dotted")
+        .otherwise("decimal")
+    )
+    return df.withColumns({"ip_form": F.when(p["is_valid"], form), "nonstandard_port": F.when(p["is_valid"], p["port"].isNotNull().cast("int"))})

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from urlrisk.operators import bigrams, content, similarity
 from urlrisk.plans import oracle as o
-from urlrisk.plans.registry import register, table
+from urlrisk.operators.features import WRITTEN_HOST, address_features
+from urlrisk.plans.registry import _BASE, parsed_corpus, register, table
 from urlrisk.plans.registry_data import _DATA, _SPLIT, dataset_table, split_table
 from urlrisk.sources.catalogs import brand_aliases
+from urlrisk.sources import corpus as c
 from urlrisk.sources.corpus import INSERTS, content_pages
 
 #: A split by hash, which puts near duplicates on both sides.
@@ -108,3 +110,46 @@ FROM tagged LEFT JOIN own USING (page_id) LEFT JOIN links USING (page_id) LEFT J
 def content_features(spark, folder):
     """HTML features of all pages, each with one of a few inserts."""
     return content.content_features(content_pages(table(spark, folder, "pages")))
+
+
+@register(
+    "address_features",
+    f"""{_BASE}, {o.canon('corpus', 'page_id, tpl')}, w AS (SELECT *, regexp_extract(raw, '{WRITTEN_HOST}', 1) AS written FROM canon WHERE ok)
+SELECT page_id, tpl, CASE WHEN is_ip = 0 THEN 'none' WHEN starts_with(written, '[') THEN 'v6' WHEN starts_with(lower(written), '0x') THEN 'hex'
+  WHEN contains(written, '.') THEN 'dotted' ELSE 'decimal' END AS ip_form, CAST(port IS NOT NULL AS INTEGER) AS nonstandard_port FROM w""",
+)
+def address_rows(spark, folder):
+    """How addresses and ports are written, for all valid URLs."""
+    rows = address_features(parsed_corpus(spark, folder)).where("ip_form is not null")
+    return rows.select("page_id", "tpl", "ip_form", "nonstandard_port")
+
+
+def _drawn(purpose: str, n: int) -> str:
+    return f"(CAST('0x' || substr(sha256('42:' || event_id || ':{purpose}'), 1, 8) AS BIGINT) % {n})"
+
+
+def _picked(values, at: str) -> str:
+    return f"{o.sql_list(values)}[{at} + 1]"
+
+
+_SLOTS = [e for e, share in zip(c.SEED_ENDINGS, c.SEED_SHARES, strict=True) for _ in range(share)]
+
+
+@register(
+    "seeded_urls",
+    f"""WITH d AS (SELECT event_id, CAST({_drawn('label', 100)} < 45 AS INTEGER) AS label, {_picked(_SLOTS, _drawn('ending', len(_SLOTS)))} AS ending,
+  {_picked(c.SEED_WORDS, _drawn('first', len(c.SEED_WORDS)))} AS w1, {_picked(c.SEED_WORDS, _drawn('second', len(c.SEED_WORDS)))} AS w2,
+  {_picked(c.SEED_BAIT, _drawn('bait', len(c.SEED_BAIT)))} AS bait, {_picked(c.SEED_PATHS, _drawn('path', len(c.SEED_PATHS)))} AS path,
+  CASE WHEN {_drawn('param', 100)} < {c.PARAM_PERCENT} THEN '?ref=' || {_drawn('value', 1000)} ELSE '' END AS param FROM events),
+n AS (SELECT *, CASE WHEN label = 1 THEN w1 || '-' || bait ELSE w1 || w2 END || '.' || ending AS domain FROM d)
+SELECT label, domain, DATE '{c.FIRST_DAY}' + CAST(CAST('0x' || substr(sha256('42:' || domain || ':day'), 1, 8) AS BIGINT) % {c.N_DAYS} AS INTEGER) AS first_seen,
+  count(*) AS n, count(*) FILTER (WHERE param <> '') AS n_params, count(DISTINCT CASE label WHEN 1 THEN 'http://' ELSE 'https://' END || domain || '/' || path || param) AS n_urls
+FROM n GROUP BY ALL""",
+    dates="first_seen",
+)
+def seeded_urls(spark, folder):
+    """A seeded corpus with one URL for each event."""
+    rows = c.seeded_corpus(table(spark, folder, "events"), "event_id")
+    return rows.groupBy("label", "domain", "first_seen").agg(
+        F.count("*").alias("n"), F.count_if(F.contains(F.col("url"), F.lit("?"))).alias("n_params"), F.count_distinct("url").alias("n_urls")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: id, label (1 = malicious), template; {id} is the page id and {url} the page URL
@@ -92,3 +92,37 @@ def content_pages(pages: DataFrame) -> DataFrame:
     insert = F.get(kinds, (F.col("page_id") % len(INSERTS)).cast("int"))
     insert = F.replace(F.replace(insert, F.lit("{id}"), F.col("page_id").cast("string")), F.lit("{url}"), F.col("url"))
     return pages.select("page_id", "url", F.concat(insert, F.col("html")).alias("html"))
+
+# fixed values of the seeded corpus
+SEED_WORDS = "river stone maple harbor cedar lantern orchard meadow copper willow summit garden anchor velvet amber quartz".split()
+SEED_ENDINGS = "com org net info".split()
+SEED_BAIT = "login verify billing secure support update".split()
+SEED_PATHS = ("", "index.html", "about/team", "docs/guide", "account/settings", "news/2026/list")
+#: How many of 16 draws go to the first, second, third and fourth ending.
+SEED_SHARES = (8, 4, 3, 1)
+PARAM_PERCENT = 30
+
+
+def seeded_corpus(ids: DataFrame, id_col: str = "id", seed: int = 42, malicious_percent: int = 45) -> DataFrame:
+    """``id, label, domain, url, first_seen`` of a labelled URL for each id: the same ids and seed give the same corpus, however it is partitioned.
+
+    Draws are hashes of (seed, id, purpose). Endings are drawn from a table of slots by their shares; ``PARAM_PERCENT`` of the URLs have a parameter; all URLs of a domain share one date.
+    """
+
+    def hashed(*parts) -> Column:
+        return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256), 1, 8), 16, 10).cast("long")
+
+    draw = lambda purpose, n: (hashed(F.col(id_col).cast("string"), F.lit(purpose)) % n).cast("int")
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at)
+    slots = [e for e, share in zip(SEED_ENDINGS, SEED_SHARES, strict=True) for _ in range(share)]
+    bad = draw("label", 100) < malicious_percent
+    ending = pick(slots, draw("ending", len(slots)))
+    first, second = pick(SEED_WORDS, draw("first", len(SEED_WORDS))), pick(SEED_WORDS, draw("second", len(SEED_WORDS)))
+    name = F.when(bad, F.concat(first, F.lit("-"), pick(SEED_BAIT, draw("bait", len(SEED_BAIT))))).otherwise(F.concat(first, second))
+    rows = ids.select(F.col(id_col).alias("id"), bad.cast("int").alias("label"), F.concat(name, F.lit("."), ending).alias("domain"))
+    draw = lambda purpose, n: (hashed(F.col("id").cast("string"), F.lit(purpose)) % n).cast("int")
+    path = pick(SEED_PATHS, draw("path", len(SEED_PATHS)))
+    param = F.when(draw("param", 100) < PARAM_PERCENT, F.concat(F.lit("?ref="), draw("value", 1000).cast("string"))).otherwise("")
+    scheme = F.when(rows["label"] == 1, "http://").otherwise("https://")
+    day = F.date_add(F.to_date(F.lit(FIRST_DAY)), (hashed(F.col("domain"), F.lit("day")) % N_DAYS).cast("int"))
+    return rows.select("id", "label", "domain", F.concat(scheme, "domain", F.lit("/"), path, param).alias("url"), day.alias("first_seen"))
