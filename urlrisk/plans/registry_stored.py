@@ -16,7 +16,7 @@ from urlrisk.plans.registry import _BASE, _SCAN, K, KEYS, corpus, listed_scan, r
 from urlrisk.plans.registry_data import _FEEDBACK, feedback_table, scored_corpus
 from urlrisk.plans.registry_models import _ISO
 from urlrisk.sources import files
-from urlrisk.streaming import feed, feed_table, scan
+from urlrisk.streaming import feed, feed_table, scan, windows
 
 # --- files ---------------------------------------------------------------------------------------------------
 
@@ -215,6 +215,30 @@ def reused_verdicts(spark, folder):
     return spark.read.schema("event_id string, verdict string, answered_by string, reused int").parquet(f"{path}/answers")
 
 
+@register(
+    "window_stream",
+    """WITH b AS (SELECT *, CASE WHEN event_type = 'error' THEN 3 ELSE least(day(ts) // 8, 3) END AS batch, date_trunc('hour', ts) AS w FROM events),
+m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark FROM b GROUP BY batch),
+j AS (SELECT b.*, coalesce(w + INTERVAL 1 HOUR <= mark, FALSE) AS late FROM b JOIN m USING (batch)),
+e AS (SELECT max(ts) - INTERVAL 10 MINUTE AS last FROM events)
+SELECT w AS window_start, event_type, 'counted' AS kind, count(*) AS n FROM j, e WHERE NOT late AND w + INTERVAL 1 HOUR <= last GROUP BY ALL
+UNION ALL SELECT w, event_type, 'late', count(*) FROM j WHERE late GROUP BY ALL""",
+)
+def window_stream(spark, folder):
+    """Events per hour from a stream of four files, the errors all in the last: closed windows, and the rows that came too late for theirs."""
+    path = shared_folder(spark, "windows")
+    events = table(spark, folder, "events").select("ts", "event_type")
+    file = F.when(F.col("event_type") == "error", 3).otherwise(F.least(F.floor(F.dayofmonth("ts") / 8), F.lit(3)))
+    for nr in range(4):
+        events.where(file == nr).coalesce(1).write.parquet(f"{path}/in/file={nr}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    writer = stream.select("ts", "event_type").writeStream.foreachBatch(windows.window_writer(spark, f"{path}/out", by="event_type"))
+    writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    counted = windows.closed_windows(spark, f"{path}/out", "event_type").select("window_start", "event_type", F.lit("counted").alias("kind"), "n")
+    late = windows.late_rows(spark, f"{path}/out").groupBy(F.date_trunc("hour", "ts").alias("window_start"), "event_type").agg(F.count("*").alias("n"))
+    return counted.unionByName(late.select("window_start", "event_type", F.lit("late").alias("kind"), "n"))
+
+
 # --- a scorer in the layered scan ----------------------------------------------------------------------------
 
 # weight of each reason's feature; the reasons of a score are its parts
