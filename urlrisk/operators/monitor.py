@@ -286,3 +286,8 @@ def triage(scans: DataFrame, top: int | None = None) -> DataFrame:
     rows = scans.select("risk_score", "verdict", "confidence", "registered_domain", "url_sha256", defang(shown).alias("url_defanged"))
     ordered = rows.orderBy(F.desc("risk_score"), "url_sha256")
     return ordered if top is None else ordered.limit(top)
+
+
+def write_triage(scans: DataFrame, path: str, top: int | None = None) -> None:
+    """The review list as CSV files with a header, in order of risk over the files' names."""
+    triage(scans, top).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -56,11 +56,23 @@ def dataset_labels(spark, folder):
     return dataset.distinct_labels(dataset_table(spark, folder)).select(F.col("label").cast("int").alias("label"))
 
 
-@register("source_union", f"{_BASE}\nSELECT source, label, count(*) AS n FROM corpus GROUP BY ALL")
+@register(
+    "source_union",
+    f"""WITH both_sources AS (SELECT 'pages' AS source, 0 AS label, url FROM pages
+  UNION ALL SELECT 'feed_' || event_type, 1, 'http://drop' || CAST(user_id AS VARCHAR) || '.biz/a' FROM events), {o.canon('both_sources', 'source, label')}
+SELECT source, label, count(*) AS n, count(DISTINCT u) AS n_urls, count(DISTINCT registered_domain) AS n_domains FROM canon WHERE ok GROUP BY ALL""",
+)
 def source_union(spark, folder):
-    rows = corpus(spark, folder)
-    both = rows.filter("label = 0").unionByName(rows.filter("label = 1"))
-    return both.groupBy("source", "label").agg(F.count("*").alias("n"))
+    """Dataset rows of two sources: the pages as benign, the events' addresses as feeds."""
+    pages = table(spark, folder, "pages").select("url", F.lit("pages").alias("source"), F.lit(0).alias("label"), F.lit("2026-01-01").cast("date").alias("first_seen"))
+    url = F.concat(F.lit("http://drop"), F.col("user_id").cast("string"), F.lit(".biz/a"))
+    feeds = table(spark, folder, "events").select(
+        url.alias("url"), F.concat(F.lit("feed_"), "event_type").alias("source"), F.lit(1).alias("label"), F.to_date("ts").alias("first_seen")
+    )
+    rows = dataset.dataset_rows(pages.unionByName(feeds).withColumnRenamed("url", "url_raw"))
+    return rows.groupBy("source", F.col("label").cast("int").alias("label")).agg(
+        F.count("*").alias("n"), F.count_distinct("url").alias("n_urls"), F.count_distinct("registered_domain").alias("n_domains")
+    )
 
 
 @register("time_order", f"{_DATA}\nSELECT first_seen, url_sha256, source FROM data", dates="first_seen")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from urlrisk.functions.perturb import STRATEGIES
+from urlrisk.functions.perturb import SPLIT_WORDS
 from urlrisk.operators import calibrate, dataset, ensemble, robustness
 from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.operators.features import extract_features
@@ -179,9 +180,7 @@ _HEX = (
     "array_to_string(list_transform(string_split(path, ''), lambda c: CASE WHEN regexp_matches(c, '^[A-Za-z0-9]$') "
     "THEN '%' || lower(hex(c)) ELSE c END), '')"
 )
-_SPLITS = [("paypal", "pay-pal"), ("microsoft", "micro-soft"), ("netflix", "net-flix"), ("facebook", "face-book"),
-           ("appleid", "apple-id"), ("signin", "sign-in"), ("login", "log-in")]
-_WORDS = " ".join(f"WHEN contains(lower(url), '{a}') THEN regexp_replace(url, '{a}', '{b}', 'gi')" for a, b in _SPLITS)
+_WORDS = " ".join(f"WHEN contains(lower(url), '{a}') THEN regexp_replace(url, '{a}', '{b}', 'gi')" for a, b in SPLIT_WORDS)
 _CHAIN = "CASE " + _WORDS + " ELSE url || '?client=auth-service-login' END"
 _SQL_STRATEGIES = {
     "subdomain_stuffing": "CASE WHEN auth = '' THEN url ELSE head || 'secure-auth-update.signin.' || auth || rest END",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from urlrisk.operators import ablation, evaluate, monitor
 from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.operators.features import FEATURE_FAMILIES, FEATURE_NAMES, extract_features
+from urlrisk.operators.ordering import shared_folder
 from urlrisk.plans import oracle as o
 from urlrisk.plans.registry import _BASE, _SCAN, K, KEYS, listed_scan, parsed_corpus, register, table
 from urlrisk.plans.registry_data import (
@@ -202,6 +203,20 @@ def triage(spark, folder):
     return monitor.triage(labelled_scan(spark, folder), 100)
 
 
+@register(
+    "triage_file",
+    f"""{_LABELLED}
+SELECT risk_score, verdict, confidence, registered_domain, url_sha256, {o.defanged("CASE WHEN url_canonical <> '' THEN url_canonical ELSE raw END")} AS url_defanged FROM scan
+WHERE registered_domain <> ''""",
+)
+def triage_file(spark, folder):
+    """The whole review list as a CSV file and read again; what could not be assessed is left out."""
+    path = f"{shared_folder(spark, 'triage')}/list"
+    monitor.write_triage(labelled_scan(spark, folder).where("registered_domain <> ''"), path)
+    schema = "risk_score int, verdict string, confidence string, registered_domain string, url_sha256 string, url_defanged string"
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
 @register(
     "page_false_alarms",
     f"""WITH src AS (SELECT page_id, 0 AS tpl, url FROM pages), {o.scan('src', K)}
