@@ -90,19 +90,26 @@ def write_archive(
     return folder
 
 
+def _header(content: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
+    """The fields from a place on and where the block starts; None at the first line that is no field, so that no line is read twice."""
+    fields = {}
+    while not content.startswith(b"\r\n", at):
+        line = FIELD.match(content, at)
+        if line is None:
+            return None
+        fields[line[1].lower()] = line[2]
+        at = line.end()
+    return fields, at + 2
+
+
 def _candidates(content: bytes) -> Iterator[tuple]:
     """(offset, next, page_id, url, type, refers_to, bytes, digest, intact) of all places that look like a record."""
     magic, end = MAGIC.encode(), END.encode()
     at = content.find(magic)
     while at >= 0:
-        # CR LF of the last field and the blank line after it
-        head_end = content.find(end, at)
-        if head_end < 0:
-            return
-        fields = {k.lower(): v for k, v in FIELD.findall(content, at + len(magic), head_end + 2)}
+        fields, start = _header(content, at + len(magic)) or ({}, 0)
         length = fields.get(b"content-length", b"")
         if length.isdigit():
-            start = head_end + len(end)
             stop = start + int(length)
             if content[stop : stop + len(end)] == end:
                 own, other = PAGE_URN.match(fields.get(b"warc-record-id", b"")), PAGE_URN.match(fields.get(b"warc-refers-to", b""))
