@@ -52,7 +52,7 @@ SIDE_CHARS = 1 << 19
 #: Shingles in more texts of a group than this are multiplied as a matrix, the others paired.
 FEW = 32
 #: Pairs of texts that are compared at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -244,9 +244,9 @@ def similarities(texts: list[str], sizes: np.ndarray, idf: np.ndarray) -> Iterat
             step = inverse[entry] * np.where(level > 0, np.log((level + 1) / np.maximum(level, 1)), 1.0)
             by_column = np.argsort(column, kind="stable")
             entry, column, step = entry[by_column], column[by_column], step[by_column]
-            for begin in range(0, int(column[-1]) + 1, 2048):
-                a, b = np.searchsorted(column, [begin, begin + 2048])
-                dense = np.zeros((n, 2048))
+            for begin in range(0, int(column[-1]) + 1, 1024):
+                a, b = np.searchsorted(column, [begin, begin + 1024])
+                dense = np.zeros((n, 1024))
                 dense[place[entry[a:b]], column[a:b] - begin] = np.sqrt(step[a:b])
                 out += np.triu(dense @ dense.T, 1)
         weights = total[first[g] : first[g] + n]
@@ -364,7 +364,7 @@ def near_duplicates(
     to other texts that hold the class together."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.where(F.col("doc_id").isNotNull())
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 8 << 20)
     idf = idf_table(rows)
     signed = cut_lineage(signatures(rows, idf))
     # groups of copies only: other texts are their own first
