@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.sources.suffixes import read_suffix_rules
-from urlrisk.streaming import feed_table, scan
+from urlrisk.streaming import feed_table, scan, windows
 
 START = datetime(2024, 1, 1)
 
@@ -74,3 +74,20 @@ def test_suffix_rules_of_any_depth(spark, tmp_path):
     df = spark.createDataFrame([(f"http://{h}/", h) for h in want], "url string, name string")
     got = {r["name"]: r["d"] for r in canonicalize_urls(df, suffix_rules=table).select("name", F.col("parsed.registered_domain").alias("d")).collect()}
     assert got == want
+
+
+def test_late_rows_go_to_the_side_table(spark, tmp_path):
+    folder = str(tmp_path / "windows")
+    at = lambda h, m=0: START + timedelta(hours=h, minutes=m)
+    schema = "ts timestamp, verdict string"
+    write = windows.window_writer(spark, folder)
+    write(spark.createDataFrame([(at(0), "a"), (at(0, 59), "a"), (at(1, 9), "b")], schema), 0)
+    # the first window closes at 1:10; the second batch still counts into it, and reaches 3:30
+    second = spark.createDataFrame([(at(0, 30), "a"), (at(3, 30), "a")], schema)
+    write(second, 1)
+    write(second, 1)  # a retry changes nothing
+    write(spark.createDataFrame([(at(0, 1), "a"), (at(1, 59), "b"), (at(2, 30), "c"), (at(3, 1), "c")], schema), 2)
+    late = sorted((r["ts"], r["verdict"]) for r in windows.late_rows(spark, folder).collect())
+    assert late == [(at(0, 1), "a"), (at(1, 59), "b"), (at(2, 30), "c")]
+    closed = {(r["window_start"], r["verdict"]): r["n"] for r in windows.closed_windows(spark, folder).collect()}
+    assert closed == {(at(0), "a"): 3, (at(1), "b"): 1}
