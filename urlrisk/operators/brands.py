@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlrisk.functions.distances import nearest_words
 from urlrisk.functions.planning import computed_stage
 from urlrisk.functions.text import literal_array, non_empty, regex_union
 from urlrisk.sources.catalogs import KEYWORDS, Alias, brand_aliases
 
 NO_DISTANCE = 999  # fixed value: distance when the catalog is empty
+SHORTEST_SQUATTED = {1: 4, 2: 7}  # fixed values: shortest alias that a misspelling of this distance may stand for
 
 # fixed values: look-alike characters and what they stand for, then look-alike pairs in the order applied
 LOOKALIKE_FROM, LOOKALIKE_TO = "01!|@$3458", "olilaseasb"
@@ -92,18 +94,9 @@ def match_brands(
     df = df.withColumn(
         "_cands", F.array_distinct(F.concat(c("_pairs")["t"], c("_pairs")["s"], F.array("_skel")))
     )
-    nearest_of = lambda x: F.least(*[F.levenshtein(x, F.lit(a.alias)) for a in aliases], F.lit(NO_DISTANCE))
-    # bounded: a distance above two never makes a hit
-    distance = lambda a: F.array_min(
-        F.filter(F.transform(c("_cands"), lambda x: F.levenshtein(x, a["alias"], 2)), lambda d: d >= 0)
-    )
-    # most names have a single spelling: that case runs as compiled code
-    df = df.withColumn(
-        "_min",
-        F.when(F.size("_cands") == 1, nearest_of(c("_sld"))).otherwise(
-            F.array_min(F.transform(c("_cands"), nearest_of))
-        ),
-    )
+    # all aliases at once for the distinct names of a batch
+    df = df.withColumn("_near", nearest_words([a.alias for a in aliases], SHORTEST_SQUATTED)(c("_cands")))
+    df = df.withColumns({"_min": F.when(c("_near.distance") > NO_DISTANCE, NO_DISTANCE).otherwise(c("_near.distance")), "_nearest": c("_near.nearest"), "_misspelt": c("_near.misspelt")}).drop("_near")
 
     domains = sorted({a.domain for a in aliases})
     legit = lambda a: (c("_dom") == a["domain"]) | c("_dom").endswith(F.concat(F.lit("."), a["domain"]))
@@ -124,9 +117,7 @@ def match_brands(
 
     def typo(a: Column) -> Column:
         imitation = F.exists(c("_pairs"), lambda x: (x["t"] != a["alias"]) & (x["s"] == a["alias"]))
-        # shortest alias that a misspelling of this distance may stand for
-        shortest = F.element_at(F.array(F.lit(999), F.lit(4), F.lit(7)), F.coalesce(distance(a), F.lit(0)) + 1)
-        return imitation | (a["len"] >= shortest)
+        return imitation | F.array_contains(c("_misspelt"), a["alias"])
 
     words = literal_array(keywords)
 
@@ -141,7 +132,8 @@ def match_brands(
 
     df = df.withColumns(
         {
-            "_typo": F.when(c("_min") > 2, False).otherwise(F.exists(free, typo)),
+            # an imitation is at distance 0 once its look-alikes are replaced
+            "_typo": F.when((c("_min") > 0) & (F.size("_misspelt") == 0), False).otherwise(F.exists(free, typo)),
             "_combo": F.when(~c("_named"), False).otherwise(F.exists(free, combo)),
             "_insub": F.arrays_overlap(c("_stokens"), names),
             "_inpath": F.arrays_overlap(c("_ptokens"), names),
@@ -158,8 +150,8 @@ def match_brands(
             F.try_element_at(c("_strong"), F.lit(-1))["brand"],
             F.when(c("_inpath"), F.try_element_at(F.filter(free, in_path), F.lit(1))["brand"]),
         )
-        is_nearest = lambda a: F.exists(c("_cands"), lambda x: F.levenshtein(x, a["alias"]) == c("_min"))
-        nearest = F.element_at(F.filter(catalog, is_nearest), 1)["brand"]
+        brand_of = dict(reversed([(a.alias, a.brand) for a in aliases]))  # the first of two equal aliases
+        nearest = F.create_map(*[F.lit(x) for pair in brand_of.items() for x in pair])[c("_nearest")]
     else:
         matched, nearest = nothing, nothing
     result = F.struct(
