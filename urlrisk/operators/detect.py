@@ -25,6 +25,12 @@ RULE_FLOOR, RULE_CEILING = 0.05, 0.95
 
 PATTERN_KEYS = ("canonical", "registered_domain", "host")
 
+#: The features that the rule score and the rule reasons read.
+SCORE_FEATURES = "is_ip_host brand_in_subdomain typosquat_detected combosquat_detected suspicious_keyword_count".split()
+REASON_FEATURES = (
+    "brand_in_path has_userinfo is_mixed_script has_punycode long_random_subdomain n_subdomains keyword_in_path keyword_in_subdomain entropy_url"
+).split()
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -116,13 +122,15 @@ def scan_urls(
     suffix_rules: DataFrame | None = None,
     id_cols: Sequence[str] | None = None,
     keep_parts: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Scan a table of URLs; input columns are kept and the result columns are added.
 
     ``df`` needs ``owner_key_hash`` (or ``user_key``, which is hashed) when ``user_lists`` is given. ``parsed``
     names a struct that :func:`canonicalize_urls` already made. ``scorer`` takes the rows with a ``features``
     struct and adds ``model_probability``; ``contributions`` names a map column it may add. ``allowlist=None``
-    means the default domains, an empty sequence means none.
+    means the default domains, an empty sequence means none. ``columns`` names the result columns to add (default: all);
+    reasons and features that neither they nor a scorer need are not worked out.
 
     Rows that a list decides have a null ``features`` struct: null inputs end the feature expressions at once,
     so they cost nothing even though the plan is one projection without branches.
@@ -161,7 +169,9 @@ def scan_urls(
     df = computed_stage(df, [*inputs, "parsed"], {"_layer": layer})
     scored = F.col("_layer") == "model"
     df = df.withColumn("_open", F.when(scored, p))
-    df = extract_features(df, "_open", "features", aliases, multitenant)
+    reasoned = columns is None or "reasons" in columns
+    read = None if scorer is not None or keep_parts else SCORE_FEATURES + (REASON_FEATURES if reasoned else [])
+    df = extract_features(df, "_open", "features", aliases, multitenant, names=read)
     if scorer is not None:
         df = scorer(df)
         if calibrator is not None:
@@ -173,9 +183,9 @@ def scan_urls(
             df = calibrator(df, "_rule", "_rule")
         raw = F.col("_rule")
     df = df.withColumn("_prob", F.when(scored, raw))
-    found = extract_reasons(
-        F.col("_open"), F.col("features"), F.col(contributions) if contributions else None, catalog
-    )
+    found = F.array().cast(REASON_TYPE)
+    if reasoned:
+        found = extract_reasons(F.col("_open"), F.col("features"), F.col(contributions) if contributions else None, catalog)
     df = df.withColumns(
         {
             "_found": F.when(scored, found),
@@ -253,6 +263,8 @@ def scan_urls(
         "layers": layers,
         "model_version": F.lit(model_version),
     }
+    if columns is not None:
+        results = {k: v for k, v in results.items() if k in set(columns)}
     parts = ["parsed", "features"] if keep_parts else []
     return computed_stage(df, [*[k for k in inputs if k not in results], *parts], results)
 

@@ -54,8 +54,9 @@ def extract_features(
     aliases: Sequence[Alias] | None = None,
     multitenant: Sequence[str] = MULTITENANT_HOSTS,
     shorteners: Sequence[str] = SHORTENER_DOMAINS,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add struct ``out`` with all features; null where ``parsed`` is null or not valid. No shuffle."""
+    """Add struct ``out`` with all features, or those of ``names``; null where ``parsed`` is null or not valid. No shuffle."""
     keep = [k for k in df.columns if k != out]
     c = F.col
     p = F.col(parsed)
@@ -147,7 +148,8 @@ def extract_features(
             flag(entropy(c("_fsub")) >= RANDOM_ENTROPY)
         ),
     }
-    features = F.struct(*[values[name].alias(name) for names in FEATURE_FAMILIES.values() for name in names.split()])
+    chosen = set(FEATURE_NAMES if names is None else names)
+    features = F.struct(*[values[name].alias(name) for members in FEATURE_FAMILIES.values() for name in members.split() if name in chosen])
     return computed_stage(df, keep, {out: F.when(p["is_valid"], features)})
 
 

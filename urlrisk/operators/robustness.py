@@ -18,7 +18,7 @@ Strategy = Callable[[Column], Column]
 
 def flagged_by_rules(df: DataFrame) -> DataFrame:
     """Default detector: add ``detected``, true for a malicious or suspicious verdict on ``parsed``."""
-    scans = scan_urls(df, parsed="parsed")
+    scans = scan_urls(df, parsed="parsed", columns=["verdict"])
     return scans.withColumn("detected", F.col("verdict").isin("malicious", "suspicious"))
 
 
