@@ -36,6 +36,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as parquet next to the checkpoints and read again, for results of a long plan that several passes read: each pass reads only its columns."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def global_running(
     df: DataFrame,
     order_cols: Sequence[str],

@@ -53,7 +53,9 @@ def scan_records(
 
 
 def write_scans(records: DataFrame, path: str) -> None:
-    records.write.mode("append").partitionBy("created_date").parquet(path)
+    """Append to the table at ``path``. Rows of a date meet before they are written, so the files grow with the rows and the dates, not with tasks times dates;
+    rebalancing cuts a date with many rows into several tasks and packs small dates together."""
+    records.hint("rebalance", "created_date").write.mode("append").partitionBy("created_date").parquet(path)
 
 
 def split_feedback(df: DataFrame) -> tuple[DataFrame, DataFrame]:
