@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from urlrisk.functions.privacy import defang
 from urlrisk.operators.evaluate import curve_points, roc_auc_expr, score_counts
 from urlrisk.operators.features import FEATURE_NAMES
-from urlrisk.operators.ordering import cut_lineage, global_running
+from urlrisk.operators.ordering import cut_lineage, global_running, stored
 from urlrisk.operators.skew import bounded_broadcast, lookup_join
 
 PSI_BINS = 10
@@ -289,5 +289,8 @@ def triage(scans: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def write_triage(scans: DataFrame, path: str, top: int | None = None) -> None:
-    """The review list as CSV files with a header, in order of risk over the files' names."""
-    triage(scans, top).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """The review list as CSV files with a header, in order of risk over the files' names. The list is stored before it is sorted, as
+    Spark reads what it sorts twice: once for the bounds of its ranges."""
+    shown = F.when(F.col("url_canonical") != "", F.col("url_canonical")).otherwise(F.col("url_raw"))
+    rows = scans.select("risk_score", "verdict", "confidence", "registered_domain", "url_sha256", shown.alias("url_canonical"), F.lit("").alias("url_raw"))
+    triage(stored(rows, "triage"), top).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from urlrisk.operators import ablation, evaluate, monitor
-from urlrisk.operators.canonical import canonicalize_urls
+from urlrisk.operators import ablation, dataset, evaluate, monitor
 from urlrisk.operators.features import FEATURE_FAMILIES, FEATURE_NAMES, extract_features
-from urlrisk.operators.ordering import shared_folder
+from urlrisk.operators.ordering import shared_folder, stored
 from urlrisk.plans import oracle as o
 from urlrisk.plans.registry import _BASE, _SCAN, K, KEYS, listed_scan, parsed_corpus, register, table
 from urlrisk.plans.registry_data import (
@@ -123,7 +122,7 @@ SELECT feature, round(sum((b - a) * ln(b / a)), 6) AS psi FROM shares GROUP BY f
 )
 def population_stability(spark, folder):
     """Drift of the malicious shapes against the benign ones."""
-    rows = extract_features(parsed_corpus(spark, folder))
+    rows = stored(extract_features(parsed_corpus(spark, folder)).select("label", "features"), "features")
     return monitor.population_stability(rows.filter("label = 0"), rows.filter("label = 1"))
 
 
@@ -166,11 +165,14 @@ _LABELLED = f"{_BASE}, {o.scan('corpus', 'page_id, tpl, label')}"
 _KIND = "CASE WHEN verdict IN ('malicious', 'suspicious') AND label = 0 THEN 'FP' WHEN verdict IN ('no_threat_found', 'unknown') AND label = 1 THEN 'FN' END"
 
 
-def labelled_scan(spark, folder):
+_TRIAGE_INPUT = "risk_score verdict confidence registered_domain url_sha256 url_canonical url_raw".split()
+
+
+def labelled_scan(spark, folder, columns=None):
     from urlrisk.operators.detect import scan_urls
     from urlrisk.plans.registry import corpus
 
-    return scan_urls(corpus(spark, folder), id_cols=KEYS)
+    return scan_urls(corpus(spark, folder), id_cols=KEYS, columns=columns)
 
 
 @register(
@@ -179,7 +181,7 @@ def labelled_scan(spark, folder):
 SELECT error_type, registered_domain, count(*) AS n FROM e WHERE error_type IS NOT NULL GROUP BY ALL""",
 )
 def error_groups(spark, folder):
-    return monitor.error_groups(labelled_scan(spark, folder))
+    return monitor.error_groups(labelled_scan(spark, folder, ["verdict", "registered_domain"]))
 
 
 @register(
@@ -190,7 +192,7 @@ SELECT error_type, label, probability, registered_domain, url_sha256, url_defang
     doubles="probability",
 )
 def error_list(spark, folder):
-    return monitor.error_list(labelled_scan(spark, folder))
+    return monitor.error_list(labelled_scan(spark, folder, "verdict probability registered_domain url_sha256 url_canonical".split()))
 
 
 @register(
@@ -200,7 +202,7 @@ SELECT risk_score, verdict, confidence, registered_domain, url_sha256, {o.defang
 FROM scan ORDER BY risk_score DESC, url_sha256 LIMIT 100""",
 )
 def triage(spark, folder):
-    return monitor.triage(labelled_scan(spark, folder), 100)
+    return monitor.triage(labelled_scan(spark, folder, _TRIAGE_INPUT), 100)
 
 
 @register(
@@ -212,7 +214,7 @@ WHERE registered_domain <> ''""",
 def triage_file(spark, folder):
     """The whole review list as a CSV file and read again; what could not be assessed is left out."""
     path = f"{shared_folder(spark, 'triage')}/list"
-    monitor.write_triage(labelled_scan(spark, folder).where("registered_domain <> ''"), path)
+    monitor.write_triage(labelled_scan(spark, folder, _TRIAGE_INPUT).where("registered_domain <> ''"), path)
     schema = "risk_score int, verdict string, confidence string, registered_domain string, url_sha256 string, url_defanged string"
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
@@ -244,7 +246,10 @@ def promotion_gate(spark, folder):
 
 
 def _ablation(spark, folder):
-    rows = extract_features(canonicalize_urls(split_table(spark, folder).select("url_raw", "label", "split"), "url_raw"))
+    """The URLs are worked on once; the split and both passes of the ablation read what is stored of them."""
+    rows = extract_features(parsed_corpus(spark, folder)).where("parsed.is_valid")
+    rows = stored(rows.select(F.col("parsed.registered_domain").alias("registered_domain"), "first_seen", "label", "features"), "features")
+    rows = dataset.assign_splits(rows)
     return ablation.family_ablation(rows.where("split = 'train'"), rows.where("split = 'test'"))
 
 
