@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.operators.ordering import shared_folder
 
-__all__ = ["SPACE", "SPACES", "WORD", "bound_batches", "shared_folder", "table", "uniform", "words_of"]
+__all__ = ["SPACE", "SPACES", "WORD", "bound_batches", "release", "shared_folder", "table", "uniform", "words_of"]
 
 #: White space as the contract has it: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -36,3 +38,10 @@ def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
     now = int(spark.conf.get(name, "64m").rstrip("b").replace("m", "000000").replace("k", "000"))
     if now <= 0 or now > most:
         spark.conf.set(name, str(most))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the plans, broadcasts, shuffles and checkpoints of finished steps. Python holds the driver's plans until its own garbage is collected, and
+    Spark's cleaner acts only when the driver's is; a chain of many short jobs would otherwise fill the driver's heap with them."""
+    gc.collect()
+    spark._jvm.System.gc()

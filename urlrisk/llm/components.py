@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlrisk.operators.ordering import cut_lineage
@@ -12,6 +15,20 @@ SMALL = 200_000
 FEW_TASKS = 8
 
 
+@contextmanager
+def plain_plans(spark: SparkSession) -> Iterator[None]:
+    """Few shuffle partitions and no adaptive planning meanwhile, for many short jobs on small tables: adaptive planning makes each exchange a job of its own, with
+    a thread of the driver that stays for a minute, and plans the rest anew after it."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(FEW_TASKS, int(held["spark.sql.shuffle.partitions"]))))
+    try:
+        yield
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for edges (a, b): root is the smallest node of the component.
 
@@ -21,9 +38,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = cut_lineage(both)
-    small = both.count() <= SMALL
-    few = (lambda df: df.coalesce(FEW_TASKS)) if small else (lambda df: df)
-    both = few(both)
+    if both.count() > SMALL:
+        return _rounds(both, lambda df: df)
+    with plain_plans(both.sparkSession):
+        return _rounds(both.coalesce(FEW_TASKS), lambda df: df.coalesce(FEW_TASKS))
+
+
+def _rounds(both: DataFrame, few: Callable[[DataFrame], DataFrame]) -> DataFrame:
     roots = cut_lineage(few(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))))
     changed = 1
     while changed:

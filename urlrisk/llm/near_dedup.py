@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlrisk.llm.common import bound_batches
+from urlrisk.llm.common import bound_batches, release
 from urlrisk.llm.components import connected_components, merge_components
 from urlrisk.llm.textarrays import chunks, mix, shingles, word_hashes
 from urlrisk.operators.ordering import cut_lineage
@@ -372,6 +372,7 @@ def near_duplicates(
     members = lookup_join(signed.select("doc_id", "same"), cut_lineage(copied), ["same"])
     members = cut_lineage(members.select("doc_id", F.coalesce("_first", "doc_id").alias("first")).distinct())
     chosen = cut_lineage(signed.join(members.where("doc_id = first").select("doc_id"), "doc_id", "left_semi").drop("same"))
+    release(docs.sparkSession)
 
     keyed = chosen.select("doc_id", F.posexplode("keys").alias("band", "key"))
     place = F.struct(F.xxhash64("doc_id", "band").alias("h"), F.col("doc_id").alias("d"))
@@ -388,7 +389,9 @@ def near_duplicates(
     best = best.groupBy("x").agg(F.max(F.struct("alike", -F.col("a"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
     best = cut_lineage(best)
     links = cut_lineage(verify(best, rows, idf, threshold))
+    release(docs.sparkSession)
     roots = connected_components(links)
+    release(docs.sparkSession)
     rest = alike.join(best, ["a", "b"], "left_anti")
     ra = roots.select(F.col("node").alias("a"), F.col("root").alias("_ra"))
     rb = roots.select(F.col("node").alias("b"), F.col("root").alias("_rb"))
@@ -397,23 +400,27 @@ def near_duplicates(
     rest = cut_lineage(rest.where("r <> s"))
     more = cut_lineage(one_link_each(verify(rest.select("a", "b"), rows, idf, threshold).join(rest, ["a", "b"])))
     roots = merge_components(roots, more.select(F.col("r").alias("a"), F.col("s").alias("b")))
+    release(docs.sparkSession)
     # keys whose texts are still apart
     mixed = cut_lineage(mixed_key_links(keyed, chosen, roots, rows, idf, threshold))
+    release(docs.sparkSession)
     roots = merge_components(roots, mixed.select(F.col("r").alias("a"), F.col("s").alias("b")))
     links = links.unionByName(more.drop("r", "s")).unionByName(mixed.drop("r", "s"))
 
     # an id with different texts links them
-    several = members.groupBy("doc_id").agg(F.min("first").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    same_id = members.join(bounded_broadcast(cut_lineage(several)), "doc_id").select("a", F.col("first").alias("b")).where("a <> b")
-    top = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    for side in ("a", "b"):
-        same_id = same_id.join(top, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_r", side)).drop("_n", "_r")
-    roots = merge_components(roots, same_id)
+    several = cut_lineage(members.groupBy("doc_id").agg(F.min("first").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    if several.limit(1).count():
+        same_id = members.join(bounded_broadcast(several), "doc_id").select("a", F.col("first").alias("b")).where("a <> b")
+        top = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        for side in ("a", "b"):
+            same_id = same_id.join(top, F.col(side) == F.col("_n"), "left").withColumn(side, F.coalesce("_r", side)).drop("_n", "_r")
+        roots = merge_components(roots, same_id)
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("links"))
     copies = members.groupBy("doc_id").agg(F.min("first").alias("copy_of")).join(degree.withColumnRenamed("first", "copy_of"), "copy_of", "left")
     known = copies.join(roots, copies["copy_of"] == roots["node"], "left").select(
         "doc_id", F.coalesce("root", "copy_of").alias("root"), "copy_of", "links"
     )
+    release(docs.sparkSession)
     out = rows.select("doc_id").distinct().join(known, "doc_id", "left")
     return out.select(
         "doc_id",
