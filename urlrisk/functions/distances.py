@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 # ship the functions of this module with the job, so executors do not need the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Stands between the spellings of a row on their way to Python; URLs hold no control characters.
+BETWEEN = "\0"
+NEAREST_TYPE = pa.struct([("distance", pa.int32()), ("nearest", pa.string()), ("misspelt", pa.list_(pa.string()))])
 #: Cells (names times their longest length) compared at once.
 BLOCK_CELLS = 1 << 19
 
@@ -62,27 +66,22 @@ def nearest_words(words: Sequence[str], shortest: Mapping[int, int]) -> Callable
     words = list(dict.fromkeys(words))
     lengths = np.array([len(w) for w in words])
 
-    @F.pandas_udf("distance int, nearest string, misspelt array<string>")
-    def nearest(spellings: pd.Series) -> pd.DataFrame:
-        n = len(spellings)
-        out = {"distance": np.full(n, None, object), "nearest": np.full(n, None, object), "misspelt": np.full(n, None, object)}
-        held = [i for i, s in enumerate(spellings) if s is not None and len(s)]
-        if held:
-            sizes = [len(spellings.iat[i]) for i in held]
-            codes, names = pd.factorize(np.concatenate([spellings.iat[i] for i in held]))
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            found = np.minimum.reduceat(edit_distances(list(names), words)[codes], starts, axis=0)
-            first = found.argmin(axis=1)
-            near = np.zeros(found.shape, bool)
-            for distance, least in shortest.items():
-                near |= (found == distance) & (lengths >= least)
-            out["distance"][held] = found.min(axis=1)
-            out["nearest"][held] = np.array(words, object)[first]
-            lists = [[]] * len(held)
-            for i in np.flatnonzero(near.any(axis=1)):
-                lists[i] = [words[k] for k in np.flatnonzero(near[i])]
-            for i, words_of_row in zip(held, lists, strict=True):
-                out["misspelt"][i] = words_of_row
-        return pd.DataFrame(out)
+    @F.arrow_udf("distance int, nearest string, misspelt array<string>")
+    def nearest(joined: pa.Array) -> pa.Array:
+        groups = joined.dictionary_encode()
+        # URLs of one domain have the same spellings: each distinct list is compared once, and each distinct name of all lists
+        lists = [text.split(BETWEEN) for text in groups.dictionary.to_pylist()]
+        if not lists:
+            return pa.StructArray.from_arrays([pa.nulls(len(joined), field.type) for field in NEAREST_TYPE], fields=list(NEAREST_TYPE))
+        codes, names = pd.factorize(np.array([name for spellings in lists for name in spellings], object))
+        starts = np.cumsum([0, *map(len, lists[:-1])])
+        found = np.minimum.reduceat(edit_distances(list(names), words)[codes], starts, axis=0)
+        near = np.zeros(found.shape, bool)
+        for distance, least in shortest.items():
+            near |= (found == distance) & (lengths >= least)
+        misspelt = [[words[k] for k in np.flatnonzero(row)] for row in near]
+        known = [found.min(axis=1), [words[k] for k in found.argmin(axis=1)], misspelt]
+        columns = [pa.array(values, field.type).take(groups.indices) for values, field in zip(known, NEAREST_TYPE, strict=True)]
+        return pa.StructArray.from_arrays(columns, fields=list(NEAREST_TYPE))
 
-    return nearest
+    return lambda spellings: nearest(F.when(F.size(spellings) > 0, F.array_join(spellings, BETWEEN)))

@@ -60,7 +60,7 @@ def entropy(col: Column) -> Column:
 
 
 def non_empty(parts: Column) -> Column:
-    return F.filter(parts, lambda p: p != "")
+    return F.array_remove(parts, "")
 
 
 def char_tokens(col: Column, length: int = TOKEN_LENGTH) -> Column:

@@ -24,6 +24,9 @@ SHORTEST_SQUATTED = {1: 4, 2: 7}  # fixed values: shortest alias that a misspell
 LOOKALIKE_FROM, LOOKALIKE_TO = "01!|@$3458", "olilaseasb"
 LOOKALIKE_PAIRS = (("vv", "w"), ("rn", "m"), ("cl", "d"))
 
+# fixed values: characters (as in a regex class) that end a token of a subdomain, or of a path with its query
+SUBDOMAIN_BREAKS, PATH_BREAKS = r".\-_", r"/.\-_?=&#"
+
 BRAND_FIELDS = (
     "brand_in_subdomain brand_in_path typosquat_detected combosquat_detected closest_brand "
     "min_edit_distance matched_brand_name"
@@ -83,37 +86,46 @@ def match_brands(
         return df.select(*keep, empty.alias(out))
 
     df = df.withColumn("_sld", F.substring_index("_dom", ".", 1))
-    df = df.withColumns(
-        {
-            "_skel": skeleton(c("_sld")),
-            # the name itself and its hyphen or underscore parts
-            "_names": F.array_distinct(F.concat(F.array("_sld"), non_empty(F.split("_sld", "[-_]")))),
-        }
-    )
-    df = df.withColumn("_pairs", F.transform("_names", lambda t: F.struct(t.alias("t"), skeleton(t).alias("s"))))
-    df = df.withColumn(
-        "_cands", F.array_distinct(F.concat(c("_pairs")["t"], c("_pairs")["s"], F.array("_skel")))
-    )
+    df = df.withColumn("_skel", skeleton(c("_sld")))
+    # the name itself and its hyphen or underscore parts; a replaced pair never spans these, so the parts of the skeleton are the skeletons of the parts
+    parts = lambda name: non_empty(F.split(name, "[-_]"))
+    df = df.withColumn("_cands", F.array_distinct(F.concat(F.array("_sld", "_skel"), parts("_sld"), parts("_skel"))))
     # all aliases at once for the distinct names of a batch
     df = df.withColumn("_near", nearest_words([a.alias for a in aliases], SHORTEST_SQUATTED)(c("_cands")))
     df = df.withColumns({"_min": F.when(c("_near.distance") > NO_DISTANCE, NO_DISTANCE).otherwise(c("_near.distance")), "_nearest": c("_near.nearest"), "_misspelt": c("_near.misspelt")}).drop("_near")
 
+    # names beside their skeletons, where an imitation is possible: it is at distance 0 once its look-alikes are replaced
+    whole_and_parts = F.array_distinct(F.concat(F.array("_sld"), parts("_sld")))
+    close = (c("_min") <= 0) | (F.size("_misspelt") > 0)
+    df = df.withColumn("_pairs", F.when(close, F.transform(whole_and_parts, lambda t: F.struct(t.alias("t"), skeleton(t).alias("s")))))
+
     domains = sorted({a.domain for a in aliases})
+    name, word = regex_union(a.alias for a in aliases), regex_union(keywords)
     legit = lambda a: (c("_dom") == a["domain"]) | c("_dom").endswith(F.concat(F.lit("."), a["domain"]))
     df = df.withColumns(
         {
             "_onsite": c("_dom").rlike(r"(?:^|\.)" + regex_union(domains) + r"\z"),
-            "_stokens": F.split("_subdomain", r"[.\-_]"),
-            "_ptokens": F.split(F.concat("_p", F.lit("?"), "_q"), r"[/.\-_?=&#]"),
-            "_named": c("_skel").rlike(regex_union(a.alias for a in aliases)),
+            "_stokens": F.split("_subdomain", f"[{SUBDOMAIN_BREAKS}]"),
+            "_address": F.concat("_p", F.lit("?"), "_q"),
+            "_named": c("_skel").rlike(name),
+            # whether combo() holds for any alias, free or not
+            "_combined": c("_skel").rlike(f"{name}-?{word}|{word}-{name}") if keywords else c("_skel").isNull(),
         }
     )
     # aliases of brands that do not own the site; kept as an expression so that rows never carry the catalog
     others = F.filter(catalog, lambda a: ~legit(a))
     free = F.when(c("_onsite"), others).otherwise(catalog)
-    names = F.when(c("_onsite"), others["alias"]).otherwise(literal_array(a.alias for a in aliases))
+    path_tokens = F.split("_address", f"[{PATH_BREAKS}]")
     in_sub = lambda a: F.array_contains(c("_stokens"), a["alias"])
-    in_path = lambda a: F.array_contains(c("_ptokens"), a["alias"])
+    in_path = lambda a: F.array_contains(path_tokens, a["alias"])
+
+    def names_token(text: Column, tokens: Column, breaks: str) -> Column:
+        """Whether a token is a free alias; one search of the text rules out most rows, and no alias with a break in it is a token."""
+        whole = [a.alias for a in aliases if not re.search(f"[{breaks}]", a.alias)]
+        if not whole:
+            return F.when(text.isNotNull(), False)
+        found = text.rlike(rf"(?:^|[{breaks}]){regex_union(whole)}(?:[{breaks}]|\z)")
+        return F.when(found & c("_onsite"), F.arrays_overlap(tokens, others["alias"])).otherwise(found)
 
     def typo(a: Column) -> Column:
         imitation = F.exists(c("_pairs"), lambda x: (x["t"] != a["alias"]) & (x["s"] == a["alias"]))
@@ -132,11 +144,11 @@ def match_brands(
 
     df = df.withColumns(
         {
-            # an imitation is at distance 0 once its look-alikes are replaced
-            "_typo": F.when((c("_min") > 0) & (F.size("_misspelt") == 0), False).otherwise(F.exists(free, typo)),
-            "_combo": F.when(~c("_named"), False).otherwise(F.exists(free, combo)),
-            "_insub": F.arrays_overlap(c("_stokens"), names),
-            "_inpath": F.arrays_overlap(c("_ptokens"), names),
+            # a name that is its own skeleton imitates nothing
+            "_typo": F.when((F.size("_misspelt") == 0) & ((c("_min") > 0) | (c("_sld") == c("_skel"))), False).otherwise(F.exists(free, typo)),
+            "_combo": F.when(~c("_named"), False).when(~c("_combined"), False).when(~c("_onsite"), True).otherwise(F.exists(free, combo)),
+            "_insub": names_token(c("_subdomain"), c("_stokens"), SUBDOMAIN_BREAKS),
+            "_inpath": names_token(c("_address"), path_tokens, PATH_BREAKS),
         }
     )
     nothing = F.lit(None).cast("string")

@@ -199,16 +199,20 @@ def canonicalize_urls(
     )
 
     # 2. split
+    # the pattern matches whatever begins with a scheme, and control characters are gone, so one of them can part the groups: one match gives all five
+    groups = F.split(F.regexp_replace("_full", _PARTS, "$1\x01$2\x01$3\x01$4\x01$5"), "\x01")
+    df = df.select(*keep, "_raw", "_err0", "_inferred", groups.alias("_groups"))
+    part = lambda i: F.get("_groups", F.lit(i))
     df = df.select(
         *keep,
         "_raw",
         "_err0",
         "_inferred",
-        F.lower(F.regexp_extract("_full", _PARTS, 1)).alias("_scheme"),
-        F.regexp_extract("_full", _PARTS, 2).alias("_netloc"),
-        F.regexp_extract("_full", _PARTS, 3).alias("_path"),
-        F.regexp_extract("_full", _PARTS, 4).alias("_query"),
-        F.regexp_extract("_full", _PARTS, 5).alias("_fragment"),
+        F.lower(part(0)).alias("_scheme"),
+        part(1).alias("_netloc"),
+        part(2).alias("_path"),
+        part(3).alias("_query"),
+        part(4).alias("_fragment"),
     )
 
     # 3. userinfo and port

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urlrisk.functions.planning import computed_stage
 from urlrisk.functions.privacy import hash_key, sha256_url
 from urlrisk.operators.canonical import canonicalize_urls
 from urlrisk.operators.features import extract_features, is_multitenant
+from urlrisk.operators.ordering import stored
 from urlrisk.operators.reasons import REASON_TYPE, build_reason, extract_reasons
 from urlrisk.operators.skew import broadcast_by_statistics, lookup_join
 from urlrisk.sources.catalogs import ALLOWED_DOMAINS, MULTITENANT_HOSTS, USER_DENY_TEXT, Alias, ReasonInfo
@@ -59,13 +62,13 @@ def confidence_of(probability: Column) -> Column:
     return F.when((probability >= CONFIDENT_HIGH) | (probability <= CONFIDENT_LOW), "high").otherwise("medium")
 
 
-def _join_patterns(df: DataFrame, table: DataFrame, parsed: str, flags: Sequence[str], owner: str | None) -> DataFrame:
+def _join_patterns(df: DataFrame, table: DataFrame, parsed: str, flags: Sequence[str], owner: str | None, rows: DataFrame | None = None) -> DataFrame:
     """Or the ``flags`` of ``table`` over the three pattern keys. No job runs here: the plan's own statistics choose.
 
     A list that Spark would broadcast is looked up by three broadcast joins, without a shuffle. For a larger one the distinct
     (owner, URL) of the rows become narrow rows of owner and pattern, which meet the list in one join; the flags found are joined back by owner and
-    URL. Repeated URLs are one row in the narrow part, and rows without a URL are spread by salt. A stream has no distinct, so
-    it joins the large list three times.
+    URL. Repeated URLs are one row in the narrow part, and rows without a URL, which no list knows, get keys of their own that spread them. ``rows`` has
+    the same URLs as ``df`` and is cheaper to read, for the narrow part. A stream has no distinct, so it joins the large list three times.
     """
     owners = [] if owner is None else [owner]
     small = broadcast_by_statistics(table)
@@ -78,29 +81,44 @@ def _join_patterns(df: DataFrame, table: DataFrame, parsed: str, flags: Sequence
                 {f"_{flag}": F.col(f"_{flag}") | F.coalesce(F.col(flag), F.lit(False)) for flag in flags}
             ).drop("_pattern", *flags)
         return df
-    parts = df.select(*owners, *[F.col(f"{parsed}.{k}").alias(f"_p_{k}") for k in PATTERN_KEYS]).where("_p_canonical is not null")
+    rows = df if rows is None else rows
+    parts = rows.select(*owners, *[F.col(f"{parsed}.{k}").alias(f"_p_{k}") for k in PATTERN_KEYS]).where("_p_canonical is not null")
     patterns = F.explode(F.array_distinct(F.array(*[f"_p_{k}" for k in PATTERN_KEYS]))).alias("_pattern")
     narrow = parts.distinct().select(*owners, F.col("_p_canonical").alias("_url"), patterns)
     found = narrow.join(table, [*owners, "_pattern"]).groupBy(*owners, "_url").agg(*[F.bool_or(f).alias(f) for f in flags])
-    found = found.withColumn("_salt", F.lit(0).cast("long"))
-    url = F.col(f"{parsed}.canonical")
-    salt = F.when(url.isNull(), F.pmod(F.xxhash64(f"{parsed}.raw"), F.lit(1 << 20))).otherwise(F.lit(0))
-    df = df.withColumns({"_url": url, "_salt": salt.cast("long")}).join(found, [*owners, "_url", "_salt"], "left")
-    return df.withColumns({f"_{flag}": F.coalesce(F.col(flag), F.lit(False)) for flag in flags}).drop("_url", "_salt", *flags)
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    alone = F.concat(F.lit("\0"), F.xxhash64(f"{parsed}.raw", *[F.col(f"`{name}`") for name in plain]).cast("string"))
+    df = df.withColumn("_url", F.coalesce(f"{parsed}.canonical", alone)).join(found, [*owners, "_url"], "left")
+    return df.withColumns({f"_{flag}": F.coalesce(F.col(flag), F.lit(False)) for flag in flags}).drop("_url", *flags)
 
 
-def tag_user_lists(df: DataFrame, lists: DataFrame, parsed: str = "parsed", owner: str = "owner_key_hash") -> DataFrame:
-    """Add booleans ``_user_deny`` and ``_user_allow`` from a table of owner, kind and pattern."""
-    table = lists.groupBy(F.col("owner_key_hash").alias(owner), F.col("pattern").alias("_pattern")).agg(
+def _user_table(lists: DataFrame, owner: str = "owner_key_hash") -> DataFrame:
+    return lists.groupBy(F.col("owner_key_hash").alias(owner), F.col("pattern").alias("_pattern")).agg(
         F.bool_or(F.col("kind") == "deny").alias("user_deny"), F.bool_or(F.col("kind") == "allow").alias("user_allow")
     )
-    return _join_patterns(df, table, parsed, ("user_deny", "user_allow"), owner)
 
 
-def tag_denylist(df: DataFrame, denylist: DataFrame, parsed: str = "parsed") -> DataFrame:
+def _deny_table(denylist: DataFrame) -> DataFrame:
+    return denylist.select(F.col("pattern").alias("_pattern")).distinct().withColumn("denied", F.lit(True))
+
+
+def tag_user_lists(df: DataFrame, lists: DataFrame, parsed: str = "parsed", owner: str = "owner_key_hash", rows: DataFrame | None = None) -> DataFrame:
+    """Add booleans ``_user_deny`` and ``_user_allow`` from a table of owner, kind and pattern."""
+    return _join_patterns(df, _user_table(lists, owner), parsed, ("user_deny", "user_allow"), owner, rows)
+
+
+def tag_denylist(df: DataFrame, denylist: DataFrame, parsed: str = "parsed", rows: DataFrame | None = None) -> DataFrame:
     """Add boolean ``_denied`` from a table of patterns (deny list or feed)."""
-    table = denylist.select(F.col("pattern").alias("_pattern")).distinct().withColumn("denied", F.lit(True))
-    return _join_patterns(df, table, parsed, ("denied",), None)
+    return _join_patterns(df, _deny_table(denylist), parsed, ("denied",), None, rows)
+
+
+def _read_more_than_once(df: DataFrame, user_lists: DataFrame | None, denylist: DataFrame | None) -> bool:
+    """Whether a large list makes the scan read its canonical rows more than once, and parquet can hold them."""
+    tables = [] if user_lists is None else [_user_table(user_lists)]
+    tables += [] if denylist is None else [_deny_table(denylist)]
+    if df.isStreaming or re.search(r"\b(void|interval)\b", df.schema.simpleString()):
+        return False
+    return not all(map(broadcast_by_statistics, tables))
 
 
 def scan_urls(
@@ -133,7 +151,8 @@ def scan_urls(
     reasons and features that neither they nor a scorer need are not worked out.
 
     Rows that a list decides have a null ``features`` struct: null inputs end the feature expressions at once,
-    so they cost nothing even though the plan is one projection without branches.
+    so they cost nothing even though the plan is one projection without branches. If a list is too large to be broadcast, the canonical
+    rows are stored first (one job), as the list joins and the scan read them.
     """
     if user_lists is not None and "owner_key_hash" not in df.columns:
         df = df.withColumn("owner_key_hash", hash_key(F.col("user_key")))
@@ -143,11 +162,14 @@ def scan_urls(
     elif parsed != "parsed":
         df = df.withColumnRenamed(parsed, "parsed")
     p = F.col("parsed")
+    rows = None
+    if _read_more_than_once(df, user_lists, denylist):
+        df = rows = stored(df, "parsed")
     if user_lists is not None:
-        df = tag_user_lists(df, user_lists)
+        df = tag_user_lists(df, user_lists, rows=rows)
     else:
         df = df.withColumns({"_user_deny": F.lit(False), "_user_allow": F.lit(False)})
-    df = tag_denylist(df, denylist) if denylist is not None else df.withColumn("_denied", F.lit(False))
+    df = tag_denylist(df, denylist, rows=rows) if denylist is not None else df.withColumn("_denied", F.lit(False))
 
     if isinstance(allowlist, DataFrame):
         table = allowlist.select(F.col("pattern").alias("_pattern")).distinct().withColumn("_curated", F.lit(True))
@@ -168,7 +190,12 @@ def scan_urls(
     )
     df = computed_stage(df, [*inputs, "parsed"], {"_layer": layer})
     scored = F.col("_layer") == "model"
-    df = df.withColumn("_open", F.when(scored, p))
+    # the whole struct only where it is scored; all rows keep the few parts that every result needs
+    shown = {f"_shown_{k}": p[k] for k in ("raw", "canonical", "registered_domain", "error_message")}
+    df = df.withColumns({"_open": F.when(scored, p), **shown})
+    if scorer is None and calibrator is None and not keep_parts:
+        df = df.drop("parsed")
+    p = {k: F.col(f"_shown_{k}") for k in ("raw", "canonical", "registered_domain", "error_message")}
     reasoned = columns is None or "reasons" in columns
     read = None if scorer is not None or keep_parts else SCORE_FEATURES + (REASON_FEATURES if reasoned else [])
     df = extract_features(df, "_open", "features", aliases, multitenant, names=read)
@@ -182,17 +209,13 @@ def scan_urls(
         if calibrator is not None:
             df = calibrator(df, "_rule", "_rule")
         raw = F.col("_rule")
-    df = df.withColumn("_prob", F.when(scored, raw))
     found = F.array().cast(REASON_TYPE)
     if reasoned:
         found = extract_reasons(F.col("_open"), F.col("features"), F.col(contributions) if contributions else None, catalog)
-    df = df.withColumns(
-        {
-            "_found": F.when(scored, found),
-            "_verdict": verdict_of(F.col("_prob"), t_suspicious, t_malicious),
-            "_score": F.bround(F.col("_prob") * 100, 0).cast("int"),
-        }
-    )
+    # a step of its own: with the results below it would be more code than the JVM compiles at once
+    parts = ["parsed", "features"] if keep_parts else []
+    df = computed_stage(df, [*inputs, *parts, "_layer", *shown], {"_prob": F.when(scored, raw), "_found": F.when(scored, found)})
+    df = df.withColumns({"_verdict": verdict_of(F.col("_prob"), t_suspicious, t_malicious), "_score": F.bround(F.col("_prob") * 100, 0).cast("int")})
     none = F.array().cast(REASON_TYPE)
     fallback = build_reason(
         "elevated_ml_risk",
@@ -265,7 +288,6 @@ def scan_urls(
     }
     if columns is not None:
         results = {k: v for k, v in results.items() if k in set(columns)}
-    parts = ["parsed", "features"] if keep_parts else []
     return computed_stage(df, [*[k for k in inputs if k not in results], *parts], results)
 
 

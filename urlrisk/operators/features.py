@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from urlrisk.functions.text import (
     count_text,
     entropy,
     half_even,
-    literal_array,
     non_empty,
+    regex_union,
 )
 from urlrisk.operators.brands import match_brands
 from urlrisk.operators.canonical import canonicalize_urls
@@ -70,7 +72,11 @@ def extract_features(
         p["subdomain"].alias("_fsub"),
     )
     df = df.withColumns({"_ul": F.lower("_u"), "_pl": F.lower("_fp"), "_sl": F.lower("_fsub")})
-    in_url = F.filter(literal_array(KEYWORDS), lambda k: F.contains(c("_ul"), k))
+    # a path is part of its URL; a subdomain may be written differently there
+    contained = lambda name, word: F.contains(c(name), F.lit(word))
+    keyword_count = reduce(add, [contained("_ul", k).cast("int") for k in KEYWORDS])
+    any_keyword = regex_union(KEYWORDS)
+    sub_keyword = reduce(or_, [contained("_ul", k) & contained("_sl", k) for k in KEYWORDS])
     df = df.withColumns(
         {
             "_len": F.greatest(F.length("_u"), F.lit(1)),
@@ -79,7 +85,7 @@ def extract_features(
             "_tokens": F.transform(
                 non_empty(F.split(F.concat("_fp", F.lit("?"), "_fq"), r"[/.\-_?=&]")), lambda t: F.length(t)
             ),
-            "_kw": in_url,
+            "_kw": keyword_count,
             "_labels": F.size(F.split(p["host"], r"\.")),
             "_sub_n": F.size(non_empty(F.split("_fsub", r"\."))),
         }
@@ -133,9 +139,9 @@ def extract_features(
         "typosquat_detected": flag(brand["typosquat_detected"]),
         "combosquat_detected": flag(brand["combosquat_detected"]),
         "min_brand_edit_distance": F.least(brand["min_edit_distance"], F.lit(MAX_BRAND_DISTANCE)),
-        "suspicious_keyword_count": F.size("_kw"),
-        "keyword_in_path": flag(F.exists("_kw", lambda k: F.contains(c("_pl"), k))),
-        "keyword_in_subdomain": flag(F.exists("_kw", lambda k: F.contains(c("_sl"), k))),
+        "suspicious_keyword_count": c("_kw"),
+        "keyword_in_path": F.when(c("_kw") == 0, 0).otherwise(flag(c("_pl").rlike(any_keyword))),
+        "keyword_in_subdomain": F.when((c("_kw") == 0) | ~c("_sl").rlike(any_keyword), 0).otherwise(flag(sub_keyword)),
         "pct_encoded_ratio": half_even(
             3 * F.when(F.contains(c("_u"), F.lit("%")), F.regexp_count("_u", F.lit("%[0-9a-fA-F]{2}"))).otherwise(0), n, 4
         ),
@@ -149,6 +155,10 @@ def extract_features(
         ),
     }
     chosen = set(FEATURE_NAMES if names is None else names)
+    # entropies run through arrays row by row; in a step of their own they leave the rest to generated code
+    slow = {f"_v_{k}": values[k] for k in values if k in chosen and (k.startswith("entropy") or k == "long_random_subdomain")}
+    df = df.withColumns(slow)
+    values |= {k.removeprefix("_v_"): c(k) for k in slow}
     features = F.struct(*[values[name].alias(name) for members in FEATURE_FAMILIES.values() for name in members.split() if name in chosen])
     return computed_stage(df, keep, {out: F.when(p["is_valid"], features)})
 

@@ -61,8 +61,8 @@ def rule_reasons(parsed: Column, features: Column, catalog: Mapping[str, ReasonI
         ),
         (f["entropy_url"] >= HIGH_ENTROPY, "high_entropy", _note("entropy", f["entropy_url"])),
     ]
-    found = F.array(*[F.when(cond, build_reason(code, note, catalog)) for cond, code, note in rules])
-    return F.filter(found, lambda r: r.isNotNull())
+    none = F.array().cast(REASON_TYPE)
+    return F.concat(*[F.when(cond, F.array(build_reason(code, note, catalog))).otherwise(none) for cond, code, note in rules])
 
 
 def contribution_reasons(
