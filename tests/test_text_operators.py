@@ -63,6 +63,20 @@ def test_similar_counts_do_not_list_the_pairs_of_a_crowd(spark):
     assert [tuple(r) for r in counted.groupBy("n").count().collect()] == [(30_000, 10_000)]  # 300 million links
 
 
+def test_grams_are_as_frequent_as_in_their_family(spark):
+    """Numbers that only meet in texts of other shapes make no classes, and what a whole shape shares is not listed."""
+    letters = "abcdefghijklmnop"
+    shapes = ["https://" + "".join(c + d for d in "qrstuvwxyz0123456789" * 2 + c) + f".example.org/{c}&n=" for c in letters]
+    frame = lambda ks: spark.createDataFrame([(s + str(k * 7919 % 90_000 + 10_000),) for s in shapes for k in ks], "text string")
+    one, two = frame(range(0, 60, 2)), frame(range(1, 60, 2))
+    inside = similarity._ordered_grams(one, two, "text", 5, 12, 0.8)
+    assert inside.select("family").distinct().count() == len(shapes)
+    # the gram of five digits is in 16 texts, but in one of each shape
+    assert inside.where("r = 0").count() == 0 and inside.agg(F.max(F.size("grams"))).first()[0] <= 6
+    counts = similarity.similar_counts(one, two, threshold=0.8, rare=12).groupBy("n").count().collect()
+    assert [tuple(r) for r in counts] == [(30, 30 * len(shapes))]
+
+
 def test_bigram_model(spark):
     names = ["example.com", "zürich.ch", "a", "", "example.org", None]
     df = spark.createDataFrame([(n,) for n in names], "name string")
