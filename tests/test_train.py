@@ -61,6 +61,26 @@ def test_tree_contributions_sum_to_the_score(spark):
     assert any(any(r["contributions"].values()) for r in out if r["features"])
 
 
+def test_trees_are_fitted_on_distinct_weighted_rows(spark):
+    from urlrisk.plans.scorers import TREE_RATE, weighted_rows
+    from pyspark.ml.classification import GBTClassifier
+    from urlrisk.operators.features import feature_vectors
+
+    rows = extract_features(canonicalize_urls(small_corpus(spark), "url")).select("url", "label", "features").cache()
+    once, thrice = weighted_rows(rows, rows), weighted_rows(rows.crossJoin(spark.range(3)).drop("id"), rows)
+    assert once.count() == thrice.count() < rows.count()  # ids of equally many digits often have equal features
+    total = lambda df, val: df.where(F.col("_val") == val).groupBy("label").agg(F.sum("_w")).collect()
+    assert all(abs(w - rows.count() * 1.5) < 0.01 for _, w in total(thrice, False)) and sum(w for _, w in total(thrice, True)) == rows.count()
+    # the same trees as from all rows, one by one
+    sums = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, round(rows.count() / (2 * sums[1]), 6)).otherwise(round(rows.count() / (2 * sums[0]), 6))
+    plain = feature_vectors(rows).select("vector", F.col("label").cast("double").alias("label"), weight.alias("_w"))
+    whole = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="_w", maxIter=3, stepSize=TREE_RATE, maxDepth=3, seed=42).fit(plain)
+    a, b = fit_tree_scorer(rows, rounds=3, depth=3).score(rows), whole.transform(feature_vectors(rows))
+    one = {r["url"]: r["model_probability"] for r in a.collect()}
+    assert all(abs(one[r["url"]] - r["probability"][1]) < 1e-9 for r in b.collect())
+
+
 def test_tree_queries_fit_the_defaults_and_return_rows(spark, monkeypatch):
     import math
 
