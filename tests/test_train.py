@@ -104,6 +104,26 @@ def test_tree_queries_fit_the_defaults_and_return_rows(spark, monkeypatch):
         assert abs(1 / (1 + math.exp(-r["bias"] - sum(r["contributions"].values()))) - r["model_probability"]) < 1e-9
 
 
+def test_text_scorer_hashes_grams_once_and_scores_as_one_pipeline(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF
+    from urlrisk.plans import scorers
+
+    kept, store = [], scorers.stored
+    monkeypatch.setattr(scorers, "stored", lambda df, name: kept.append(df.columns) or store(df, name))
+    rows = small_corpus(spark).select("url", "label").limit(300).cache()
+    got = {r["url"]: r["p_text"] for r in scorers.fit_text_scorer(rows).score(rows).collect()}
+    assert kept == [["label", "_w", "_tf"]]
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    weight = F.when(F.col("label") == 1, round(n[0] / n[1], 6)).otherwise(1.0)
+    data = rows.select("url", char_ngrams(F.col("url")).alias("g"), F.col("label").cast("double").alias("label"), weight.alias("w"))
+    steps = [HashingTF(inputCol="g", outputCol="tf", numFeatures=scorers.HASH_SIZE), IDF(inputCol="tf", outputCol="x")]
+    steps.append(LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", maxIter=30, regParam=1e-4))
+    for r in Pipeline(stages=steps).fit(data).transform(data).collect():
+        assert abs(r["probability"][1] - got[r["url"]]) < 1e-6
+
+
 def test_char_ngrams(spark):
     grams = spark.range(1).select(char_ngrams(F.lit("abc")), char_ngrams(F.lit(""))).first()
     assert sorted(grams[0]) == sorted(["a", "b", "c", "ab", "bc", "abc"]) and grams[1] == []
